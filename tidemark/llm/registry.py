@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import q_native
+from tidemark.llm import q_media, q_native, q_tokens
 
-QUERIES = {**q_native.QUERIES}
-ORACLES = {**q_native.ORACLES}
+_MODULES = (q_native, q_media, q_tokens)
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
