@@ -29,12 +29,23 @@ def test_random_texts():
     assert [x for x in ("".join(rnd.choice(marks) for _ in range(rnd.randrange(60))) for _ in range(3000)) if not same(x)] == []
 
 
-def test_queue_pops_lowest_rank_then_leftmost():
-    queue = bpe.RankQueue()
-    for rank, at in [(700, 3), (5, 9), (700, 1), (50_000, 0), (5, 2)]:
-        queue.push(rank, at)
-    assert [queue.pop() for _ in range(5)] == [(5, 2), (5, 9), (700, 1), (700, 3), (50_000, 0)]
-    assert not queue.top
+def test_ties_and_long_pre_tokens():
+    ranks = {bytes([i]): i for i in range(256)} | {b"aa": 300, b"ab": 290, b"aaaa": 301, b"ba": 290 + 256 * 40}
+    by_rule = lambda p: by_rule_of(p, ranks)
+    rnd = random.Random(1)
+    pieces = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(1, 40))) for _ in range(500)]
+    assert [p for p in pieces if bpe.merge(p, ranks) != by_rule(p)] == []
+    assert len(bpe.merge(b"a" * 400_000, ranks)) == 100_000
+
+
+def by_rule_of(piece, ranks):
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x" * 20_000)]])

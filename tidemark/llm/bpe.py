@@ -17,84 +17,92 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretoken import PartEncoder
+from tidemark.llm.pretoken import Kept, PartEncoder
 
 #: Buckets under one word of the lower bitmap.
 GROUP_BITS = 8
-
-
-class RankQueue:
-    """Positions by rank; pop gives the lowest rank's leftmost position."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], at)
-            return
-        self.buckets[rank] = [at]
-        group = rank >> GROUP_BITS
-        self.low[group] = self.low.get(group, 0) | 1 << (rank & (1 << GROUP_BITS) - 1)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, int]:
-        group = (self.top & -self.top).bit_length() - 1
-        word = self.low[group]
-        rank = group << GROUP_BITS | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[group] = word = word & word - 1
-            if not word:
-                self.top &= self.top - 1
-        return rank, at
+LOW_MASK = (1 << GROUP_BITS) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
+    """Ids of one pre-token.
+
+    buckets: rank -> start position, or a heap of them where there are more. low: group of ranks -> bits of its
+    ranks that have a bucket; top: bits of the groups. Pushing and popping stand in line, as calls would take
+    most of the time of the usual short pre-tokens.
+    """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n, get, queue = len(piece), ranks.get, RankQueue()
-    push, pop = queue.push, queue.pop
-    after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    for i in range(n - 1):
-        if (rank := get(piece[i : i + 2])) is not None:
-            pair[i] = rank
-            push(rank, i)
-    while queue.top:
-        rank, i = pop()
-        if pair[i] != rank:
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # rank of the pair that starts at a position; -1: none
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
+    buckets: dict[int, int | list[int]] = {}
+    low: dict[int, int] = {}
+    top, new = 0, [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+    while True:
+        for rank, at in new:
+            if rank in buckets:
+                bucket = buckets[rank]
+                if type(bucket) is int:
+                    buckets[rank] = bucket = [bucket]
+                heappush(bucket, at)
+            else:
+                buckets[rank] = at
+                group = rank >> GROUP_BITS
+                if top >> group & 1:
+                    low[group] |= 1 << (rank & LOW_MASK)
+                else:
+                    low[group] = 1 << (rank & LOW_MASK)
+                    top |= 1 << group
+        if not top:
+            break
+        group = (top & -top).bit_length() - 1
+        word = low[group]
+        first = word & -word
+        rank = group << GROUP_BITS | first.bit_length() - 1
+        i = buckets[rank]
+        if type(i) is int:
+            emptied = True
+        else:
+            bucket = i
+            i = heappop(bucket)
+            emptied = not bucket
+        if emptied:
+            del buckets[rank]
+            if word == first:
+                top ^= 1 << group
+            else:
+                low[group] = word ^ first
+        new = []
+        if pair[i] != rank:  # stale
             continue
         j = after[i]
-        pair[j] = -1
         after[i] = k = after[j]
-        pair[i] = -1
+        pair[j] = -1
         if k < n:
             before[k] = i
-            if (rank := get(piece[i : after[k]])) is not None:
-                pair[i] = rank
-                push(rank, i)
-        if (h := before[i]) >= 0:
-            if (rank := get(piece[h:k])) is None:
-                pair[h] = -1
-            else:
-                pair[h] = rank
-                push(rank, h)
+            pair[i] = rank = get(piece[i : after[k]], -1)
+            if rank >= 0:
+                new.append((rank, i))
+        else:
+            pair[i] = -1
+        h = before[i]
+        if h >= 0:
+            pair[h] = rank = get(piece[h:k], -1)
+            if rank >= 0:
+                new.append((rank, h))
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        ids.append(ranks[piece[i : (i := after[i])]])
     return ids
 
 
 class Codec:
     """Encodes and decodes with a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, most: int = 400_000):
+    def __init__(self, rank_file: str, pattern: str, most: int = 300_000):
         import regex
 
         with open(rank_file, "rb") as f:
@@ -102,21 +110,16 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.find, self.most = regex.compile(pattern).findall, most
-        self.kept: dict[str, bytes] = {}
+        self.find = regex.compile(pattern).findall
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.ranks.values()}
+        self.kept = Kept(self._piece, "", most)
         self.encode_bytes = PartEncoder(self._matches, most)
 
     def _matches(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.find(text)))
+        return b"".join(map(self.kept.__getitem__, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
-        if (found := self.kept.get(piece)) is None:
-            found = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.kept) >= self.most:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
+        return b"".join(map(self.packed.__getitem__, merge(piece.encode(), self.ranks)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
@@ -152,9 +155,8 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def data(rows: pa.Array) -> pa.Array:
         tokens = codec(rank_file, pattern).tokens
-        ends = rows.offsets.to_numpy()
-        parts = list(map(tokens.__getitem__, rows.values.to_numpy()[ends[0] : ends[-1]].tolist()))
-        ends = (ends - ends[0]).tolist()
-        return pa.array([b"".join(parts[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        ends, values = rows.offsets.to_numpy(), rows.values.to_numpy()
+        made = (b"".join(map(tokens.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:]))
+        return pa.array(made, pa.binary())
 
     return data(ids)

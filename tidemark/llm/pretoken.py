@@ -16,19 +16,23 @@ _INNER = re.compile(r"\s \s")
 KEEP_CHARS = 64
 
 
-class _Kept(dict):
-    """text -> encoded bytes, made where missing; emptied when full, so memory is bounded."""
+class Kept(dict):
+    """text -> encoded bytes, made where missing. Two generations bound the memory: what the older one is asked for moves to
+    the newer, and when that is full the older goes."""
 
     def __init__(self, make: Callable[[str], bytes], prefix: str, most: int):
         super().__init__()
-        self.make, self.prefix, self.most = make, prefix, most
+        self.make, self.prefix, self.most, self.older = make, prefix, most // 2, {}
 
     def __missing__(self, part: str) -> bytes:
-        made = self.make(self.prefix + part)
-        if len(part) <= KEEP_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = made
+        if (made := self.older.get(part)) is None:
+            made = self.make(self.prefix + part)
+            if len(part) > KEEP_CHARS:
+                return made
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[part] = made
         return made
 
 
@@ -37,7 +41,7 @@ class PartEncoder:
 
     def __init__(self, make: Callable[[str], bytes], most: int = 500_000):
         self.make = make
-        self.first, self.rest = _Kept(make, "", most // 10), _Kept(make, " ", most)
+        self.first, self.rest = Kept(make, "", most // 10), Kept(make, " ", most)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
