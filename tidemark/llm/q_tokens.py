@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
-from tidemark.session import table
+from tidemark.llm import bpe, token_files
+from tidemark.session import ensure_checkpoint_dir, table
 
 
 def bpe_columns(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -28,5 +30,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to range-coded files and read back."""
+    import public_tokenizers as P
+
+    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, P.path("byte_bpe_50k.json"))
+    return token_files.documents(token_files.read(spark, folder))
+
+
+QUERIES = {"op7_token_files": op7_token_files, "op10_bpe": op10_bpe}
 ORACLES: dict = {}
