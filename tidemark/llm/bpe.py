@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.pretoken import Kept, PartEncoder
 
+#: The public pattern, for which common parts are told without it. A fixed value.
+GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Buckets under one word of the lower bitmap.
 GROUP_BITS = 8
 LOW_MASK = (1 << GROUP_BITS) - 1
@@ -102,7 +104,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes with a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, most: int = 300_000):
+    def __init__(self, rank_file: str, pattern: str, most: int = 800_000):
         import regex
 
         with open(rank_file, "rb") as f:
@@ -110,12 +112,19 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.find = regex.compile(pattern).findall
+        self.find, self.plain = regex.compile(pattern).findall, pattern == GPT_PATTERN
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.ranks.values()}
         self.kept = Kept(self._piece, "", most)
-        self.encode_bytes = PartEncoder(self._matches, most)
+        self.encode_bytes = PartEncoder(self._matches)
 
     def _matches(self, text: str) -> bytes:
+        # what the pattern gives for the two commonest parts: letters, and letters with one mark at the end
+        if self.plain:
+            word = text[1:] if text[0] == " " else text
+            if word.isalpha():
+                return self.kept[text]
+            if text[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self.kept[text[:-1]] + self.kept[text[-1]]
         return b"".join(map(self.kept.__getitem__, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
@@ -159,4 +168,5 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
         made = (b"".join(map(tokens.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:]))
         return pa.array(made, pa.binary())
 
-    return data(ids)
+    # coalesce() between the functions: nested ones would run the inner again for every use of its result
+    return data(F.coalesce(ids, F.array().cast("array<int>")))

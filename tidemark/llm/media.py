@@ -127,7 +127,7 @@ def png(data: Column, level: int = 6) -> Column:
 
 
 def read_png(media: Column) -> Column:
-    """struct<payload binary, feature string> of a PNG column: its samples and their cosine hash; null for null."""
+    """struct<payload binary, feature string> of a PNG column: its samples and their cosine hash; null for null and for no bytes."""
 
     @F.arrow_udf("struct<payload:binary,feature:string>")
     def read(rows: pa.Array) -> pa.Array:
@@ -136,4 +136,5 @@ def read_png(media: Column) -> Column:
         feature = pa.array([None if x is None else cosine_hash(x) for x in images], pa.string())
         return pa.StructArray.from_arrays([payload, feature], ["payload", "feature"])
 
-    return read(media)
+    # nullif() between the functions: nested ones would run the inner again for every use of its result
+    return read(F.nullif(media, F.lit(b"")))

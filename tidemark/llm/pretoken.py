@@ -39,7 +39,7 @@ class Kept(dict):
 class PartEncoder:
     """Encodes whole texts from kept encodings of their parts; make(text) must encode any text exactly."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int = 500_000):
+    def __init__(self, make: Callable[[str], bytes], most: int = 150_000):
         self.make = make
         self.first, self.rest = Kept(make, "", most // 10), Kept(make, " ", most)
 
