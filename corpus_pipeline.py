@@ -1,8 +1,60 @@
-"""Corpus pipeline over documents (stages follow)."""
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing to target weights, byte-level BPE.
 
-STAGES = []
+Each stage takes all that the stage before kept and returns the columns of documents, but for the last, which
+returns what the encoding gives. Nulls, empty tables and repeated rows are as each operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import jaccard_join, line_dedup, mixing, quality_rules
+from tidemark.llm.q_tokens import bpe_columns
+from tidemark.session import ensure_checkpoint_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far from their language and source go."""
+    return quality_rules.accepted(docs).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that over a tenth of a source's documents have are cut from texts; n_chars follows."""
+    cut = line_dedup.drop_lines(docs, "source", "text")
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (five words, similarity 0.8) the document of least id stays."""
+    return jaccard_join.without_near_copies(docs, k=5, percent=80).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to, as digests."""
+    import public_tokenizers as P
+
+    return bpe_columns(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+STAGES = [("quality rules", rules), ("line dedup", lines), ("near copies", near_copies), ("mixing", mix), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    import uuid
+
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
+        docs = spark.read.parquet(f"{folder}/{at}")
+    return STAGES[-1][1](spark, docs, sf_dir)
