@@ -167,9 +167,9 @@ def _keys(counts: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame
         .withColumn("_some", F.max(needs).over(by_lang))
     )
     none = found.agg(F.max(needs & (F.col("_of_lang") < min_rows)).alias("_any"))
-    return found.crossJoin(F.broadcast(none)).select(  # one row
+    return found.select(
         "_lang", "_source",
-        F.array_compact(F.array(own, F.when(F.col("_some"), wider), F.when(F.col("_any"), F.lit("3")))).alias("_adds"),
+        F.array_compact(F.array(own, F.when(F.col("_some"), wider), F.when(none.scalar(), F.lit("3")))).alias("_adds"),
         F.when(~needs, own).when(F.col("_of_lang") >= min_rows, wider).otherwise(F.lit("3")).alias("_key"),
     )
 
