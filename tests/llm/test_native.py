@@ -130,6 +130,13 @@ def test_store(spark, tmp_path):
     assert [x.getPath().getName() for x in store._ls(f"{store.root}/tmp")] == []
 
 
+def test_compact_without_old_runs(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "k"), fanout=2, base_bytes=1 << 20)
+    store.append(docs(spark, [(i, "s", f"t{i}") for i in range(80)]).withColumn("by", F.col("doc_id") % 5), "by")
+    assert store.compact(keep_old=False) >= 2 and store.read().count() == 80
+    assert {x.getPath().getName() for x in store._ls(f"{store.root}/runs")} == {r.run_id for r in store.manifest()}
+
+
 def test_empty_store(spark, tmp_path):
     store = sharding.Store(spark, str(tmp_path / "e"))
     assert store.manifest() == [] and store.versions() == []

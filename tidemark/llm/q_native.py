@@ -91,8 +91,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = sharding.Store(spark, f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=32 << 20, base_bytes=1 << 20)
     store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")), "_arrival")
-    store.compact()
-    store.vacuum()
+    store.compact(keep_old=False)
     return store.read().select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), F.lit(store.versions()[-1]).cast("long").alias("version"), "run_id", "tier")
 
 

@@ -117,8 +117,12 @@ class Store:
             by_tier.setdefault(r.tier, []).append(r)
         return next((x[: self.fanout] for _, x in sorted(by_tier.items()) if len(x) >= self.fanout), [])
 
-    def compact(self) -> int:
-        """Merge until no tier has FANOUT runs; a version for each merge. Returns the number of merges."""
+    def compact(self, keep_old: bool = True) -> int:
+        """Merge until no tier has FANOUT runs; a version for each merge. Returns the number of merges.
+
+        Without keep_old, runs go as soon as the version without them is visible, so that beside the table itself there is
+        never more than one merge on disk; older versions can't be read then.
+        """
         merges = 0
         while due := self._due(runs := self.manifest()):
             version = self.versions()[-1] + 1
@@ -135,6 +139,8 @@ class Store:
             # runs that are merged must climb, else shards that pack better would be merged for ever
             merged = Run(run_id, merged.arrivals, max(merged.tier, due[0].tier + 1), merged.shards, rows, merged.bytes)
             self.commit([r for r in runs if r not in due] + [merged], version)
+            if not keep_old:
+                self.vacuum()
             merges += 1
         return merges
 
