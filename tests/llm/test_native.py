@@ -45,7 +45,7 @@ def test_targets(spark, own):
 def test_copies_come_near_targets_and_agree(spark):
     rows = [(i, f"s{i % 7 and 1 + i % 3}", "w " * (1 + i * 7919 % 50)) for i in range(6000)]
     found = mixing.copies(docs(spark, rows)).collect()
-    assert found == mixing.copies(docs(spark, rows).repartition(5)).sort("doc_id").collect() or sorted(found) == sorted(mixing.copies(docs(spark, rows).repartition(5)).collect())
+    assert sorted(found) == sorted(mixing.copies(docs(spark, rows).repartition(5)).collect())
     for s in {r.source for r in found}:
         mine = [r for r in found if r.source == s]
         assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) < 0.05 * mine[0].target
@@ -71,7 +71,7 @@ def test_drop_lines(spark):
     drop = {(s, x) for (s, x), n in lines.items() if sites[s] >= 20 and n > 0.1 * sites[s]}
     want = sorted((i, s, t if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in drop)) for i, s, t in rows if i != 900)
     got = line_dedup.drop_lines(docs(spark, rows), counts=True)
-    assert got.columns == [*DOCS.replace(",", "").split()[::2][:4], "n_lines", "n_dropped"] or "text" in got.columns
+    assert got.columns == [*DOCS.replace(",", "").split()[::2], "n_lines", "n_dropped"]
     key = lambda x: repr(x)
     assert sorted([(r.doc_id, r.source, r.text) for r in got.collect() if r.doc_id != 900], key=key) == sorted(want, key=key)
     assert got.where("doc_id = 900").first().text == "common\ncommon"

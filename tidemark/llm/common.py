@@ -14,5 +14,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def aside(df: DataFrame) -> DataFrame:
+    """df with all columns renamed to in_<name>, out of the way of an operator's own names."""
+    return df.withColumnsRenamed({c: f"in_{c}" for c in df.columns})
+
+
+def back(df: DataFrame, columns: list[str], *new: Column) -> DataFrame:
+    """Columns put aside under their names again, then new ones, which replace those of their names whatever the case."""
+    made = df.select(*new).columns if new else []
+    taken = {c.lower() for c in made}
+    return df.select(*[F.col(f"in_{c}").alias(c) for c in columns if c.lower() not in taken], *new)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

@@ -13,8 +13,8 @@ into blocks that no link crosses, and the metric recursion works within blocks.
 3. Recursion. A block too large for a task is dealt to Voronoi regions of pivots drawn from it by hash; a
    document also goes to each region whose pivot is at most 2 r farther than its nearest (the hyperplane
    window), and within a region to the ring of width r around the pivot that it lies in and the one before
-   (the ball window). Every link has a region and ring with both its ends. Regions recur until they fit; one that no
-   longer shrinks is dealt to a grid of chunk pairs, which is exact as well.
+   (the ball window). Every link has a region and ring with both its ends. Regions recur until they fit. Where the
+   windows exclude too little to be worth the copies, a block goes to a grid of chunk pairs, which is exact as well.
 4. Regions that fit are joined by products of their incidence matrices, in column tiles of bounded size. A task
    returns a spanning star of each local component and the number of links of each class; a link counts in
    the one region where its end of lesser id is at home.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import aside, back, small
 from tidemark.llm.shingles import shingles, signature
 from tidemark.operators.graph import components
 from tidemark.session import cut
@@ -41,8 +41,10 @@ from tidemark.session import cut
 #: log2 of the counters that order shingles, and the counters of one row on their way.
 COUNTER_BITS, CHUNK_BITS = 22, 16
 #: What one task joins: classes and shingles.
-LEAF_DOCS, LEAF_SHINGLES = 1200, 8_000_000
+LEAF_DOCS, LEAF_SHINGLES = 2500, 8_000_000
 PIVOTS, LEVELS = 8, 3
+#: A block is dealt to regions if their squared sizes come to less than this share of its own.
+WORTH = 0.6
 #: Incidence columns of a tile.
 TILE = 4096
 #: Rows of block membership (two numbers each) up to which it's broadcast instead of moving text.
@@ -174,8 +176,8 @@ def _sets(k: int):
     return run
 
 
-def _dealt(radius: float, level: int):
-    """Members with their block's pivots -> members of regions and rings, home and low added up."""
+def _dealt(radius: float, level: int, names_only: bool = False):
+    """Members with their block's pivots -> members of regions and rings, home and low added up; or only (block, parent)."""
 
     def distance(x: np.ndarray, p: np.ndarray) -> float:
         both = np.count_nonzero(p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x)
@@ -193,6 +195,9 @@ def _dealt(radius: float, level: int):
                         ring = int(d / radius + 1e-9)
                         for at in {ring, max(ring - 1, 0)}:
                             rows.append((f"{r['block']}/{i}.{at}", r["doc_id"], r["copies"], r["hashes"], r["home"] and i == near, r["low"] | (at == ring) << level, 0))
+            if names_only:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[0].rpartition("/")[0] for x in rows], pa.string())], ["block", "parent"])
+                continue
             for at in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x)) for x in rows[at : at + 2000]], schema=_arrow_schema())
 
@@ -259,7 +264,8 @@ def _joined_group(rows: list[tuple], percent: int) -> tuple[list, list]:
     stars = [(int(ids[label[i]]), int(ids[i])) for i in np.flatnonzero((label >= 0) & (label != np.arange(len(ids))))]
     levels = rows[0][0].count("/")
     mine = linked & ((low[:, None] | low[None, :]) == (1 << levels) - 1) if levels else linked
-    if len(np.unique(chunk)) > 1:
+    pair = rows[0][0].rpartition("#")[2].split("-")
+    if "#" in rows[0][0] and pair[0] != pair[1]:
         mine = mine & (chunk[:, None] != chunk[None, :])
     mine = np.triu(mine & home[:, None], 1)
     links = mine @ copies + mine.T @ copies
@@ -310,13 +316,18 @@ def _region_joins(members: DataFrame, percent: int, leaf_docs: int, leaf_shingle
         drawn = now.join(small(sizes), "block").where(F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(1 << 30)) < 4 * PIVOTS * (1 << 30) / F.col("docs"))
         few = drawn.groupBy("block").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("doc_id", F.lit(level)).alias("h"), "hashes"))), 1, PIVOTS).alias("p"))
         pivots = cut(few.select("block", F.transform("p", lambda x: x["hashes"]).alias("pivots")))
-        # a block that drew no pivot is dealt to the grid as it is
-        dealt = cut(now.join(small(pivots, 500), "block").mapInArrow(_dealt(radius, level), _MEMBER))
-        rest = now.join(small(pivots.select("block")), "block", "left_anti")
+        near = now.join(small(pivots, 500), "block")
+        sized = near.mapInArrow(_dealt(radius, level, True), "block string, parent string").groupBy("block", "parent").agg(F.count(F.lit(1)).alias("m"))
+        work = sized.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("work"))
+        worth = work.join(sizes.withColumnRenamed("block", "parent"), "parent").where(F.col("work") < WORTH * F.col("docs").cast("double") * F.col("docs"))
+        worth = small(cut(worth.select(F.col("parent").alias("block"))))
+        # a block that drew no pivot, or whose windows exclude too little, goes to the grid as it is
+        dealt = cut(near.join(worth, "block", "left_semi").mapInArrow(_dealt(radius, level), _MEMBER))
+        rest = now.join(worth, "block", "left_anti")
         found = cut(_sizes(dealt))
         over = found.where((F.col("docs") > leaf_docs) | (F.col("shingles") > leaf_shingles)).withColumn("parent", F.regexp_replace("block", "/[^/]*$", ""))
         was = sizes.select(F.col("block").alias("parent"), F.col("docs").alias("before"))
-        over = cut(over.join(was, "parent").withColumn("again", (F.col("docs") < 0.7 * F.col("before")) & F.lit(level + 1 < LEVELS)))
+        over = cut(over.join(was, "parent").withColumn("again", (F.col("docs") < 0.9 * F.col("before")) & F.lit(level + 1 < LEVELS)))
         fits = dealt.join(small(over).select("block"), "block", "left_anti")
         parts.append(_leaves(fits, percent))
         stuck = dealt.join(small(over.where("NOT again").select("block", "docs")), "block").unionByName(rest.join(small(sizes), "block"))
@@ -390,4 +401,5 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     Of each component the document of the least id stays, once for each of its rows; rows without an id stay.
     """
     found = linked_components(docs, doc_id, text, **how).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(cut(found), MEMBER_ROWS), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    left = aside(docs).join(small(cut(found), MEMBER_ROWS), F.col(f"in_{doc_id}").cast("long") == F.col("_gone"), "left_anti")
+    return back(left, docs.columns)

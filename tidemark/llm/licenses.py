@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS
+from tidemark.llm.common import BROADCAST_ROWS, aside, back
 from tidemark.llm.license_texts import NOTICES, TEXTS
 
 #: Lines that name a copyright holder, in Java's and RE2's syntax.
@@ -56,7 +56,7 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, str] | None = Non
     Columns of these names are replaced. Null text has no digest; texts without words share the digest of the
     empty form, which no licence has.
     """
-    digest = F.sha2(canonical(F.col(text)), 256)
-    out = docs.drop("license_id", "license_sha256").withColumn("canonical_sha256", digest)
+    out = aside(docs).withColumn("canonical_sha256", F.sha2(canonical(F.col(f"in_{text}")), 256))
     table = known(docs.sparkSession, texts).where(F.col("license_sha256") != F.sha2(F.lit(""), 256))
-    return out.join(F.broadcast(table), F.col("canonical_sha256") == F.col("license_sha256"), "left").drop("license_sha256")
+    found = out.join(F.broadcast(table), F.col("canonical_sha256") == F.col("license_sha256"), "left")
+    return back(found, docs.columns, F.col("canonical_sha256"), F.col("license_id"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import same, small
+from tidemark.llm.common import aside, same, small
 from tidemark.session import cut
 
 #: Share of a site's pages above which a line is dropped.
@@ -50,16 +50,16 @@ def drop_lines(pages: DataFrame, site: str = "source", text: str = "text", ratio
     and counts as a page; a page whose lines all go keeps an empty text; repeated rows are pages of their own.
     """
     found = small(boilerplate(pages, site, text, ratio, min_pages))
-    named = pages.drop("n_lines", "n_dropped") if counts else pages
-    lines = _lines(F.col(text))
+    column = F.col(f"in_{text}")
+    lines = _lines(column)
     common = lambda x: ~_blank(x) & F.coalesce(F.array_contains(F.col("_drop"), _key(x)), F.lit(False))
-    out = named.join(found, same(F.col(site), F.col("_site")), "left")
-    if counts:
-        size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
-        out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(size(F.filter(lines, lambda x: ~_blank(x)))).cast("long"))
-        out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(size(F.filter(lines, common))).cast("long"))
-    kept = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~common(x)), "\n"))
-    return out.withColumn(text, kept).drop("_site", "_drop")
+    out = aside(pages).join(found, same(F.col(f"in_{site}"), F.col("_site")), "left")
+    size = lambda x: F.when(column.isNull(), 0).otherwise(F.size(x)).cast("long")
+    new = [size(F.filter(lines, lambda x: ~_blank(x))).alias("n_lines"), size(F.filter(lines, common)).alias("n_dropped")] if counts else []
+    kept = F.when(F.col("_drop").isNull(), column).otherwise(F.array_join(F.filter(lines, lambda x: ~common(x)), "\n"))
+    # one select, as the counts are of the text as it was
+    columns = [c for c in pages.columns if not (counts and c.lower() in ("n_lines", "n_dropped"))]
+    return out.select(*[(kept if c == text else F.col(f"in_{c}")).alias(c) for c in columns], *new)
 
 
 #: Values of the page format, the same in Java's and RE2's syntax.

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import aside, back, same
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,18 +66,16 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     Columns of docs of these names are replaced. Null text has size 0; null sources are one source; rows with
     equal ids decide alike; without any words all copies are 0.
     """
-    sized = docs.withColumn("size", words(F.col(text)))
-    rates = source_targets(sized.select(source, "size"), source, **mix).withColumnRenamed(source, "_source")
-    whole = F.floor("_rate")
-    return (
-        sized.drop("source_size", "target", "copies")
-        .join(rates.withColumnRenamed("rate", "_rate"), F.col(source).eqNullSafe(F.col("_source")), "left")
-        .withColumn("copies", (whole + (chance(F.col(doc_id), seed) < F.col("_rate") - whole).cast("long")).cast("long"))
-        .drop("_source", "_rate")
-    )
+    sized = aside(docs).withColumn("size", words(F.col(f"in_{text}")))
+    rates = source_targets(sized.select(F.col(f"in_{source}").alias("source"), "size"), **mix)
+    whole = F.floor("rate")
+    taken = (whole + (chance(F.col(f"in_{doc_id}"), seed) < F.col("rate") - whole).cast("long")).cast("long")
+    joined = sized.join(rates, same(F.col(f"in_{source}"), F.col("source")), "left")
+    return back(joined, docs.columns, F.col("size"), F.col("source_size"), F.col("target"), taken.alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document copies times, with a copy number from 1 in the column copy_no."""
-    found = copies(docs, **how).where("copies > 0")
-    return found.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[c for c in docs.columns if c != "copy_no"], "copy_no")
+    found = copies(aside(docs), **{k: f"in_{how.get(k, k)}" for k in ("doc_id", "source", "text")}, **{k: v for k, v in how.items() if k not in ("doc_id", "source", "text")})
+    each = found.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return back(each, docs.columns, F.col("copy_no"))
