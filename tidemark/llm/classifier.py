@@ -3,7 +3,7 @@
 Words are split into runs of letters, digits and marks, and hashed to buckets. Each bucket has a sparse random
 index vector given by its number; its word vector is the sum of the index vectors around its occurrences in all
 documents, gathered in tables of fixed size (BUCKETS by DIMENSIONS), one a task, that are added up by slices. A
-document's vector has the mean and spread of its words' vectors. The network learns from at most SAMPLE
+document's vector has the mean and spread of its words' vectors and how alike neighbours' are. The network learns from at most SAMPLE
 labelled rows, those of least hash; a temperature found on rows that it didn't learn from calibrates it.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS, DIMENSIONS, NONZEROS, WINDOW = 16, 32, 2, 2
 BUCKETS = 1 << BUCKET_BITS
+#: Numbers of a document: mean and spread of its words' vectors, three likenesses of neighbours, length.
+FEATURES = 2 * DIMENSIONS + 4
 #: Most labelled rows that the network learns from and is calibrated on.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
@@ -112,19 +114,26 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """A row a text: mean and spread of its words' vectors, and its length; zeros without words."""
-    out = np.zeros((len(texts), 2 * DIMENSIONS + 1), np.float32)
+    """A row a text: mean and spread of its words' vectors, how alike neighbours' vectors are (on average; equal; equal
+    but for one word between), and its length; zeros without words."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
     for start in range(0, len(texts), DOCS_AT_ONCE):
         parts = [buckets(x) for x in texts[start : start + DOCS_AT_ONCE]]
         rows = start + np.flatnonzero([len(x) for x in parts])
         if not len(rows):
             continue
         sizes = np.array([len(x) for x in parts if len(x)])
-        vectors, at = table[np.concatenate(parts)], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        words, at = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        vectors, of, alike = table[words], np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(words), 3), np.float32)
+        alike[:-1, 0] = np.einsum("ij,ij->i", vectors[:-1], vectors[1:])
+        alike[:-1, 1], alike[:-2, 2] = words[:-1] == words[1:], words[:-2] == words[2:]
+        for column, gap in ((0, 1), (1, 1), (2, 2)):
+            alike[:-gap, column][of[:-gap] != of[gap:]] = 0
         mean = np.add.reduceat(vectors, at, axis=0) / sizes[:, None]
         square = np.add.reduceat(vectors * vectors, at, axis=0) / sizes[:, None]
         out[rows, :DIMENSIONS] = mean
-        out[rows, DIMENSIONS:-1] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[rows, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[rows, 2 * DIMENSIONS : -1] = np.add.reduceat(alike, at, axis=0) / sizes[:, None]
         out[rows, -1] = np.log1p(sizes) / 10
     return out
 
@@ -213,5 +222,5 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     found = picked.select(order.alias("h"), "_y", "_t").mapInArrow(rows, "h long, y double, x binary").collect()
     found.sort(key=lambda r: (r.h, r.y, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(-1, 2 * DIMENSIONS + 1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(-1, FEATURES)
     return Model(vectors, context.broadcast(train(x, np.array([r.y for r in found]))))
