@@ -28,153 +28,155 @@ H2, H1 = 2048, 1024
 #: Steps between new order-0 intervals, after the first few.
 REFRESH = 128
 _BOTTOM = np.uint64(1 << 40)
+_TOP = np.uint64(1 << 48)
 _S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
 
 
 class _Model:
-    """What all lanes know. predict() before an id, update() after it."""
+    """What all lanes know. predict() before an id, update() after it.
+
+    Tables are flat, a stretch a lane. An entry of an order's table is id * 4 + confidence (0 to 3). hit2 and hit1 are
+    the chances, of 4096, that order 2's or order 1's id comes; each order has its own pair by its confidence.
+    """
 
     def __init__(self, lanes: int, uppers: int, decoding: bool):
-        self.n, self.uppers, self.decoding = lanes, uppers, decoding
+        self.lanes, self.uppers, self.decoding = lanes, uppers, decoding
         self.lane = np.arange(lanes)
-        self.at2, self.at1 = self.lane * H2, self.lane * H1
-        self.id2, self.sure2 = np.zeros(lanes * H2, np.int32), np.zeros(lanes * H2, np.int8)
-        self.id1, self.sure1 = np.zeros(lanes * H1, np.int32), np.zeros(lanes * H1, np.int8)
-        self.means2 = np.tile(np.array([2048, 1536, 512], np.int32), (lanes * 4, 1))
-        self.means1 = np.tile(np.array([2048, 1536, 512], np.int32), (lanes * 8, 1))
+        self.at2, self.at1, self.by2, self.by1 = self.lane * H2, self.lane * H1, self.lane * 4, self.lane * 8
+        self.order2, self.order1 = np.zeros(lanes * H2, np.int32), np.zeros(lanes * H1, np.int32)
+        self.hits = [np.full(lanes * n, chance, np.int32) for n in (4, 8) for chance in (1536, 512)]
         self.weight = np.full(lanes, 2048, np.int32)
-        self.count = np.zeros((lanes, uppers), np.int64)
+        self.count = np.zeros(lanes * uppers, np.int64)
+        self.count_at, self.cum_at = self.lane * uppers, self.lane * (uppers + 1)
         self.last = self.before = np.zeros(lanes, np.int64)
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        total = np.maximum(self.count.sum(axis=1, keepdims=True), 1)
-        freq = 1 + self.count * (4096 - self.uppers) // total
-        self.cum = np.zeros((self.n, self.uppers + 1), np.int64)
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-        self.cum[:, 1:] += 4096 - self.cum[:, -1:]  # what rounding leaves goes to the first
+        count = self.count.reshape(self.lanes, self.uppers)
+        freq = 1 + count * (4096 - self.uppers) // np.maximum(count.sum(axis=1, keepdims=True), 1)
+        cum = np.zeros((self.lanes, self.uppers + 1), np.int64)
+        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        cum[:, 1:] += 4096 - cum[:, -1:]  # what rounding leaves goes to the first
+        self.cum = cum.ravel()
         if self.decoding:
-            self.upper_of = np.repeat(np.tile(np.arange(self.uppers, dtype=np.uint8), self.n), np.diff(self.cum, axis=1).ravel())
+            self.upper_of = np.repeat(np.tile(np.arange(self.uppers, dtype=np.uint8), self.lanes), np.diff(cum, axis=1).ravel())
 
     def predict(self) -> None:
-        step = self.step
-        if step and (step % REFRESH == 0 or step in (8, 24, 56)):
+        if self.step and (self.step % REFRESH == 0 or self.step in (8, 24, 56)):
             self._refresh()
         self.k2 = self.at2 + ((self.last * 40503 + self.before * 30011 >> 5) & H2 - 1)
         self.k1 = self.at1 + ((self.last * 40503 >> 4) & H1 - 1)
-        self.p2, self.n2 = self.id2[self.k2], self.sure2[self.k2]
-        self.p1, self.n1 = self.id1[self.k1], self.sure1[self.k1]
-        self.m2, self.m1 = self.lane * 4 + self.n2, self.lane * 8 + self.n1 * 2 + (self.p1 == self.p2)
-        self.r2, self.r1 = self.means2[self.m2], self.means1[self.m1]
-        mixed = (self.r2 - self.r1) * self.weight[:, None] // 4096 + self.r1
-        self.f1, self.f2 = mixed[:, 1].astype(np.int64), mixed[:, 2].astype(np.int64)
+        e2, e1 = self.order2.take(self.k2), self.order1.take(self.k1)
+        self.p2, self.n2, self.p1, self.n1 = e2 >> 2, e2 & 3, e1 >> 2, e1 & 3
+        self.m2, self.m1 = self.by2 + self.n2, self.by1 + (self.n1 * 2 + (self.p1 == self.p2))
+        self.chances = a1, a2, b1, b2 = [t.take(m) for t, m in zip(self.hits, (self.m2, self.m2, self.m1, self.m1))]
+        self.f1 = (b1 + ((a1 - b1) * self.weight >> 12)).astype(np.int64)
+        self.f2 = (b2 + ((a2 - b2) * self.weight >> 12)).astype(np.int64)
         self.f0 = 4096 - self.f1 - self.f2
 
-    def interval(self, symbol: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of an id's interval in 2^32."""
-        low = self.cum[self.lane, upper]
-        size = self.cum[self.lane, upper + 1] - low
-        plain = symbol == 0
-        start = np.where(plain, self.f0 * ((low << 8) + size * lower), np.where(symbol == 1, self.f0, self.f0 + self.f1) << 20)
-        freq = np.where(plain, self.f0 * size, np.where(symbol == 1, self.f1, self.f2) << 20)
+    def interval(self, is1: np.ndarray, is2: np.ndarray, low: np.ndarray, size: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an id's interval in 2^32; low and size are its upper byte's of order 0."""
+        found = is1 | is2
+        start = np.where(found, self.f0 + is2 * self.f1 << 20, self.f0 * ((low << 8) + size * lower))
+        freq = np.where(found, np.where(is1, self.f1, self.f2) << 20, self.f0 * size)
         return start.astype(np.uint64), freq.astype(np.uint64)
 
-    def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        for table, sure, k, p, n in ((self.id2, self.sure2, self.k2, self.p2, self.n2), (self.id1, self.sure1, self.k1, self.p1, self.n1)):
-            hit = p == ids
-            table[k] = np.where(n > 0, p, ids)
-            sure[k] = np.where(hit, np.minimum(n + 1, 3), np.maximum(n - 1, 0))
-        lane = self.lane
-        self.weight = np.clip(self.weight + (self.r2[lane, symbol] - self.r1[lane, symbol] >> 5), 256, 3840)
-        for means, m, r in ((self.means2, self.m2, self.r2), (self.means1, self.m1, self.r1)):
-            r = r - (r >> 5)
-            r[lane, symbol] += 4096 - (r[:, 0] + r[:, 1] + r[:, 2])
-            means[m] = r
-        plain = np.flatnonzero(symbol == 0)
-        self.count[plain, ids[plain] >> 8] += 1
+    def update(self, ids: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
+        a1, a2, b1, b2 = self.chances
+        was = np.where(is1, a1 - b1, np.where(is2, a2 - b2, b1 + b2 - a1 - a2))
+        self.weight = np.minimum(np.maximum(self.weight + (was >> 5), 256), 3840)
+        full1, full2 = is1.astype(np.int32) << 12, is2.astype(np.int32) << 12
+        for table, m, old, full in zip(self.hits, (self.m2, self.m2, self.m1, self.m1), self.chances, (full1, full2, full1, full2)):
+            table[m] = np.maximum(old + (full - old >> 5), 16)
+        for table, k, p, n in ((self.order2, self.k2, self.p2, self.n2), (self.order1, self.k1, self.p1, self.n1)):
+            sure = np.maximum(np.minimum(n + 2 * (p == ids) - 1, 3), 0)
+            table[k] = (np.where(n > 0, p, ids) << 2) + sure
+        rest = np.flatnonzero(~(is1 | is2))
+        self.count[self.count_at[rest] + (ids[rest] >> 8)] += 1
         self.before, self.last = self.last, ids
         self.step += 1
 
 
+def _settle(low: np.ndarray, size: np.ndarray, move) -> None:
+    """Shift words out of lanes whose upper 16 bits are settled or whose range is too small; move(lanes) takes or gives a word."""
+    some = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOTTOM))
+    while len(some):
+        x, s = low[some], size[some]
+        settled = (x ^ (x + s)) < _TOP
+        s = np.where(settled, s, -x & (_BOTTOM - np.uint64(1)))
+        move(some, x)
+        x, s = x << _S16, s << _S16
+        low[some], size[some] = x, s
+        some = some[((x ^ (x + s)) < _TOP) | (s < _BOTTOM)]
+
+
 def _encode_lanes(ids: np.ndarray, uppers: int) -> list[bytes]:
     lanes, steps = ids.shape
-    model = _Model(lanes, uppers, False)
-    out, at = np.zeros((lanes, 2 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
+    model, wide = _Model(lanes, uppers, False), 2 * steps + 8
+    out, at = np.zeros(lanes * wide, "<u2"), np.arange(lanes) * wide
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    for now in columns:
+
+    def move(some: np.ndarray, x: np.ndarray) -> None:
+        place = at[some]
+        out[place] = x >> _S48
+        at[some] = place + 1
+
+    for now in np.ascontiguousarray(ids.T.astype(np.int64)):
         model.predict()
-        symbol = np.where(now == model.p2, 1, np.where(now == model.p1, 2, 0))
-        start, freq = model.interval(symbol, now >> 8, now & 255)
+        is1 = now == model.p2
+        is2 = (now == model.p1) & ~is1
+        place = model.cum_at + (now >> 8)
+        begins = model.cum.take(place)
+        start, freq = model.interval(is1, is2, begins, model.cum.take(place + 1) - begins, now & 255)
         unit = size >> _S32
         low += unit * start
         size = unit * freq
-        while True:
-            ready = (low ^ (low + size)) < np.uint64(1 << 48)
-            tight = ~ready & (size < _BOTTOM)
-            if tight.any():
-                size[tight] = -low[tight] & (_BOTTOM - np.uint64(1))
-                ready |= tight
-            some = np.flatnonzero(ready)
-            if not len(some):
-                break
-            x = low[some]
-            out[some, at[some]] = x >> _S48
-            at[some] += 1
-            low[some] = x << _S16
-            size[some] <<= _S16
-        model.update(now, symbol)
+        _settle(low, size, move)
+        model.update(now, is1, is2)
     for _ in range(4):
-        out[model.lane, at] = low >> _S48
-        at += 1
+        move(model.lane, low)
         low <<= _S16
-    return [out[i, : at[i]].tobytes() for i in range(lanes)]
+    return [out[i * wide : at[i]].tobytes() for i in range(lanes)]
 
 
 def _decode_lanes(blocks: list[bytes], steps: int, uppers: int) -> np.ndarray:
     lanes = len(blocks)
     model = _Model(lanes, uppers, True)
     lengths = np.array([len(x) // 2 for x in blocks])
-    data = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    data = np.frombuffer(b"".join(blocks) + bytes(64), "<u2").astype(np.uint64)
+    at, last_word = np.concatenate(([0], np.cumsum(lengths)[:-1])), len(data) - 1
     code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = code << _S16 | data[at]
-        at = at + 1
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    out, most, last_word = np.empty((steps, lanes), np.int64), np.uint64((1 << 32) - 1), len(data) - 1
+
+    def move(some: np.ndarray, _: np.ndarray) -> None:
+        place = at[some]
+        code[some] = code[some] << _S16 | data[np.minimum(place, last_word)]
+        at[some] = place + 1
+
+    for _ in range(4):
+        move(model.lane, low)
+    out, most, inside = np.empty((steps, lanes), np.int64), np.uint64((1 << 32) - 1), model.lane * 4096
     for step in range(steps):
         model.predict()
         unit = size >> _S32
         value = np.minimum((code - low) // unit, most).astype(np.int64)
-        f0, f1 = model.f0, model.f1
         top = value >> 20
-        symbol = np.where(top < f0, 0, np.where(top < f0 + f1, 1, 2))
-        plain = symbol == 0
-        inner = np.where(plain, value // f0, 0)
-        upper = model.upper_of[model.lane * 4096 + (inner >> 8)].astype(np.int64)
-        begins = model.cum[model.lane, upper]
-        lower = np.where(plain, (inner - (begins << 8)) // (model.cum[model.lane, upper + 1] - begins), 0)
-        now = np.where(plain, upper << 8 | lower, np.where(symbol == 1, model.p2, model.p1))
-        start, freq = model.interval(symbol, upper, lower)
+        found, is2 = top >= model.f0, top >= model.f0 + model.f1
+        is1 = found & ~is2
+        inner = np.where(found, 0, value // model.f0)
+        upper = model.upper_of.take(inside + (inner >> 8)).astype(np.int64)
+        place = model.cum_at + upper
+        begins = model.cum.take(place)
+        width = model.cum.take(place + 1) - begins
+        lower = np.where(found, 0, (inner - (begins << 8)) // width)
+        now = np.where(found, np.where(is1, model.p2, model.p1), upper << 8 | lower)
+        start, freq = model.interval(is1, is2, begins, width, lower)
         low += unit * start
         size = unit * freq
-        while True:
-            ready = (low ^ (low + size)) < np.uint64(1 << 48)
-            tight = ~ready & (size < _BOTTOM)
-            if tight.any():
-                size[tight] = -low[tight] & (_BOTTOM - np.uint64(1))
-                ready |= tight
-            some = np.flatnonzero(ready)
-            if not len(some):
-                break
-            code[some] = code[some] << _S16 | data[np.minimum(at[some], last_word)]
-            at[some] += 1
-            low[some] <<= _S16
-            size[some] <<= _S16
+        _settle(low, size, move)
         out[step] = now
-        model.update(now, symbol)
+        model.update(now, is1, is2)
     return np.ascontiguousarray(out.T)
 
 
