@@ -118,6 +118,8 @@ class Codec:
         self.encode_bytes = PartEncoder(self._matches)
 
     def _matches(self, text: str) -> bytes:
+        if not text:
+            return b""
         # what the pattern gives for the two commonest parts: letters, and letters with one mark at the end
         if self.plain:
             word = text[1:] if text[0] == " " else text
