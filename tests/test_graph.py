@@ -30,3 +30,4 @@ def by_union_find(edges):
 def test_components(spark, edges):
     frame = spark.createDataFrame([*edges, (None, 4), (5, None)], "src long, dst long")
     assert {r.node: r.component for r in components(frame).collect()} == by_union_find(edges)
+    assert {r.node: r.component for r in components(frame, one_task_rows=1000).collect()} == by_union_find(edges)

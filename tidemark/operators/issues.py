@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import components
+from tidemark.operators.graph import components as every_component
 from tidemark.operators.history import status
 from tidemark.operators.ranking import community_context
 from tidemark.operators.similarity import DUPLICATE, NUMBER_HOME, cooccurrence, jaccard_pairs, token_idf
@@ -28,6 +28,12 @@ NUMBER = r"^[0-9]"
 #: Fixed values of the clustering rules.
 MERGE_CO, MERGE_SHARE, BIG_POSTS, BIG_SOURCES, COHESION = 2, 0.3, 15, 8, 0.5
 ITEMS, HOT, REPS, NAME_WORDS = 8, 6, 3, 4
+#: Edges that one task joins; a round of posts has fewer, and more are joined in rounds over all tasks.
+ONE_TASK_EDGES = 200_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    return every_component(edges, one_task_rows=ONE_TASK_EDGES)
 
 
 def _one_best(found: DataFrame, by: str, order: list[str]) -> DataFrame:
