@@ -91,15 +91,19 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarity(described: DataFrame) -> np.ndarray:
-    """Class of each counter, higher for more frequent shingles; 2^COUNTER_BITS bytes, whatever the input."""
+    """Place of each counter in the order, later for larger counts; 2^COUNTER_BITS bytes, whatever the input.
+
+    Counts are told apart in twelfths of the deviation that chance gives them, so that even a shingle of a few more
+    documents than its counter's other ones comes after nearly all that are alone.
+    """
     parts = described.where("chunk IS NOT NULL").select("chunk", "counts").repartition(8, "chunk").mapInArrow(_summed, "chunk int, counts binary").collect()
     counts = np.zeros((1 << COUNTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.float64)
     for chunk, data in parts:
         counts[chunk] = np.frombuffer(data, np.uint32)
     counts = counts.ravel()
     load = counts.mean()
-    # counts that chance alone explains are one class
-    return np.where(counts <= load + 5 * load**0.5 + 2, 0, np.log2(counts + 1) * 4 + 1).astype(np.uint8)
+    z = (counts - load) / max(load, 0.05) ** 0.5
+    return np.clip(np.where(z < 11, 64 + 12 * z, 196 + 3 * np.log2(np.maximum(z - 10, 1))), 0, 255).astype(np.uint8)
 
 
 def _prefixes(k: int, percent: int, rarity):
