@@ -151,11 +151,13 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         run = codec(rank_file, pattern).encode_bytes
-        made = [run(x) for x in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in made)])
+        made, ends = bytearray(), [0]  # one buffer, and one text at a time beside it
+        for text in texts:
+            made += run(text.as_py())
+            ends.append(len(made) // 4)
         if ends[-1] >= 1 << 31:
             raise ValueError("a batch has over 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(made, "<i4")))
 
     return ids(text)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import aside, back, small
-from tidemark.llm.shingles import shingles, signature
+from tidemark.llm.shingles import forget, shingles, signature
 from tidemark.operators.graph import components
 from tidemark.session import cut
 
@@ -73,6 +73,7 @@ def _described(k: int):
                 if len(flat := np.concatenate(made[at : at + 1000])):
                     np.add.at(counters, (flat & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), 1)
                     some = True
+        forget()
         if some:
             rows = np.minimum(counters, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             none = pa.nulls(len(rows), pa.int64())
@@ -130,6 +131,7 @@ def _prefixes(k: int, percent: int, rarity):
                     lengths = [len(x) for x in parts]
                     columns = np.repeat(np.array(rows, np.int64), lengths, axis=0).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *map(_long, columns)], ["token", "n", "s1", "s2"])
+        forget()
 
     return run
 

@@ -12,7 +12,7 @@ class _Words(dict):
     """Hash of a word; emptied at a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = made = xxhash.xxh3_64_intdigest(word)
         return made
@@ -21,6 +21,11 @@ class _Words(dict):
 _hash_of = _Words()
 
 
+def forget() -> None:
+    """Give back what hashes of words take; for the end of a task, as the worker goes on to others."""
+    _hash_of.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[3]
     return x ^ (x >> np.uint64(29))
