@@ -78,6 +78,16 @@ def test_drop_lines(spark):
     assert line_dedup.drop_lines(docs(spark, [])).count() == 0
 
 
+def test_drop_lines_of_small_sites(spark):
+    rows = [(i, "a", f"nav\nown {i}") for i in range(19)] + [(30 + i, "b", f"foot\nown {i}" if i < 3 else f"twice\nown {i}") for i in range(5)]
+    rows += [(50, "c", "same\npage"), (51, "c", "same\npage"), (60, None, "nav\nx"), (61, None, "nav\ny"), (62, None, "nav\nz")]
+    want = {i: t if s == "c" else "\n".join(x for x in t.split("\n") if x not in ("nav", "foot")) for i, s, t in rows}
+    got = line_dedup.drop_lines(docs(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    assert line_dedup.drop_lines(docs(spark, rows), min_pages=20).where("text like '%nav%'").count() == 22
+    assert line_dedup.drop_lines(docs(spark, rows), min_with=2).where("doc_id in (50, 51) and text = ''").count() == 2
+
+
 def test_page_text_and_host(spark):
     got = spark.range(1).select(
         line_dedup.page_text(F.lit("<p>a<b>b</b></p><script>x<y</script><!-- <p>no -->\nend")).alias("t"),

@@ -62,9 +62,9 @@ SELECT d.doc_id, d.canonical_sha256, k.license_id FROM d LEFT JOIN k ON d.canoni
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's text without its host's boilerplate lines."""
+    """Every page's text without its host's boilerplate lines; hosts under MIN_PAGES pages keep all, as OP8_SQL has it."""
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text"))
-    return line_dedup.drop_lines(pages, "host", "text", counts=True).select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return line_dedup.drop_lines(pages, "host", "text", min_pages=line_dedup.MIN_PAGES, counts=True).select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 OP8_SQL = rf"""
