@@ -115,6 +115,25 @@ def test_license_variants(spark):
     assert licenses.scan(frame.limit(0)).count() == 0 and licenses.scan(frame, texts={}).where("license_id is not null").count() == 0
 
 
+def test_license_forms(spark):
+    common = lambda name: open(f"/usr/share/common-licenses/{name}").read()
+    body, bsd = licenses.TEXTS["MIT-untitled"], licenses.TEXTS["BSD-3-Clause"]
+    flowed = "\n\n".join(" ".join(p.split()) for p in common("Apache-2.0").split("\n\n"))
+    plain = {
+        "Apache-2.0": [common("Apache-2.0"), flowed, common("Apache-2.0").split("END OF TERMS")[0], "Distributed under the Apache-2.0 license"],
+        "GPL-2.0": [common("GPL-2"), common("GPL-2").split("How to Apply")[0]], "GPL-3.0": [common("GPL-3"), "Licensed under GPLv3"],
+        "LGPL-2.1": [common("LGPL-2.1")], "MPL-2.0": [common("MPL-2.0")], "CC0-1.0": [common("CC0-1.0")],
+        "CC-BY-SA-4.0": [licenses.TEXTS["CC-BY-SA-4.0"], "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+        "MIT": ["The MIT License (MIT)\n\nCopyright The Foo Authors\n\n" + body, "MIT License\nCopyright: Foo Inc.\n" + body],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright Foo\n" + bsd, "BSD 3-Clause License\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")],
+    }
+    # a wrapped line of the text itself isn't a holder's
+    plain["BSD-3-Clause"].append(bsd.replace("above copyright notice", "above\ncopyright notice").replace("the copyright holder nor", "the\ncopyright holder nor"))
+    rows = [(k, text) for k, texts in plain.items() for text in texts]
+    got = licenses.scan(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [(r.want, r.license_id, r.text[:40]) for r in got if not (r.license_id or "").startswith(r.want)] == []
+
+
 # sharding
 
 
