@@ -23,6 +23,15 @@ def test_odd_texts():
     assert [x for x in ODD if not same(x)] == []
 
 
+def test_other_vocabulary_and_pattern(tmp_path):
+    ranks = {bytes([i]): i for i in range(256)} | {b"  ": 256, b"\n ": 257, b"a ": 258, b"a a": 259}
+    (tmp_path / "r").write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in ranks.items()))
+    for pattern in (P.PATTERN, r"[\s\S]+"):
+        theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ours = bpe.Codec(str(tmp_path / "r"), pattern)
+        assert [x for x in ["a  ", "a\n ", "  ", " ", "a ", "a a a", "b  a \n ", *ODD[:8]] if ours.encode(x).tolist() != theirs.encode_ordinary(x)] == []
+
+
 def test_random_texts():
     rnd = random.Random(5)
     marks = " \n\t'ab1é#漢 .,s  "

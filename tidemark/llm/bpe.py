@@ -115,7 +115,8 @@ class Codec:
         self.find, self.plain = regex.compile(pattern).findall, pattern == GPT_PATTERN
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.ranks.values()}
         self.kept = Kept(self._piece, "", most)
-        self.encode_bytes = PartEncoder(self._matches)
+        # only the public pattern splits where parts are cut
+        self.encode_bytes = PartEncoder(self._matches) if self.plain else lambda text: self._matches(text or "")
 
     def _matches(self, text: str) -> bytes:
         if not text:

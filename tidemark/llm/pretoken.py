@@ -2,8 +2,8 @@
 
 The pattern starts a new match before a space that has a character other than white
 space on at least one side: a run of white space gives all but its last character to one match, and its last
-character, if a space, to what follows. Texts with a space between two white space characters are matched as
-a whole.
+character, if a space, to what follows. Texts with a space between two white space characters, or between one and
+the end, are matched as a whole.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_INNER = re.compile(r"\s \s")
+_INNER = re.compile(r"\s (?:\s|\Z)")
 #: Parts longer than this are encoded each time and not kept.
 KEEP_CHARS = 64
 
