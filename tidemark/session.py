@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder of spark.checkpoint.dir; where none is set, a temporary one in local mode, else a ValueError."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return os.path.dirname(sc.getCheckpointDir())
 
