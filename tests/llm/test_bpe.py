@@ -47,6 +47,34 @@ def test_ties_and_long_pre_tokens():
     assert len(bpe.merge(b"a" * 400_000, ranks)) == 100_000
 
 
+def test_lower_ranks_of_grown_tokens():
+    """A vocabulary that no training gives: tokens with a lower rank than their parts go first once they can."""
+    ranks = {bytes([i]): i + 1000 for i in range(256)} | {b"ab": 500, b"abc": 3, b"cd": 400, b"ca": 450, b"abcab": 2, b"dab": 1}
+    rnd = random.Random(3)
+    pieces = [bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(1, 25))) for _ in range(400)]
+    table = bpe.Ranks(ranks)
+    for some in (pieces, pieces[:1]):
+        got = [[int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] for ids in bpe.merged(some, table)]
+        assert got == [by_rule_of(p, ranks) for p in some]
+
+
+def test_many_slices_agree(monkeypatch):
+    from tidemark.llm import pretoken
+
+    monkeypatch.setattr(pretoken, "SLICE_BYTES", 40)
+    docs = [*ODD, None, "one two. two\nThree  four", "x" * 300, "a b" * 100, ""]
+    import pyarrow as pa
+
+    small = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep_bytes=2000)
+    texts, at = pa.array(["not this", *docs])[1:], 0
+    for first, ids, ends in small.parts.slices(texts):
+        assert first == at
+        for a, b in zip([0, *ends], ends):
+            assert ids[a:b].tolist() == THEIRS.encode_ordinary(docs[at] or "")
+            at += 1
+    assert at == len(docs)
+
+
 def by_rule_of(piece, ranks):
     if piece in ranks:
         return [ranks[piece]]

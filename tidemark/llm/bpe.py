@@ -4,161 +4,192 @@ Pairs wait in a bucket per merge rank, which holds their start positions. A bitm
 with entries and a bit above for each group of buckets, so find-first-set gives the lowest rank in two steps,
 whatever the length of the pre-token. Parts are a linked list over start positions; an entry whose pair has
 changed since is skipped when it surfaces. Encoding takes O(n log n) in a pre-token's length.
+
+Pre-tokens don't meet, so many of them share one queue: laid end to end with gaps that no pair crosses, a bucket then
+holds the positions of all of them and is found once.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretoken import Kept, PartEncoder
+from tidemark.llm.common import give_back
+from tidemark.llm.pretoken import KEEP_BYTES, PartEncoder
 
 #: The public pattern, for which common parts are told without it. A fixed value.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Buckets under one word of the lower bitmap.
 GROUP_BITS = 8
 LOW_MASK = (1 << GROUP_BITS) - 1
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token.
-
-    buckets: rank -> start position, or a heap of them where there are more. low: group of ranks -> bits of its
-    ranks that have a bucket; top: bits of the groups. Pushing and popping stand in line, as calls would take
-    most of the time of the usual short pre-tokens.
-    """
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n, get = len(piece), ranks.get
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    # rank of the pair that starts at a position; -1: none
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
-    buckets: dict[int, int | list[int]] = {}
+#: Bytes of pre-tokens that share a queue; a longer one has its own.
+QUEUE_BYTES = 1 << 14
+
+
+class Ranks:
+    """Merge ranks, and tables of the ids of single bytes and of the ranks of pairs of bytes (-1: none)."""
+
+    def __init__(self, of: dict[bytes, int]):
+        self.of = of
+        self.single = np.array([of.get(bytes([a]), -1) for a in range(256)], np.int64)
+        self.double = np.array([of.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+
+
+def _queued(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """Ids of pre-tokens that aren't tokens themselves, as little-endian unsigned 32-bit numbers."""
+    data, get = b"\0" + b"\0".join(pieces) + b"\0", ranks.of.get
+    gaps = np.concatenate(([0], np.cumsum([len(x) + 1 for x in pieces])))
+    codes, n = np.frombuffer(data, np.uint8).astype(np.int64), len(data)
+    first = ranks.double[codes[:-1] << 8 | codes[1:]]
+    first[gaps[:-1]] = first[gaps[1:] - 1] = -1
+    follows = np.arange(1, n + 1)
+    follows[gaps] = 0  # a gap has no part after it
+    order = np.argsort(first, kind="stable")
+    order = order[np.searchsorted(first[order], 0) :]
+    known, at = np.unique(first[order], return_index=True)
+    places, bounds = order.tolist(), [*at.tolist(), len(order)]
+    buckets = {rank: places[a:b] for rank, a, b in zip(known.tolist(), bounds, bounds[1:])}
     low: dict[int, int] = {}
-    top, new = 0, [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
-    while True:
-        for rank, at in new:
-            if rank in buckets:
-                bucket = buckets[rank]
-                if type(bucket) is int:
-                    buckets[rank] = bucket = [bucket]
-                heappush(bucket, at)
-            else:
-                buckets[rank] = at
-                group = rank >> GROUP_BITS
-                if top >> group & 1:
-                    low[group] |= 1 << (rank & LOW_MASK)
-                else:
-                    low[group] = 1 << (rank & LOW_MASK)
-                    top |= 1 << group
-        if not top:
-            break
+    for rank in buckets:
+        low[rank >> GROUP_BITS] = low.get(rank >> GROUP_BITS, 0) | 1 << (rank & LOW_MASK)
+    top = sum(1 << group for group in low)
+    after, before, pair, ids = follows.tolist(), list(range(-1, n - 1)), [*first.tolist(), -1], ranks.single[codes].tolist()
+    gone: list[int] = []
+
+    def push(rank: int, bits: int) -> int:
+        group = rank >> GROUP_BITS
+        low[group] = low.get(group, 0) | 1 << (rank & LOW_MASK)
+        return bits | 1 << group
+
+    while top:
         group = (top & -top).bit_length() - 1
         word = low[group]
-        first = word & -word
-        rank = group << GROUP_BITS | first.bit_length() - 1
-        i = buckets[rank]
-        if type(i) is int:
-            emptied = True
-        else:
-            bucket = i
-            i = heappop(bucket)
-            emptied = not bucket
-        if emptied:
-            del buckets[rank]
-            if word == first:
-                top ^= 1 << group
-            else:
-                low[group] = word ^ first
-        new = []
-        if pair[i] != rank:  # stale
-            continue
-        j = after[i]
-        after[i] = k = after[j]
-        pair[j] = -1
-        if k < n:
-            before[k] = i
-            pair[i] = rank = get(piece[i : after[k]], -1)
-            if rank >= 0:
-                new.append((rank, i))
-        else:
-            pair[i] = -1
-        h = before[i]
-        if h >= 0:
-            pair[h] = rank = get(piece[h:k], -1)
-            if rank >= 0:
-                new.append((rank, h))
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : (i := after[i])]])
-    return ids
+        lowest = word & -word
+        rank = group << GROUP_BITS | lowest.bit_length() - 1
+        low[group] = word ^ lowest
+        if word == lowest:
+            top ^= 1 << group
+        bucket = buckets.pop(rank)
+        bucket.sort()
+        for turn, i in enumerate(bucket):
+            if pair[i] != rank:  # stale
+                continue
+            j = after[i]
+            after[i] = k = after[j]
+            before[k], pair[j], ids[i] = i, -1, rank
+            gone.append(j)
+            least = rank + 1
+            pair[i] = new = get(data[i:end], -1) if (end := after[k]) else -1
+            if new >= 0:
+                if (some := buckets.get(new)) is None:
+                    buckets[new] = [i]
+                    top = push(new, top)
+                    least = min(least, new)
+                else:
+                    some.append(i)
+            h = before[i]
+            if after[h]:
+                pair[h] = new = get(data[h:k], -1)
+                if new >= 0:
+                    if (some := buckets.get(new)) is None:
+                        buckets[new] = [h]
+                        top = push(new, top)
+                        least = min(least, new)
+                    else:
+                        some.append(h)
+            if least <= rank:  # a lower rank came up, which no trained vocabulary has: it goes first
+                buckets.setdefault(rank, []).extend(bucket[turn + 1 :])
+                top = push(rank, top)
+                break
+    lives = np.ones(n, bool)
+    lives[gone] = lives[gaps] = False
+    made = np.array(ids, "<u4")[lives].tobytes()
+    ends = (4 * np.cumsum(lives)[gaps]).tolist()
+    return [made[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def merged(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """Ids of each pre-token as little-endian unsigned 32-bit numbers."""
+    out = [None if (whole := ranks.of.get(x)) is None else whole.to_bytes(4, "little") for x in pieces]
+    left = [i for i, ids in enumerate(out) if ids is None and pieces[i]]
+    sizes = np.cumsum([len(pieces[i]) for i in left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + QUEUE_BYTES, "right")))
+        for i, ids in zip(left[at:to], _queued([pieces[i] for i in left[at:to]], ranks)):
+            out[i] = ids
+        at = to
+    return [ids or b"" for ids in out]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token."""
+    return np.frombuffer(merged([piece], Ranks(ranks))[0], "<u4").tolist()
 
 
 class Codec:
     """Encodes and decodes with a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, most: int = 800_000):
+    def __init__(self, rank_file: str, pattern: str, keep_bytes: int = KEEP_BYTES):
         import regex
 
         with open(rank_file, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
+            self.ranks = Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        self.tokens = [b""] * (max(self.ranks.of.values()) + 1)
+        for token, rank in self.ranks.of.items():
             self.tokens[rank] = token
-        self.find, self.plain = regex.compile(pattern).findall, pattern == GPT_PATTERN
-        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.ranks.values()}
-        self.kept = Kept(self._piece, "", most)
+        self.find = regex.compile(pattern).findall
         # only the public pattern splits where parts are cut
-        self.encode_bytes = PartEncoder(self._matches) if self.plain else lambda text: self._matches(text or "")
-
-    def _matches(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # what the pattern gives for the two commonest parts: letters, and letters with one mark at the end
-        if self.plain:
-            word = text[1:] if text[0] == " " else text
-            if word.isalpha():
-                return self.kept[text]
-            if text[-1] in ".,;:!?" and word[:-1].isalpha():
-                return self.kept[text[:-1]] + self.kept[text[-1]]
-        return b"".join(map(self.kept.__getitem__, self.find(text)))
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, merge(piece.encode(), self.ranks)))
+        self.parts = PartEncoder(self._pieces, pattern == GPT_PATTERN, keep_bytes=keep_bytes)
+
+    def _pieces(self, some: list[str]) -> list[bytes]:
+        """Ids of each string, the matches of all of them merged together."""
+        matches = [[x] if x.lstrip(" ").isalpha() else self.find(x) for x in some]
+        each = list(dict.fromkeys(chain.from_iterable(matches)))
+        of = dict(zip(each, merged([x.encode() for x in each], self.ranks)))
+        return [of[found[0]] if len(found) == 1 else b"".join(map(of.__getitem__, found)) for found in matches]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), "<u4")
+        return np.frombuffer(self.parts(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(rank_file: str, pattern: str) -> Codec:
-    """One codec a Python worker, with what it has kept."""
+    """One codec a Python worker, with the parts that it has kept (KEEP_BYTES at most)."""
     return Codec(rank_file, pattern)
 
 
+@lru_cache(maxsize=1)
+def _decimals(most: int) -> list[str]:
+    return [str(x) for x in range(most)]
+
+
 def encode(text: Column, rank_file: str, pattern: str) -> Column:
-    """array<int> of the ids of a text; null and empty texts have none. The rank file's path must exist on executors."""
+    """array<int> of the ids of a text; null and empty texts have none. The rank file's path must exist on executors.
+
+    A batch's ids must be under 2^31, or ValueError says to lower spark.sql.execution.arrow.maxRecordsPerBatch.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        run = codec(rank_file, pattern).encode_bytes
-        made, ends = bytearray(), [0]  # one buffer, and one text at a time beside it
-        for text in texts:
-            made += run(text.as_py())
-            ends.append(len(made) // 4)
-        if ends[-1] >= 1 << 31:
+        made, ends = bytearray(), [np.zeros(1, np.int64)]  # one buffer, and one slice of texts at a time beside it
+        for _, some, stops in codec(rank_file, pattern).parts.slices(texts):
+            ends.append(stops + len(made) // 4)
+            made += some.tobytes()
+        if len(made) >> 2 >= 1 << 31:
             raise ValueError("a batch has over 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(made, "<i4")))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.frombuffer(made, "<i4")))
 
     return ids(text)
 
@@ -175,3 +206,33 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 
     # coalesce() between the functions: nested ones would run the inner again for every use of its result
     return data(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+_DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
+
+
+def digests(text: Column, rank_file: str, pattern: str) -> Column:
+    """struct of the number of a text's ids, and the digests of the ids (decimal, one space between) and of what they
+    decode to: as of encode() and decode(), but a slice of texts at a time, so that ids needn't leave the worker."""
+
+    @F.arrow_udf(_DIGESTS)
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        engine = codec(rank_file, pattern)
+        decimals = _decimals(len(engine.tokens))
+        for texts in batches:
+            rows = []
+            for _, ids, ends in engine.parts.slices(texts):
+                start = 0
+                for end in ends.tolist():
+                    some = ids[start:end].tolist()
+                    listed = " ".join(map(decimals.__getitem__, some)).encode()
+                    whole = b"".join(map(engine.tokens.__getitem__, some))
+                    rows.append((end - start, hashlib.sha256(listed).hexdigest(), hashlib.sha256(whole).hexdigest()))
+                    start = end
+            n, a, b = zip(*rows) if rows else ((), (), ())
+            del texts
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        engine.parts.kept.clear()
+        give_back()
+
+    return made(text)

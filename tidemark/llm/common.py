@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ctypes
+import gc
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a checkpointed side of a join is broadcast; beyond it Spark joins by shuffling.
@@ -28,3 +32,19 @@ def back(df: DataFrame, columns: list[str], *new: Column) -> DataFrame:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine; for the end of a task, as the worker waits for others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc has its own ways
+        pass

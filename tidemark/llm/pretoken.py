@@ -1,52 +1,185 @@
-"""Splitting text where the public pre-token pattern always splits, so that parts can be encoded once and kept.
+"""Encoding texts from encodings of their parts, each distinct part of a slice of texts encoded once.
 
-The pattern starts a new match before a space that has a character other than white
-space on at least one side: a run of white space gives all but its last character to one match, and its last
-character, if a space, to what follows. Texts with a space between two white space characters, or between one and
-the end, are matched as a whole.
+The public pre-token pattern starts a new match before a space that has a character other than white space on at
+least one side: a run of white space gives all but its last character to one match, and its last character, if a
+space, to what follows. So texts are cut before their spaces, all texts of a slice at once by Arrow, and the parts are
+dictionary-encoded; ids of a slice are then gathered by numpy from those of its distinct parts. Texts with a space between
+two white space characters, or between one and the end, are matched as a whole, and so are those with a given string.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
+from itertools import chain
 
-_INNER = re.compile(r"\s (?:\s|\Z)")
-#: Parts longer than this are encoded each time and not kept.
-KEEP_CHARS = 64
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that are cut and gathered at once; a longer text is a slice of its own.
+SLICE_BYTES = 3 << 20
+#: Bytes that kept pieces and their ids may take in a worker, and the longest piece that is kept.
+KEEP_BYTES, KEEP_CHARS = 48 << 20, 64
+#: About what a kept piece takes beside its characters and ids.
+_ENTRY = 180
+_SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+_INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
+#: Marks that are a match of their own after letters and before a space: never more than one id each.
+_MARKS = ".,;:!?"
+_MARK_PLACES = np.argsort(list(_MARKS))
+_MARK_CODES = np.array(sorted(_MARKS))
+_LETTERS, _MARKED = r"\A\pL+\z", rf"\A\pL+[{_MARKS}]\z"
 
-class Kept(dict):
-    """text -> encoded bytes, made where missing. Two generations bound the memory: what the older one is asked for moves to
-    the newer, and when that is full the older goes."""
 
-    def __init__(self, make: Callable[[str], bytes], prefix: str, most: int):
-        super().__init__()
-        self.make, self.prefix, self.most, self.older = make, prefix, most // 2, {}
+class Kept:
+    """piece -> its ids as bytes. Two generations bound the memory by bytes: what the older one is asked for moves to the
+    newer, and when that is full the older goes."""
 
-    def __missing__(self, part: str) -> bytes:
-        if (made := self.older.get(part)) is None:
-            made = self.make(self.prefix + part)
-            if len(part) > KEEP_CHARS:
-                return made
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[part] = made
-        return made
+    def __init__(self, most_bytes: int = KEEP_BYTES):
+        self.most, self.taken, self.newer, self.older = most_bytes // 2, 0, {}, {}
+
+    def get(self, pieces: list[str]) -> list[bytes | None]:
+        found = list(map(self.newer.get, pieces))
+        for i, ids in enumerate(found):
+            if ids is None and (old := self.older.get(pieces[i])) is not None:
+                found[i] = old
+                self.put(pieces[i], old)
+        return found
+
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(piece) > KEEP_CHARS:
+            return
+        if self.taken >= self.most:
+            self.older, self.newer, self.taken = self.newer, {}, 0
+        self.newer[piece] = ids
+        self.taken += _ENTRY + len(piece) + len(ids)
+
+    def clear(self) -> None:
+        self.taken, self.newer, self.older = 0, {}, {}
+
+
+def _gathered(flat: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat (one after the other, of these lengths) in the order of code, and the end of each among them."""
+    each = lengths[code]
+    ends = np.cumsum(each)
+    index = np.repeat((np.cumsum(lengths) - lengths)[code] - (ends - each), each)
+    index += np.arange(len(index))
+    return flat[index], ends
+
+
+def pieces_of(part: str) -> list[str] | None:
+    """The pattern's matches of the commonest parts: letters, with or without a space before, a mark at the end, or a
+    newline between two such; None for others."""
+    word = part[1:] if part[:1] == " " else part
+    if word.isalpha():
+        return [part]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [part[:-1], part[-1]]
+    left, newline, right = part.partition("\n")
+    if newline and left and right and left != " " and right[0] != " ":
+        a = pieces_of(left)
+        if a is not None and (b := pieces_of(right)) is not None:
+            return [*a, newline, *b]
+    return None
 
 
 class PartEncoder:
-    """Encodes whole texts from kept encodings of their parts; make(text) must encode any text exactly."""
+    """Encodes whole texts.
+
+    encode(list of strings) gives the ids of each as bytes (little-endian unsigned 32-bit). cuts: whether the pattern
+    is the public one, so that texts may be cut and parts taken by pieces_of(); without it every text is encoded as it
+    is. apart: strings whose texts are encoded as they are.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cuts: bool, apart: tuple[str, ...] = (), keep_bytes: int = KEEP_BYTES, slice_bytes: int | None = None):
+        self.encode, self.cuts, self.apart, self.kept, self.slice_bytes = encode, cuts, apart, Kept(keep_bytes), slice_bytes or SLICE_BYTES
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = self.kept.get(pieces)
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(fresh, self.encode([pieces[i] for i in fresh])):
+            found[i] = ids
+            self.kept.put(pieces[i], ids)
+        return found
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _INNER) if self.cuts else pa.array(np.ones(len(texts), bool))
+        for string in self.apart:
+            odd = pc.or_(odd, pc.match_substring(texts, string))
+        at_odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        whole = self.encode([texts[int(i)].as_py() for i in at_odd])
+        if len(at_odd):
+            texts = pc.if_else(odd, "", texts)
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+        starts = offsets[:-1] - offsets[0]
+        inner = values.dictionary_encode()
+        first = values.take(pa.array(starts)).dictionary_encode()
+        parts, code = inner.dictionary, inner.indices.to_numpy()
+        # distinct parts: words of letters, such words with a mark, others; then first parts, which have no space before them, and
+        # whole texts. Their pieces: words and marks, all pieces of others and of first parts, whole texts
+        letters = pc.match_substring_regex(parts, _LETTERS)
+        marked = pc.match_substring_regex(parts, _MARKED)
+        rest = pc.invert(pc.or_(letters, marked))
+        stems = parts.filter(marked)
+        words = pa.concat_arrays([parts.filter(letters), pc.utf8_slice_codeunits(stems, 0, -1)]).dictionary_encode()
+        split = [pieces_of(" " + x) or [" " + x] for x in parts.filter(rest).to_pylist()]
+        split += [(pieces_of(x) or [x]) if x else [] for x in first.dictionary.to_pylist()]
+        coded = self._ids([" " + x for x in words.dictionary.to_pylist()])
+        marks_at = len(coded)
+        coded += self._ids(list(_MARKS))
+        more = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(split)), len(coded))}
+        coded += self._ids(list(more))
+        n_letters, n_marked, word = len(words) - len(stems), len(stems), words.indices.to_numpy()
+        mark = np.searchsorted(_MARK_CODES, pc.binary_slice(stems.cast(pa.binary()), -1).cast(pa.string()).to_numpy(zero_copy_only=False).astype("U1")) if n_marked else []
+        pieces = np.concatenate([
+            word[:n_letters],
+            np.stack([word[n_letters:], marks_at + _MARK_PLACES[mark]], axis=1).ravel() if n_marked else np.empty(0, np.int64),
+            np.fromiter(map(more.__getitem__, chain.from_iterable(split)), np.int64),
+            np.arange(len(whole)) + len(coded),
+        ]).astype(np.int64)
+        per_part = np.concatenate([np.ones(n_letters, np.int64), np.full(n_marked, 2), np.fromiter(map(len, split), np.int64, len(split)), np.ones(len(whole), np.int64)])
+        coded += whole
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+        flat, ends = _gathered(np.frombuffer(b"".join(coded), "<u4"), lengths, pieces)
+        del coded, more, split, words
+        ends = np.concatenate(([0], ends))
+        last = np.cumsum(per_part)
+        of_part = ends[last] - ends[last - per_part]
+        # from places in the dictionary to places in this order
+        place = np.empty(len(parts), np.int64)
+        at = 0
+        for some in (letters, marked, rest):
+            here = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            place[here] = np.arange(at, at + len(here))
+            at += len(here)
+        code = place[code]
+        code[starts] = first.indices.to_numpy() + at
+        code[starts[at_odd]] = np.arange(len(at_odd)) + at + len(first.dictionary)
+        ids, ends = _gathered(flat, of_part, code)
+        return ids, ends[offsets[1:] - offsets[0] - 1]
 
-    def __init__(self, make: Callable[[str], bytes], most: int = 150_000):
-        self.make = make
-        self.first, self.rest = Kept(make, "", most // 10), Kept(make, " ", most)
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first text, ids of a run of texts, end of each text's ids among them); null texts are empty."""
+        if not len(texts):
+            return
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        collecting, at = gc.isenabled(), 0
+        gc.disable()  # a slice makes hundreds of thousands of objects and no cycles
+        try:
+            while at < len(texts):
+                before = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + self.slice_bytes, "right")))
+                yield at, *self._slice(texts.slice(at, to - at))
+                at = to
+        finally:
+            if collecting:
+                gc.enable()
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _INNER.search(text):
-            return self.make(text)
-        parts = text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+        """The ids of one text as bytes."""
+        return b"".join(ids.tobytes() for _, ids, _ in self.slices(pa.array([text], pa.string())))
