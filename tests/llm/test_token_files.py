@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -13,16 +14,38 @@ from tidemark.llm.range_coder import decode_segment, encode_segment
 FILE = P.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 63, 2047, 2048, 2049, 9000])
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 511, 512, 2047, 2048, 2049, 9000])
 def test_round_trip(n):
     rnd = np.random.default_rng(n)
     for ids in (rnd.integers(0, 65536, n), rnd.zipf(1.2, n) % 50257, np.zeros(n, int), np.resize([7, 9, 40000], n)):
         data = encode_segment(ids.astype(np.uint32))
         assert decode_segment(data).tolist() == ids.tolist()
+        small = encode_segment(ids.astype(np.uint32), block=max(1, n // 5))
+        assert decode_segment(small).tolist() == ids.tolist()
     if n > 2000:
         assert len(data) < n // 8  # a loop of three ids
 
 
+def test_fewer_bits_than_plain_models():
+    """Ids of the driver's documents take fewer bits than a static order-0 table without its own size, and than zlib's."""
+    tokenizer = Tokenizer.from_file(FILE)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.concatenate([[*x.ids, 0] for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]).astype("<u4")
+    share = np.bincount(ids)
+    share = share[share > 0] / len(ids)
+    bits = 8 * len(encode_segment(ids)) / len(ids)
+    assert bits < 8.0
+    assert bits < -(share * np.log2(share)).sum()
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
+def test_joined_checksums():
+    data = bytes(range(256)) * 9
+    for cuts in ([], [0], [5, 5, 1000], list(range(0, 2304, 7))):
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        assert token_files.crc_of_joined([(zlib.crc32(x), len(x)) for x in parts]) == zlib.crc32(data)
+
+
 def test_damage_is_found():
     data = encode_segment(np.arange(5000, dtype=np.uint32))
     for at in (0, 5, 21, 30, len(data) - 1, len(data) // 2):
@@ -34,13 +57,14 @@ def test_damage_is_found():
         decode_segment(data[:-2])
     with pytest.raises(ValueError):
         encode_segment(np.array([70000]))
+    with pytest.raises(ValueError):
+        encode_segment(np.zeros(9), block=1)
 
 
-@pytest.mark.parametrize("most", [2048 * 4096, 37])
+@pytest.mark.parametrize("most", [1 << 23, 37])
 def test_files(spark, tmp_path, most):
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
-    rows = [(5, "five !! five"), (2, None), (9, ""), (3, "long text " * 40), (None, "no id"), (2, "again"), (8, "a\t \tb   c\n d"), (7, "<|endoftext|>")]
+    rows = [(5, "five !! five"), (2, None), (9, ""), (3, "long text " * 40), (None, "no id"), (2, "again"), (8, "a\t \tb   c\n d"), (7, "<|endoftext|>"), (6, "a <|endoftext|> b"), (4, "Wörter und\nmehr, 12 x.\n\nEnde"), (1, "y" * 3000)]
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, start int").repartition(3)
     token_files.write(docs, f"{tmp_path}/t", FILE, most=most)
     got = sorted(map(tuple, token_files.documents(token_files.read(spark, f"{tmp_path}/t")).collect()), key=lambda r: r[1])
@@ -50,6 +74,17 @@ def test_files(spark, tmp_path, most):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
+    assert next(r for r in want if r[0] == 6)[2] == 5  # a special token's string is its id
+    light = token_files.documents(token_files.checksums(spark, f"{tmp_path}/t"))
+    assert sorted(map(tuple, light.collect()), key=lambda r: r[1]) == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers(name):
+    """A tokenizer that doesn't split by the public pattern gets whole texts."""
+    theirs, ours = Tokenizer.from_file(P.path(name)), token_files._tokenizer(P.path(name))
+    for text in ("Hello there, you.\nNew line", "a  b", "", "x <|endoftext|> y"):
+        assert np.frombuffer(ours(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
 def test_empty_table(spark, tmp_path):

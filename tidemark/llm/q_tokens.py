@@ -8,19 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, token_files
+from tidemark.llm.common import remove
 from tidemark.session import ensure_checkpoint_dir, table
 
 
 def bpe_columns(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of whole texts, encoded and decoded."""
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), rank_file, pattern).alias("ids"))
-    back = coded.withColumn("decoded", bpe.decode(F.col("ids"), rank_file, pattern))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", bpe.digests(F.col("text"), rank_file, pattern).alias("d")).select("doc_id", "d.*")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +30,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), folder, P.path("byte_bpe_50k.json"))
-    return token_files.documents(token_files.read(spark, folder))
+    found = token_files.documents(token_files.checksums(spark, folder))
+    remove(spark, folder)  # the checksums are a checkpoint by now
+    return found
 
 
 QUERIES = {"op7_token_files": op7_token_files, "op10_bpe": op10_bpe}

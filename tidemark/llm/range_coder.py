@@ -1,16 +1,18 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Predictions of an id: order 2 and order 1 are tables, by the two ids before and the one before, of the id that
-last followed and a confidence; order 0 are adaptive counts of ids' upper bytes. Whether an id is the one of order
-2, of order 1, or neither is a symbol whose probabilities mix what each order's confidence has meant so far in the
-block, with a weight that follows the better of the two. The range coder takes an id in one step: the
-symbol's interval and, for neither, the id's interval of order 0 inside it.
-
-All blocks of a segment are coded side by side, a numpy lane each, with integers only, so any machine decodes alike.
-Every block starts anew and has the checksums of its bytes and of its ids.
-
-A segment: MAGIC, then little-endian u32: ids a block, number of ids, blocks, upper bytes in use, and checksum of the
-header so far; per block u32 bytes, checksum of them, checksum of its ids; then the blocks' bytes.
+Three orders predict an id. Order 2 and order 1 are tables, by the two ids before and the one before, of the id that
+last followed and a confidence; order 0 are adaptive counts of all ids that neither of them gave. An id's
+probability is the mix of the three, with a weight for each order that adapts to how often the orders were right at
+these two confidences, and by whether they agree. The range coder takes an id in one step: an interval of order 2's
+or order 1's weight, or inside that of order 0 the id's own.
+
+A block is dealt to lanes, stretches of the block that are coded side by side, a step for an id of each lane; all
+lanes teach one model, which a step finds as the steps before left it. All arithmetic is of integers, so any machine
+decodes alike. Every block starts anew and has the checksums of its bytes and of its ids.
+
+A segment: MAGIC, then little-endian u32: ids, ids a block, blocks, checksum of the header so far; per block u32
+lanes, alphabet, bytes, checksum of them, checksum of its ids; then the blocks' bytes: u32 words of each lane, then the lanes'
+words of 16 bits.
 """
 
 from __future__ import annotations
@@ -20,200 +22,227 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDRC"
-BLOCK = 2048
-#: Blocks of one segment at most.
-LANES = 4096
-H2, H1 = 2048, 1024
-#: Steps between new order-0 intervals, after the first few.
-REFRESH = 128
-_BOTTOM = np.uint64(1 << 40)
-_TOP = np.uint64(1 << 48)
+MAGIC = b"IDR2"
+#: Ids of a block and blocks of a segment at most.
+BLOCK, BLOCKS = 1 << 20, 8
+#: Lanes of a block at most, and ids of a lane that a small block has at least.
+LANES, STRETCH = 4096, 256
+H2 = 1 << 18
+#: Order 0's resolution, and that of the weights.
+FINE, COARSE = 20, 12
+#: After so many steps, and doubled from there on, order 0 takes up what it has seen.
+REFRESH = 1
+#: Steps from one mix of the weights to the next.
+REMIX = 4
+_BOTTOM, _TOP = np.uint64(1 << 40), np.uint64(1 << 48)
 _S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_M1, _M2 = 0x9E3779B1 & (H2 - 1) | 1, 0x85EBCA77 & (H2 - 1) | 1
 
 
 class _Model:
-    """What all lanes know. predict() before an id, update() after it.
+    """What all lanes know. A step: predict(), then update() with the ids that came.
 
-    Tables are flat, a stretch a lane. An entry of an order's table is id * 4 + confidence (0 to 3). hit2 and hit1 are
-    the chances, of 4096, that order 2's or order 1's id comes; each order has its own pair by its confidence.
+    An entry of an order's table is id * 4 + confidence (0 to 3). A case is the two confidences and whether both orders
+    have one id (32 of them); an outcome adds 1 if order 2 was right and 2 if order 1 was (so 3: both, the same id).
     """
 
-    def __init__(self, lanes: int, uppers: int, decoding: bool):
-        self.lanes, self.uppers, self.decoding = lanes, uppers, decoding
-        self.lane = np.arange(lanes)
-        self.at2, self.at1, self.by2, self.by1 = self.lane * H2, self.lane * H1, self.lane * 4, self.lane * 8
-        self.order2, self.order1 = np.zeros(lanes * H2, np.int32), np.zeros(lanes * H1, np.int32)
-        self.hits = [np.full(lanes * n, chance, np.int32) for n in (4, 8) for chance in (1536, 512)]
-        self.weight = np.full(lanes, 2048, np.int32)
-        self.count = np.zeros(lanes * uppers, np.int64)
-        self.count_at, self.cum_at = self.lane * uppers, self.lane * (uppers + 1)
-        self.last = self.before = np.zeros(lanes, np.int64)
-        self.step = 0
+    def __init__(self, alphabet: int, decoding: bool):
+        self.alphabet, self.decoding = alphabet, decoding
+        self.order1, self.order2 = np.zeros(alphabet, np.int64), np.zeros(H2, np.int64)
+        # outcomes seen, 4 of each case; a case without any is taken to be like this
+        self.seen = np.tile(np.array([24, 4, 2, 2], np.int64), 32)
+        self.count, self.fresh = np.zeros(alphabet, np.int64), []
+        self.step, self.due = 0, REFRESH
+        # what an outcome does to an entry: right 1 up, wrong 1 down; at 0 the new id takes its place
+        confidence2, confidence1 = np.repeat(np.arange(32) >> 3, 4), np.repeat(np.arange(32) >> 1 & 3, 4)
+        right2, right1 = np.tile([0, 1, 0, 1], 32), np.tile([0, 0, 1, 1], 32)
+        change = lambda right, sure: np.where(right, (sure < 3) * 1, -1)
+        self.change2, self.change1 = change(right2, confidence2), change(right1, confidence1)
+        self.replace2, self.replace1 = (right2 == 0) & (confidence2 == 0), (right1 == 0) & (confidence1 == 0)
         self._refresh()
 
     def _refresh(self) -> None:
-        count = self.count.reshape(self.lanes, self.uppers)
-        freq = 1 + count * (4096 - self.uppers) // np.maximum(count.sum(axis=1, keepdims=True), 1)
-        cum = np.zeros((self.lanes, self.uppers + 1), np.int64)
-        np.cumsum(freq, axis=1, out=cum[:, 1:])
-        cum[:, 1:] += 4096 - cum[:, -1:]  # what rounding leaves goes to the first
-        self.cum = cum.ravel()
+        """Order 0's intervals from the counts; one more place stands for 'not by order 0'."""
+        if self.fresh:
+            self.count += np.bincount(np.concatenate(self.fresh), minlength=self.alphabet)
+            self.fresh = []
+        free = (1 << FINE) - self.alphabet
+        width = 1 + self.count * free // max(int(self.count.sum()), 1)
+        width[0] += (1 << FINE) - int(width.sum())  # what rounding leaves
+        self.width = np.append(width, 1).astype(np.uint64)
+        self.begin = np.append(np.cumsum(width) - width, 0).astype(np.uint64)
         if self.decoding:
-            self.upper_of = np.repeat(np.tile(np.arange(self.uppers, dtype=np.uint8), self.lanes), np.diff(cum, axis=1).ravel())
-
-    def predict(self) -> None:
-        if self.step and (self.step % REFRESH == 0 or self.step in (8, 24, 56)):
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), width)
+
+    def _mix(self) -> None:
+        """Weights, and an outcome's interval: base + unit * (begin of the id in order 0, or 0), unit * (its width there, or 1)."""
+        seen = self.seen.reshape(32, 4)
+        total = seen.sum(axis=1) + 2
+        w2 = 1 + (seen[:, 1] + seen[:, 3]) * ((1 << COARSE) - 3) // total  # also where both were right
+        w1 = 1 + seen[:, 2] * ((1 << COARSE) - 3) // total
+        w0 = (1 << COARSE) - w2 - w1
+        mix = np.stack([w0, w2 << FINE, w1 << FINE, w2 << FINE], axis=1)
+        base = np.stack([0 * w0, w0, w0 + w2, w0], axis=1) << FINE
+        self.unit, self.base = mix.astype(np.uint64).ravel(), base.astype(np.uint64).ravel()
+        self.w0, self.w02 = np.repeat(w0, 4), np.repeat(w0 + w2, 4)
+
+    def predict(self, last: np.ndarray, slot2: np.ndarray) -> np.ndarray:
+        """Each lane's case, as its outcome 0."""
+        if self.step == self.due:
             self._refresh()
-        self.k2 = self.at2 + ((self.last * 40503 + self.before * 30011 >> 5) & H2 - 1)
-        self.k1 = self.at1 + ((self.last * 40503 >> 4) & H1 - 1)
-        e2, e1 = self.order2.take(self.k2), self.order1.take(self.k1)
-        self.p2, self.n2, self.p1, self.n1 = e2 >> 2, e2 & 3, e1 >> 2, e1 & 3
-        self.m2, self.m1 = self.by2 + self.n2, self.by1 + (self.n1 * 2 + (self.p1 == self.p2))
-        self.chances = a1, a2, b1, b2 = [t.take(m) for t, m in zip(self.hits, (self.m2, self.m2, self.m1, self.m1))]
-        self.f1 = (b1 + ((a1 - b1) * self.weight >> 12)).astype(np.int64)
-        self.f2 = (b2 + ((a2 - b2) * self.weight >> 12)).astype(np.int64)
-        self.f0 = 4096 - self.f1 - self.f2
-
-    def interval(self, is1: np.ndarray, is2: np.ndarray, low: np.ndarray, size: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of an id's interval in 2^32; low and size are its upper byte's of order 0."""
-        found = is1 | is2
-        start = np.where(found, self.f0 + is2 * self.f1 << 20, self.f0 * ((low << 8) + size * lower))
-        freq = np.where(found, np.where(is1, self.f1, self.f2) << 20, self.f0 * size)
-        return start.astype(np.uint64), freq.astype(np.uint64)
-
-    def update(self, ids: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
-        a1, a2, b1, b2 = self.chances
-        was = np.where(is1, a1 - b1, np.where(is2, a2 - b2, b1 + b2 - a1 - a2))
-        self.weight = np.minimum(np.maximum(self.weight + (was >> 5), 256), 3840)
-        full1, full2 = is1.astype(np.int32) << 12, is2.astype(np.int32) << 12
-        for table, m, old, full in zip(self.hits, (self.m2, self.m2, self.m1, self.m1), self.chances, (full1, full2, full1, full2)):
-            table[m] = np.maximum(old + (full - old >> 5), 16)
-        for table, k, p, n in ((self.order2, self.k2, self.p2, self.n2), (self.order1, self.k1, self.p1, self.n1)):
-            sure = np.maximum(np.minimum(n + 2 * (p == ids) - 1, 3), 0)
-            table[k] = (np.where(n > 0, p, ids) << 2) + sure
-        rest = np.flatnonzero(~(is1 | is2))
-        self.count[self.count_at[rest] + (ids[rest] >> 8)] += 1
-        self.before, self.last = self.last, ids
+            self.due *= 2
+        if self.step % REMIX == 0:
+            self._mix()
+        self.last, self.slot2 = last, slot2
+        self.e2, self.e1 = self.order2.take(slot2), self.order1.take(last)
+        self.id2, self.id1 = self.e2 >> 2, self.e1 >> 2
+        return (self.e2 & 3) << 5 | (self.e1 & 3) << 3 | (self.id2 == self.id1) << 2
+
+    def intervals(self, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's interval in 2^32."""
+        place = np.where(outcome & 3, self.alphabet, ids)
+        unit = self.unit.take(outcome)
+        return self.base.take(outcome) + unit * self.begin.take(place), unit * self.width.take(place)
+
+    def update(self, outcome: np.ndarray, ids: np.ndarray) -> None:
+        new = ids << 2
+        self.order2[self.slot2] = np.where(self.replace2.take(outcome), new, self.e2 + self.change2.take(outcome))
+        self.order1[self.last] = np.where(self.replace1.take(outcome), new, self.e1 + self.change1.take(outcome))
+        self.seen += np.bincount(outcome, minlength=128) << 4
+        self.seen -= self.seen >> 5
+        self.fresh.append(ids[outcome & 3 == 0])
         self.step += 1
 
 
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = max(1, min(LANES, n // STRETCH))
+    return lanes, -(-n // lanes)
+
+
 def _settle(low: np.ndarray, size: np.ndarray, move) -> None:
-    """Shift words out of lanes whose upper 16 bits are settled or whose range is too small; move(lanes) takes or gives a word."""
+    """Shift words out of lanes whose upper 16 bits are settled or whose range is too small; move(lanes, low) takes or gives a word."""
     some = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOTTOM))
     while len(some):
-        x, s = low[some], size[some]
-        settled = (x ^ (x + s)) < _TOP
-        s = np.where(settled, s, -x & (_BOTTOM - np.uint64(1)))
+        x, s = low.take(some), size.take(some)
+        s = np.where((x ^ (x + s)) < _TOP, s, -x & (_BOTTOM - np.uint64(1)))
         move(some, x)
         x, s = x << _S16, s << _S16
         low[some], size[some] = x, s
         some = some[((x ^ (x + s)) < _TOP) | (s < _BOTTOM)]
 
 
-def _encode_lanes(ids: np.ndarray, uppers: int) -> list[bytes]:
-    lanes, steps = ids.shape
-    model, wide = _Model(lanes, uppers, False), 2 * steps + 8
+def _encode_block(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
+    """Lanes, and the block's bytes."""
+    lanes, steps = _shape(len(ids))
+    padded = np.zeros(lanes * steps, np.int64)  # the last lane is filled with 0
+    padded[: len(ids)] = ids
+    now = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    last = np.vstack([np.zeros((1, lanes), np.int64), now[:-1]])
+    slot2 = (last * _M1 ^ np.vstack([np.zeros((1, lanes), np.int64), last[:-1]]) * _M2) & H2 - 1
+    model, wide = _Model(alphabet, False), 2 * steps + 8
     out, at = np.zeros(lanes * wide, "<u2"), np.arange(lanes) * wide
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
 
     def move(some: np.ndarray, x: np.ndarray) -> None:
-        place = at[some]
+        place = at.take(some)
         out[place] = x >> _S48
         at[some] = place + 1
 
-    for now in np.ascontiguousarray(ids.T.astype(np.int64)):
-        model.predict()
-        is1 = now == model.p2
-        is2 = (now == model.p1) & ~is1
-        place = model.cum_at + (now >> 8)
-        begins = model.cum.take(place)
-        start, freq = model.interval(is1, is2, begins, model.cum.take(place + 1) - begins, now & 255)
+    for step in range(steps):
+        here = now[step]
+        outcome = model.predict(last[step], slot2[step]) | (here == model.id2) | (here == model.id1) << 1
+        start, width = model.intervals(outcome, here)
         unit = size >> _S32
         low += unit * start
-        size = unit * freq
+        size = unit * width
         _settle(low, size, move)
-        model.update(now, is1, is2)
+        model.update(outcome, here)
+    every = np.arange(lanes)
     for _ in range(4):
-        move(model.lane, low)
+        move(every, low)
         low <<= _S16
-    return [out[i * wide : at[i]].tobytes() for i in range(lanes)]
-
-
-def _decode_lanes(blocks: list[bytes], steps: int, uppers: int) -> np.ndarray:
-    lanes = len(blocks)
-    model = _Model(lanes, uppers, True)
-    lengths = np.array([len(x) // 2 for x in blocks])
-    data = np.frombuffer(b"".join(blocks) + bytes(64), "<u2").astype(np.uint64)
-    at, last_word = np.concatenate(([0], np.cumsum(lengths)[:-1])), len(data) - 1
-    code = np.zeros(lanes, np.uint64)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    used = at - every * wide
+    mine = np.arange(wide) < used[:, None]
+    return lanes, used.astype("<u4").tobytes() + out.reshape(lanes, wide)[mine].tobytes()
+
+
+def _decode_block(data: bytes, n: int, lanes: int, alphabet: int) -> np.ndarray:
+    if lanes != _shape(n)[0] or len(data) < 4 * lanes:
+        raise ValueError("lanes of a block")
+    steps, model = _shape(n)[1], _Model(alphabet, True)
+    used = np.frombuffer(data, "<u4", lanes).astype(np.int64)
+    if 4 * lanes + 2 * int(used.sum()) != len(data):
+        raise ValueError("length of a block")
+    words = np.frombuffer(data[4 * lanes :] + bytes(64), "<u2").astype(np.uint64)
+    at, last_word = np.cumsum(used) - used, len(words) - 1
+    code, low, size = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
 
     def move(some: np.ndarray, _: np.ndarray) -> None:
-        place = at[some]
-        code[some] = code[some] << _S16 | data[np.minimum(place, last_word)]
+        place = at.take(some)
+        code[some] = code.take(some) << _S16 | words.take(np.minimum(place, last_word))
         at[some] = place + 1
 
     for _ in range(4):
-        move(model.lane, low)
-    out, most, inside = np.empty((steps, lanes), np.int64), np.uint64((1 << 32) - 1), model.lane * 4096
+        move(np.arange(lanes), low)
+    out, most = np.empty((steps, lanes), np.int64), np.uint64((1 << 32) - 1)
+    last = before = np.zeros(lanes, np.int64)
     for step in range(steps):
-        model.predict()
+        case = model.predict(last, (last * _M1 ^ before * _M2) & H2 - 1)
         unit = size >> _S32
-        value = np.minimum((code - low) // unit, most).astype(np.int64)
-        top = value >> 20
-        found, is2 = top >= model.f0, top >= model.f0 + model.f1
-        is1 = found & ~is2
-        inner = np.where(found, 0, value // model.f0)
-        upper = model.upper_of.take(inside + (inner >> 8)).astype(np.int64)
-        place = model.cum_at + upper
-        begins = model.cum.take(place)
-        width = model.cum.take(place + 1) - begins
-        lower = np.where(found, 0, (inner - (begins << 8)) // width)
-        now = np.where(found, np.where(is1, model.p2, model.p1), upper << 8 | lower)
-        start, freq = model.interval(is1, is2, begins, width, lower)
+        value = np.minimum((code - low) // unit, most)
+        top = (value >> np.uint64(FINE)).view(np.int64)
+        by0 = top < model.w0.take(case)
+        here = np.where(top < model.w02.take(case), model.id2, model.id1)
+        some = np.flatnonzero(by0)
+        inner = np.minimum(value.take(some) // model.unit.take(case.take(some)), np.uint64((1 << FINE) - 1))
+        here[some] = model.id_at.take(inner.view(np.int64))
+        outcome = case | np.where(by0, 0, (here == model.id2) | (here == model.id1) << 1)
+        start, width = model.intervals(outcome, here)
         low += unit * start
-        size = unit * freq
+        size = unit * width
         _settle(low, size, move)
-        out[step] = now
-        model.update(now, is1, is2)
-    return np.ascontiguousarray(out.T)
+        out[step] = here
+        model.update(outcome, here)
+        before, last = last, here
+    return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment of ids, 0 to 65535, at most LANES blocks of them."""
+    """A segment of ids, 0 to 65535, at most BLOCKS blocks of them."""
     n = len(ids)
-    if n > block * LANES:
-        raise ValueError(f"{n} ids; a segment holds {block * LANES}")
+    if n > block * BLOCKS:
+        raise ValueError(f"{n} ids; a segment holds {block * BLOCKS}")
     if n and int(ids.max()) > 65535:
         raise ValueError("ids are 65535 at most")
-    block = max(1, min(block, n))
-    count, uppers = -(-n // block), int(ids.max() >> 8) + 1 if n else 1
-    lanes = np.zeros(count * block, np.int64)
-    lanes[:n] = ids  # the last block is filled with 0
-    parts = _encode_lanes(lanes.reshape(count, block), uppers) if n else []
-    head = MAGIC + struct.pack("<4I", block, n, count, uppers)
-    table = np.array([[len(p), zlib.crc32(p), zlib.crc32(x.astype("<u4").tobytes())] for p, x in zip(parts, lanes.reshape(count, block))], "<u4")
-    return b"".join((head, struct.pack("<I", zlib.crc32(head + table.tobytes())), table.tobytes(), *parts))
+    table, parts = [], []
+    for at in range(0, n, block):
+        some = np.asarray(ids[at : at + block])
+        alphabet = int(some.max()) + 1
+        lanes, data = _encode_block(some, alphabet)
+        table.append((lanes, alphabet, len(data), zlib.crc32(data), zlib.crc32(some.astype("<u4").tobytes())))
+        parts.append(data)
+    packed = np.array(table, "<u4").tobytes()
+    head = MAGIC + struct.pack("<3I", n, block, len(parts))
+    return b"".join((head, struct.pack("<I", zlib.crc32(head + packed)), packed, *parts))
 
 
 def decode_segment(data: bytes) -> np.ndarray:
     """The ids of a segment; ValueError at any difference from what its checksums say."""
-    if data[:4] != MAGIC or len(data) < 24:
+    if data[:4] != MAGIC or len(data) < 20:
         raise ValueError("not a segment")
-    block, n, count, uppers = struct.unpack_from("<4I", data, 4)
-    table = np.frombuffer(data, "<u4", 3 * count, 24).reshape(-1, 3)
-    if zlib.crc32(data[:20] + table.tobytes()) != struct.unpack_from("<I", data, 20)[0]:
+    n, block, count, checksum = struct.unpack_from("<4I", data, 4)
+    packed = data[20 : 20 + 20 * count]
+    if len(packed) < 20 * count or zlib.crc32(data[:16] + packed) != checksum:
         raise ValueError("checksum of the header")
-    at, blocks = 24 + 12 * count, []
-    for size, checksum, _ in table.tolist():
-        blocks.append(data[at : at + size])
+    at, made = 20 + 20 * count, []
+    for i, (lanes, alphabet, size, of_bytes, of_ids) in enumerate(np.frombuffer(packed, "<u4").reshape(-1, 5).tolist()):
+        some = data[at : at + size]
         at += size
-        if zlib.crc32(blocks[-1]) != checksum:
-            raise ValueError(f"checksum of block {len(blocks) - 1}")
-    if not count:
-        return np.empty(0, np.uint32)
-    lanes = _decode_lanes(blocks, block, uppers).astype("<u4")
-    if [zlib.crc32(x.tobytes()) for x in lanes] != table[:, 2].tolist():
-        raise ValueError("checksum of decoded ids")
-    return lanes.ravel()[:n]
+        if len(some) < size or zlib.crc32(some) != of_bytes:
+            raise ValueError(f"checksum of block {i}")
+        ids = _decode_block(some, min(block, n - i * block), lanes, alphabet).astype("<u4")
+        if zlib.crc32(ids.tobytes()) != of_ids:
+            raise ValueError(f"checksum of block {i}'s ids")
+        made.append(ids)
+    return np.concatenate(made) if made else np.empty(0, np.uint32)
