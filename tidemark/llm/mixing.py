@@ -3,11 +3,12 @@
 Each source has a target number of words: a share of the budget by weight, never above max_repeat times
 the source's own words, with what a source can't use reshared by weight. Its rate is target / own words; a
 document is emitted floor(rate) times, and once more when a hash of its id and a seed, as a number in
-[0, 1), lies below the fraction. So the choice needs no state, and reruns and retried tasks agree.
+[0, 1), lies below the fraction. So the choice needs no state, and reruns and retried tasks agree. Of SEEDS seeds each source
+uses the one whose draw comes nearest its target, since a single draw misses by much where a source has few documents.
 
-The text is scanned twice (sizes per source, then copies) and never shuffled: only one row a source is
-aggregated, after partial sums, so a source with a third of all rows costs no more than any other. The
-targets' window runs over one row a source.
+The text is scanned twice (sizes, then copies) and never shuffled: ids and sizes go to a checkpoint, one row a source is
+aggregated from it after partial sums, so a source with a third of all rows costs no more than any other, and the
+rates are broadcast if a count shows that they're few. The targets' window runs over one row a source.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import aside, back, same
+from tidemark.llm.common import aside, back, same, small
+from tidemark.session import cut
 
+#: Draws of which each source takes the nearest.
+SEEDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,24 +58,36 @@ def source_targets(
     )
 
 
-def chance(key: Column, seed: int) -> Column:
+def chance(key: Column, seed: int | Column) -> Column:
     """A number in [0, 1) from the first 52 bits of a digest of key and seed."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
+    seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+    digest = F.md5(F.concat_ws(":", seed, F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, **mix) -> DataFrame:
+def _seeds(sized: DataFrame, rates: DataFrame, seed: int, seeds: int) -> DataFrame:
+    """rates with each source's seed: of seeds ones from seed on the first whose extra copies come nearest the fraction of its size."""
+    fraction = F.col("rate") - F.floor("rate")
+    drawn = [F.sum(F.when(chance(F.col("_id"), seed + i) < fraction, F.col("_size")).otherwise(0)).alias(f"_d{i}") for i in range(seeds)]
+    sums = sized.join(small(rates.select(F.col("source").alias("_s"), "rate")), same(F.col("_source"), F.col("_s"))).groupBy("_source").agg(*drawn)
+    off = [F.struct(F.abs(F.col(f"_d{i}") - fraction * F.col("source_size")).alias("off"), F.lit(seed + i).alias("seed")) for i in range(seeds)]
+    return rates.join(small(cut(sums)), same(F.col("source"), F.col("_source"))).withColumn("seed", F.array_min(F.array(*off))["seed"]).select(*rates.columns, "seed")
+
+
+def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, seeds: int = SEEDS, **mix) -> DataFrame:
     """docs with size, source_size, target and copies, the times that the mix takes the document.
 
     Columns of docs of these names are replaced. Null text has size 0; null sources are one source; rows with
-    equal ids decide alike; without any words all copies are 0.
+    equal ids decide alike within a source; without any words all copies are 0; an empty table gives no rows.
     """
-    sized = aside(docs).withColumn("size", words(F.col(f"in_{text}")))
-    rates = source_targets(sized.select(F.col(f"in_{source}").alias("source"), "size"), **mix)
+    sized = aside(docs).withColumn("_size", words(F.col(f"in_{text}")))
+    small_rows = cut(sized.select(F.col(f"in_{doc_id}").cast("string").alias("_id"), F.col(f"in_{source}").alias("_source"), "_size"))
+    rates = cut(source_targets(small_rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")), **mix))
+    rates = small(cut(_seeds(small_rows, rates, seed, seeds)))
     whole = F.floor("rate")
-    taken = (whole + (chance(F.col(f"in_{doc_id}"), seed) < F.col("rate") - whole).cast("long")).cast("long")
+    taken = (whole + (chance(F.col(f"in_{doc_id}"), F.col("seed")) < F.col("rate") - whole).cast("long")).cast("long")
     joined = sized.join(rates, same(F.col(f"in_{source}"), F.col("source")), "left")
-    return back(joined, docs.columns, F.col("size"), F.col("source_size"), F.col("target"), taken.alias("copies"))
+    return back(joined, docs.columns, F.col("_size").alias("size"), F.col("source_size"), F.col("target"), taken.alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

@@ -28,10 +28,14 @@ l AS (SELECT *, 2.0 * source_size / weight AS ratio,
         / sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT arg_min(level, ratio) FILTER (WHERE level <= ratio) AS level FROM l),
 t AS (SELECT l.source, l.source_size, least(2.0 * l.source_size, coalesce(f.level * l.weight, 2.0 * l.source_size))::DOUBLE AS target FROM l, f),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
-SELECT d.doc_id, d.size, r.source_size, r.target,
-  (d.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5('7:' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+e AS (SELECT d.doc_id, d.size, r.source, r.source_size, r.target, r.rate, x.seed,
+        CASE WHEN ('0x' || substr(md5(x.seed || ':' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS more
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(7, 23) x(seed)),
+g AS (SELECT source, seed, abs(sum(size * more) - (any_value(rate) - floor(any_value(rate))) * any_value(source_size)) AS off FROM e GROUP BY source, seed),
+b AS (SELECT source, first(seed ORDER BY off, seed) AS seed FROM g GROUP BY source)
+SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (floor(e.rate) + e.more))::BIGINT AS taken
+FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.seed = b.seed
 """
 
 
