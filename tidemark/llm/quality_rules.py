@@ -14,6 +14,7 @@ use their language's estimate, then that of all rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import same, small
+from tidemark.llm.common import give_back, same, small
 from tidemark.session import cut
 
 #: Share of a group's rows that the estimate rests on.
@@ -77,11 +78,14 @@ def counted(text: Column) -> Column:
     """The counts of each text; null counts as empty."""
 
     @F.arrow_udf(_COUNTED)
-    def made(texts: pa.Array) -> pa.Array:
-        rows = np.array([count_text(x) for x in texts.to_pylist()], np.int64).reshape(-1, 7)
-        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], [*COUNTS, "n_upper", "n_marks"])
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = np.array([count_text(x.as_py()) for x in texts], np.int64).reshape(-1, 7)
+            yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], [*COUNTS, "n_upper", "n_marks"])
+        give_back()
 
-    return made(text)
+    # as far as the optimiser knows, so that a filter on the counts isn't moved below them and counts each text again
+    return made.asNondeterministic()(text)
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,7 +232,8 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     Texts are counted twice, once for the estimates and once for the verdict, and never shuffled. Null and
     empty texts have no words and go; repeated rows are judged alike; an empty table stays empty.
     """
-    keys, estimates = fit(with_counts(docs.select(lang, source, text), text), lang, source, **how)
+    vectors = cut(with_counts(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text")), "_text").select("lang", "source", "base_failed", "_x"))
+    keys, estimates = fit(vectors, **how)
     plain = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
     out = judged(with_counts(plain, f"in_{text}"), keys, estimates, f"in_{lang}", f"in_{source}").where("kept")
     return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
