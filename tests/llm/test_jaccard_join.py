@@ -25,7 +25,7 @@ def by_brute_force(docs, k, percent):
     links = defaultdict(int)
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if i is not None and j is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+            if i is not None and j is not None and x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 links[i] += 1
                 links[j] += 1
                 p, q = sorted((find(i), find(j)))
@@ -62,6 +62,27 @@ def test_join(spark, leaf_docs, leaf_shingles):
     assert sorted(map(tuple, got), key=repr) == by_brute_force(docs, 4, 85)
 
 
+@pytest.mark.parametrize("hot_rank", [0, 70])
+def test_hot_tokens(spark, hot_rank):
+    """Sets of hot tokens meet in two rounds."""
+    docs = made(hot_rank + 1)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, join.linked_components(frame, k=4, percent=85, hot_rank=hot_rank).collect()), key=repr) == by_brute_force(docs, 4, 85)
+
+
+@pytest.mark.parametrize("leaf_docs", [join.LEAF_DOCS, 2])
+def test_driver_table(spark, monkeypatch, leaf_docs):
+    """All documents of sf0.01, by blocks that fit and through pivots' regions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    regions, leaves = [], join._leaves
+    monkeypatch.setattr(join, "_leaves", lambda members, percent: regions.append(members) or leaves(members, percent))
+    got = sorted(map(tuple, join.linked_components(docs, k=4, percent=85, leaf_docs=leaf_docs).collect()), key=repr)
+    assert got == by_brute_force(sorted(map(tuple, docs.collect())), 4, 85)
+    paths = [r.block for frame in regions for r in frame.select("block").collect()]
+    assert any("/" in x or "#" in x for x in paths) == (leaf_docs == 2)  # regions, or the grid where windows exclude nothing
+    assert len(paths) < 4 * len(got)  # members of all blocks, regions and grids
+
+
 def test_edges(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     assert join.linked_components(frame([])).count() == 0

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,15 @@ from tidemark.session import cut
 
 #: log2 of the counters that order shingles, and the counters of one row on their way.
 COUNTER_BITS, CHUNK_BITS = 22, 16
-#: What one task joins: classes and shingles.
-LEAF_DOCS, LEAF_SHINGLES = 2500, 8_000_000
+#: Blocks and regions above either are dealt to regions: classes and shingles.
+LEAF_DOCS, LEAF_SHINGLES = 64, 1_000_000
+#: A task of the grid, for blocks whose windows exclude too little, joins so many times as much.
+GRID = 8
 PIVOTS, LEVELS = 8, 3
 #: A block is dealt to regions if their squared sizes come to less than this share of its own.
-WORTH = 0.6
+WORTH = 0.9
+#: Shingles of this place in the order and after, which many sets may have, spread their sets over so many tasks.
+HOT_RANK, SALTS = 200, 64
 #: Incidence columns of a tile.
 TILE = 4096
 #: Rows of block membership (two numbers each) up to which it's broadcast instead of moving text.
@@ -82,22 +87,31 @@ def _described(k: int):
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(zlib.decompress(packed), np.uint8)
-            total[chunk] = total[chunk] + counts if chunk in total else counts.astype(np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+def _summed(packed: bool):
+    """Rows (chunk, counts) -> one of each chunk that a task has; packed: as a task of the first scan gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(zlib.decompress(data.as_py()), np.uint8) if packed else np.frombuffer(data.as_py(), np.uint32)
+                total[chunk] = total[chunk] + counts if chunk in total else counts.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    return run
 
 
 def _rarity(described: DataFrame) -> np.ndarray:
     """Place of each counter in the order, later for larger counts; 2^COUNTER_BITS bytes, whatever the input.
 
+    Tasks' tables are added in two levels, so that none gets more than about the root of their number.
     Counts are told apart in twelfths of the deviation that chance gives them, so that even a shingle of a few more
     documents than its counter's other ones comes after nearly all that are alone.
     """
-    parts = described.where("chunk IS NOT NULL").select("chunk", "counts").repartition(8, "chunk").mapInArrow(_summed, "chunk int, counts binary").collect()
+    kind, groups = "chunk int, counts binary", max(1, round(described.rdd.getNumPartitions() ** 0.5))
+    parts = described.where("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_g"))
+    parts = parts.repartition("chunk", "_g").select("chunk", "counts").mapInArrow(_summed(True), kind)
+    parts = parts.repartition("chunk").mapInArrow(_summed(False), kind).collect()
     counts = np.zeros((1 << COUNTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.float64)
     for chunk, data in parts:
         counts[chunk] = np.frombuffer(data, np.uint32)
@@ -107,8 +121,8 @@ def _rarity(described: DataFrame) -> np.ndarray:
     return np.clip(np.where(z < 11, 64 + 12 * z, 196 + 3 * np.log2(np.maximum(z - 10, 1))), 0, 255).astype(np.uint8)
 
 
-def _prefixes(k: int, percent: int, rarity):
-    """Rows (token, n, s1, s2) of each set's prefix, once a task for equal sets."""
+def _prefixes(k: int, percent: int, rarity, hot_rank: int):
+    """Rows (token, salt, n, s1, s2) of each set's prefix, once a task for equal sets; salt is 0 but for hot tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen, mask = rarity.value, set(), np.uint64((1 << COUNTER_BITS) - 1)
@@ -129,38 +143,74 @@ def _prefixes(k: int, percent: int, rarity):
                     rows.append((n, *sign))
                 if parts:
                     lengths = [len(x) for x in parts]
-                    columns = np.repeat(np.array(rows, np.int64), lengths, axis=0).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *map(_long, columns)], ["token", "n", "s1", "s2"])
+                    columns, token = np.repeat(np.array(rows, np.int64), lengths, axis=0).T, np.concatenate(parts)
+                    salt = np.where(rank[token & mask] >= hot_rank, 1 + columns[1] % SALTS, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(_long, (salt, *columns))], ["token", "salt", "n", "s1", "s2"])
         forget()
 
     return run
 
 
+_STARS = "a1 long, a2 long, b1 long, b2 long, token long, low long, high long"
+
+
 def _stars(percent: int):
-    """Rows (a1, a2, b1, b2): sets that share a token, to the first of their run. Input sorted by token, n, s1, s2.
+    """Rows (a1, a2, b1, b2): sets that share a token, to the first of their run; and of each run of a hot token, which
+    has runs in other tasks, a row (a1, a2, token, low, high) with its first set and its sizes.
 
-    A run ends where the next set is too large to match the one before, so no match spans two runs.
+    Input sorted by token, salt, low, high, s1, s2: sets have one size, runs of a task before two. A run ends where the
+    next set is too large to match the largest before, so no match spans two runs.
     """
+    names = [x.split()[0] for x in _STARS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.empty((4, 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, n, s1, s2 = np.hstack([carry, np.array([c.to_numpy() for c in batch.columns])])
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
-            at = np.flatnonzero(~fresh & ((s1 != s1[head]) | (s2 != s2[head])))
-            last = head[-1]
-            carry = np.array([[token[-1]], [n[-1]], [s1[last]], [s2[last]]])
-            if len(at):
-                found = np.unique(np.stack([s1[head[at]], s2[head[at]], s1[at], s2[at]]), axis=1)
-                yield pa.RecordBatch.from_arrays(list(map(_long, found)), ["a1", "a2", "b1", "b2"])
+        carry = np.empty((6, 0), np.int64)  # the run that goes on: its first set, and the largest size so far
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                rows = np.hstack([carry, np.array([c.to_numpy() for c in batch.columns])])
+                token, salt, low, high, s1, s2 = rows
+                reach = high.copy()
+                same_key = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+                # the largest size so far within a token and salt: sizes are in order of low, so only high needs it
+                begin = np.concatenate(([True], ~same_key))
+                group = np.cumsum(begin)
+                step = np.int64(reach.max()) + 1
+                reach = np.maximum.accumulate(reach + group * step) - group * step
+                fresh = np.ones(len(token), bool)
+                fresh[1:] = ~same_key | (100 * reach[:-1] < percent * low[1:])
+                head = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
+                at = np.flatnonzero(~fresh & ((s1 != s1[head]) | (s2 != s2[head])))
+                if len(at):
+                    found = np.unique(np.stack([s1[head[at]], s2[head[at]], s1[at], s2[at]]), axis=1)
+                    none = pa.nulls(found.shape[1], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*map(_long, found), none, none, none], names)
+                first = head[-1]
+                carry = np.array([[token[-1]], [salt[-1]], [low[first]], [reach[-1]], [s1[first]], [s2[first]]])
+                last = np.flatnonzero(np.append(fresh[1:], False))  # the ends of runs that are over
+                over = np.array([token, salt, low[head], reach, s1[head], s2[head]])[:, last]
+            else:
+                over = carry
+            over = over[:, over[1] > 0]
+            if over.shape[1]:
+                none = pa.nulls(over.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([_long(over[4]), _long(over[5]), none, none, _long(over[0]), _long(over[2]), _long(over[3])], names)
 
     return run
 
 
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a1, a2, b1, b2) of stars of sets; hot tokens in two rounds, the second over runs instead of sets."""
+    key = ["token", "salt", "low", "high", "s1", "s2"]
+    first = tokens.select("token", "salt", F.col("n").alias("low"), F.col("n").alias("high"), "s1", "s2")
+    joined = lambda rows: rows.select(*key).repartition("token", "salt").sortWithinPartitions(*key).mapInArrow(_stars(percent), _STARS)
+    stars = cut(joined(first).distinct())
+    runs = stars.where("token IS NOT NULL").select("token", F.lit(0).cast("long").alias("salt"), "low", "high", F.col("a1").alias("s1"), F.col("a2").alias("s2"))
+    ends = ["a1", "a2", "b1", "b2"]
+    return stars.where("token IS NULL").select(*ends).unionByName(joined(runs).select(*ends)).distinct()
+
+
 # 3 and 4: regions
 
 _MEMBER = "block string, doc_id long, copies long, hashes binary, home boolean, low int, chunk int"
@@ -178,6 +228,7 @@ def _sets(k: int):
                 data = pa.array([shingles(x, k).tobytes() for x in text.to_pylist()], pa.binary())
                 m = len(data)
                 yield pa.RecordBatch.from_arrays([block, doc_id, copies, data, pa.array([True] * m), pa.array([0] * m, pa.int32()), pa.array([0] * m, pa.int32())], _NAMES)
+        forget()
 
     return run
 
@@ -298,6 +349,8 @@ def _joined(percent: int):
                 rows.append(r)
         if len(rows) > 1:
             yield out(_joined_group(rows, percent))
+        rows.clear()
+        forget()
 
     return run
 
@@ -337,7 +390,7 @@ def _region_joins(members: DataFrame, percent: int, leaf_docs: int, leaf_shingle
         fits = dealt.join(small(over).select("block"), "block", "left_anti")
         parts.append(_leaves(fits, percent))
         stuck = dealt.join(small(over.where("NOT again").select("block", "docs")), "block").unionByName(rest.join(small(sizes), "block"))
-        parts.append(_grid(stuck, percent, leaf_docs, leaf_shingles))
+        parts.append(_grid(stuck, percent, GRID * leaf_docs, GRID * leaf_shingles))
         sizes = cut(over.where("again").select("block", "docs"))
         if not sizes.limit(1).count():
             break
@@ -362,7 +415,7 @@ def _grid(members: DataFrame, percent: int, leaf_docs: int, leaf_shingles: int)
     return _leaves(spread.select(*_NAMES), percent)
 
 
-def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES, hot_rank: int = HOT_RANK) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs.
 
     Documents link if 100 * intersection >= percent * union of their sets. component_id is the least id that links
@@ -376,8 +429,8 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rarity = spark.sparkContext.broadcast(_rarity(described))
     rows = described.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
-    tokens = base.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(k, percent, rarity), "token long, n long, s1 long, s2 long")
-    stars = tokens.repartition("token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(_stars(percent), "a1 long, a2 long, b1 long, b2 long").distinct()
+    tokens = base.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(k, percent, rarity, hot_rank), "token long, salt long, n long, s1 long, s2 long")
+    stars = _candidates(tokens, percent)
     of = lambda x: classes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("rep").alias(x))
     candidates = stars.join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"]).select("a", "b").distinct()
     blocks = components(candidates, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").cast("string").alias("block"))
