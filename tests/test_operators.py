@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,17 +158,28 @@ def test_stats(spark):
     assert [r[0] for r in rows.select(stats.label(flags)).collect()] == ["general", "money", "game", "general"]
 
 
+def pcm_of(seconds):
+    """PCM of a tone: (seconds, amplitude 0 to 1) in order."""
+    return b"".join(np.round(32767 * a * np.sin(np.arange(round(s * audio.RATE)) * 0.2)).astype("<i2").tobytes() for s, a in seconds)
+
+
 def test_silences_and_sections(spark):
     tone, none = (lambda s: (s, 0.5)), (lambda s: (s, 0.0))
     # 90 ms is no silence; a gap of 120 ms joins, one of 130 ms doesn't
-    pcm = audio.pcm_of([tone(1), none(0.09), tone(1), none(0.1), tone(0.12), none(0.2), tone(0.5), none(0.2), tone(0.13), none(0.2), tone(1)])
+    pcm = pcm_of([tone(1), none(0.09), tone(1), none(0.1), tone(0.12), none(0.2), tone(0.5), none(0.2), tone(0.13), none(0.2), tone(1)])
     clips = spark.createDataFrame([("c", pcm), ("none", None)], "clip string, pcm binary")
     got = sorted((round(r.start, 2), round(r.end, 2)) for r in audio.silences(audio.frames(clips)).collect())
     assert got == [(2.09, 2.51), (3.01, 3.21), (3.34, 3.54)]
-    pcm = audio.pcm_of([tone(5), none(0.6), tone(5), none(0.7), tone(5)])
+    pcm = pcm_of([tone(5), none(0.6), tone(5), none(0.7), tone(5)])
     scripts = spark.createDataFrame([("c", ["x" * 50, "x" * 50, "x" * 50])], "clip string, blocks array<string>")
     r = audio.aligned(audio.frames(spark.createDataFrame([("c", pcm)], "clip string, pcm binary")), scripts).first()
-    assert r.boundary == "snap" and r.starts == [5.45, 11.15]
+    assert r.boundary == "snap" and r.starts == [5.3, 11.0]
+    # a phrase and a silence after the farther of two silences; no silence near; no silence at all; one block
+    far = pcm_of([tone(4), none(0.6), tone(2), none(0.6), tone(1), none(0.3), tone(8)])
+    clips = spark.createDataFrame([("a", far), ("b", far), ("c", pcm_of([tone(4)])), ("d", far)], "clip string, pcm binary")
+    scripts = spark.createDataFrame([("a", ["x" * 5, "x" * 11]), ("b", ["x" * 5, "x" * 5, "x" * 5]), ("c", ["", ""]), ("d", ["x"])], "clip string, blocks array<string>")
+    got = {r.clip: (r.starts, r.boundary) for r in audio.aligned(audio.frames(clips), scripts).collect()}
+    assert got == {"a": ([6.9], "snap"), "b": ([6.9, 11.0], "partial"), "c": ([0.0], "estimate"), "d": ([], "snap")}
 
 
 def test_issues(spark):

@@ -6,6 +6,8 @@ timestamp_ntz on the Korean clock, so no session time zone changes them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,59 +31,99 @@ def _day(y: Column, m: Column, d: Column) -> Column:
     return text.try_cast("date")
 
 
+@dataclass(frozen=True)
+class Spelling:
+    """A way to write a date: fields with their numbers of digits, marks of which one stands between two, and a clock.
+
+    word: what stands for a day; dot: one may come after the fields; clock: may or must follow; seconds: the clock may have
+    them; open: anything may come after.
+    """
+
+    fields: tuple[tuple[str, str], ...] = ()
+    marks: str = ""
+    word: str = ""
+    dot: bool = False
+    must: bool = False
+    seconds: bool = True
+    open: bool = False
+
+    def pattern(self) -> str:
+        clock = r"([0-9]{1,2}):([0-9]{2})" + (r"(?::([0-9]{2}))?" if self.seconds else "()")
+        day = self.word + f"[{self.marks}]".join(f"([0-9]{{{digits}}})" for _, digits in self.fields) + (r"\.?" if self.dot else "")
+        return "^" + (clock if self.must else rf"{day}(?:\s+{clock})?") + ("" if self.open else "$")
+
+    def group(self, name: str) -> int | None:
+        """Group of a field or of hour, minute, second."""
+        names = [*(f for f, _ in self.fields), "hour", "minute", "second"]
+        return names.index(name) + 1 if name in names else None
+
+
+#: Fixed values of the sites' formats: spellings, in the order in which they're tried; units of "... ago" in seconds (a day
+#: has no time); words for now; bars before a count of views, which isn't part of the date.
+SPELLINGS = (
+    Spelling(word="어제"),
+    Spelling(must=True),
+    Spelling((("month", "1,2"), ("day", "1,2")), "./-", dot=True, seconds=False),
+    Spelling((("year", "2"), ("month", "2"), ("day", "2")), "./-"),
+    Spelling((("year", "4"), ("month", "1,2"), ("day", "1,2")), "./-", dot=True, open=True),
+)
+AGO = {"초": 0, "분": 60, "시간": 3600, "일": 86_400}
+NOW = ("방금", "방금 전")
+BARS, VIEWS = "lL│|ㅣ", "조회"
+ISO = Spelling((("year", "4"), ("month", "2"), ("day", "2")), "-").pattern()[:-1].replace(r"(?:\s+([0-9]{1,2})", "T([0-9]{2})").removesuffix(")?") + r"(?:\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
+def _date(event_ts: Column, event_date: Column) -> Column:
+    """A known time has its own day."""
+    return F.struct(event_ts.cast("timestamp_ntz").alias("event_ts"), F.coalesce(event_ts.cast("date"), event_date.cast("date")).alias("event_date"))
+
+
+def _written(t: Column, how: Spelling, as_of: Column) -> Column:
+    """The date of a text in one spelling."""
+    pattern, today, none = how.pattern(), as_of.cast("date"), F.lit(None)
+    get = lambda name: _n(t, pattern, how.group(name))
+    if how.word:
+        day = F.date_sub(today, 1)
+    elif how.must:
+        day = today
+    elif how.group("year"):
+        day = _day(get("year") + (2000 if how.fields[0][1] == "2" else 0), get("month"), get("day"))
+    else:  # this year's, or last year's if it's more than a day ahead
+        this, last = (_day(F.year(as_of) - back, get("month"), get("day")) for back in (0, 1))
+        day = F.when(this.cast("timestamp_ntz") > as_of + F.make_dt_interval(F.lit(1)), last).otherwise(this)
+    ts = _at(day, get("hour"), get("minute"), F.coalesce(get("second"), F.lit(0)))
+    if how.must:  # yesterday's if it's more than ten minutes ahead
+        ts = F.when(ts > as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10)), ts - F.make_dt_interval(F.lit(1))).otherwise(ts)
+    timed = F.regexp_extract(t, pattern, how.group("hour")) != ""
+    return _date(F.when(timed, ts), F.when(~timed, day).otherwise(none))
+
+
+def _iso(t: Column) -> Column:
+    """Time of an ISO 8601 text on the Korean clock; without a zone it's Korean."""
+    zone = F.regexp_extract(t, ISO, 7)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    offset = F.when(zone == "", HOURS * 60).when(zone == "Z", 0).otherwise(F.when(zone.startswith("-"), -minutes).otherwise(minutes))
+    at = _at(_day(*(_n(t, ISO, i) for i in (1, 2, 3))), _n(t, ISO, 4), _n(t, ISO, 5), F.coalesce(_n(t, ISO, 6), F.lit(0)))
+    return at + F.make_dt_interval(F.lit(0), F.lit(0), HOURS * 60 - offset, F.lit(0))
+
+
 def parse_date(text: Column, as_of: Column) -> Column:
     """struct<event_ts timestamp_ntz, event_date date> of ten spellings; both null for others and for days that don't exist.
 
     as_of is a timestamp_ntz. A time alone is today's, or yesterday's if over ten minutes ahead; a day without a year
     is this year's, or last year's if over a day ahead.
     """
-    t = F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s*[lL│|ㅣ]\s*조회.*$", ""))
-    none_ts, none_day = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("date")
-    today = as_of.cast("date")
-    zero = F.lit(0)
-
-    def ago(unit_seconds: int, pattern: str) -> Column:
-        return as_of - F.make_dt_interval(zero, zero, zero, _n(t, pattern, 1) * unit_seconds)
-
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?:\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
-    zone = F.regexp_extract(t, iso, 7)
-    offset = F.when(zone == "", F.lit(HOURS * 60)).when(zone == "Z", zero).otherwise(
-        F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")))
-    iso_ts = _at(_day(_n(t, iso, 1), _n(t, iso, 2), _n(t, iso, 3)), _n(t, iso, 4), _n(t, iso, 5), F.coalesce(_n(t, iso, 6), zero))
-    iso_ts = iso_ts + F.make_dt_interval(zero, zero, HOURS * 60 - offset, zero)
-    yesterday = r"^어제(?:\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
-    clock = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?$"
-    short = r"^([0-9]{1,2})[./-]([0-9]{1,2})\.?(?:\s+([0-9]{1,2}):([0-9]{2}))?$"
-    two = r"^([0-9]{2})[./-]([0-9]{2})[./-]([0-9]{2})(?:\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
-    four = r"^([0-9]{4})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})\.?(?:\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?"
-
-    clock_ts = _at(today, _n(t, clock, 1), _n(t, clock, 2), F.coalesce(_n(t, clock, 3), zero))
-    clock_ts = F.when(clock_ts > as_of + F.make_dt_interval(zero, zero, F.lit(10)), clock_ts - F.make_dt_interval(F.lit(1))).otherwise(clock_ts)
-    this = _day(F.year(as_of), _n(t, short, 1), _n(t, short, 2))
-    ahead = this.cast("timestamp_ntz") > as_of + F.make_dt_interval(F.lit(1))
-    short_day = F.when(ahead, _day(F.year(as_of) - 1, _n(t, short, 1), _n(t, short, 2))).otherwise(this)
-
-    def both(ts: Column, day: Column, timed: Column) -> Column:
-        return F.struct(F.when(timed, ts).otherwise(none_ts).alias("event_ts"), F.when(timed, ts.cast("date")).otherwise(day).alias("event_date"))
-
-    def dated(pattern: str, year: Column) -> Column:
-        day = _day(year, _n(t, pattern, 2), _n(t, pattern, 3))
-        return both(_at(day, _n(t, pattern, 4), _n(t, pattern, 5), F.coalesce(_n(t, pattern, 6), zero)), day, F.regexp_extract(t, pattern, 4) != "")
-
-    timed, untimed = F.lit(True), F.lit(False)
-    return (
-        F.when(t.rlike(iso), both(iso_ts, none_day, timed))
-        .when(t.isin("방금", "방금 전") | t.rlike(r"^[0-9]+\s*초\s*전"), both(as_of, none_day, timed))
-        .when(t.rlike(r"^[0-9]+\s*분\s*전"), both(ago(60, r"^([0-9]+)\s*분"), none_day, timed))
-        .when(t.rlike(r"^[0-9]+\s*시간\s*전"), both(ago(3600, r"^([0-9]+)\s*시간"), none_day, timed))
-        .when(t.rlike(r"^[0-9]+\s*일\s*전"), both(none_ts, F.date_sub(today, _n(t, r"^([0-9]+)\s*일", 1)), untimed))
-        .when(t.rlike(yesterday), both(_at(F.date_sub(today, 1), _n(t, yesterday, 1), _n(t, yesterday, 2), F.coalesce(_n(t, yesterday, 3), zero)), F.date_sub(today, 1), F.regexp_extract(t, yesterday, 1) != ""))
-        .when(t.rlike(clock), both(clock_ts, none_day, timed))
-        .when(t.rlike(short), both(_at(short_day, _n(t, short, 3), _n(t, short, 4), zero), short_day, F.regexp_extract(t, short, 3) != ""))
-        .when(t.rlike(two), dated(two, _n(t, two, 1) + 2000))
-        .when(t.rlike(four), dated(four, _n(t, four, 1)))
-        .otherwise(both(none_ts, none_day, untimed))
-    )
+    t = F.trim(F.split(F.trim(F.coalesce(text, F.lit(""))), rf"[{BARS}]\s*{VIEWS}", 2)[0])
+    ago = rf"^([0-9]+)\s*({'|'.join(AGO)})\s*전"
+    unit = F.regexp_extract(t, ago, 2)
+    seconds = _n(t, ago, 1) * F.element_at(F.create_map(*[F.lit(x) for pair in AGO.items() for x in pair]), unit)
+    since = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    none = F.lit(None)
+    out = F.when(t.rlike(ISO), _date(_iso(t), none)).when(t.isin(*NOW), _date(as_of, none))
+    out = out.when(t.rlike(ago), _date(F.when(unit != "일", since), since))
+    for how in SPELLINGS:
+        out = out.when(t.rlike(how.pattern()), _written(t, how, as_of))
+    return out.otherwise(_date(none, none))
 
 
 def api_date(written: Column, target: Column) -> Column:
