@@ -1,23 +1,29 @@
 """Sharding by size-tiered compaction, with DataFrame functions and the file system's API on the driver only.
 
-A store is a folder: runs/<id>/ hold Parquet shards that never change, manifests/v<n>/ hold one version each, a
-table with a row for each run. Arrivals are appended as runs of small shards. A run's tier is the logarithm of
-its bytes; whenever a tier has FANOUT runs, they are merged into one whose shards have the target size. So a
-row is written once a tier, and only then. A version becomes visible by the rename of its folder, which fails if
-the version exists: of two writers one wins, and a job that dies leaves only files that no manifest names.
-Old runs stay until vacuum(), for readers of older versions.
+A store is a folder: runs/ hold Parquet shards that never change, each write in a folder of a random name, and
+manifests/v<n>/ hold one version each, a table with a row for each run. Arrivals are appended as runs of small shards. A
+run's tier is the logarithm of its bytes; whenever a tier has FANOUT runs, they are merged into one whose shards have the
+target size. So a row is written once a tier, and only then.
+
+Data is written where it stays, and nothing reads it before a version names it. A version becomes visible by the rename of
+its folder, which fails if the version exists: of two writers one wins, and the other commits its runs on top of
+that. A job that dies, wherever, leaves only files that no manifest names. Old runs stay until vacuum(), for readers of older
+versions.
 
 Merges read small files packed into partitions of the target size and write them as they are: no shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of a merged shard, and the runs of one tier that start a merge.
 TARGET_BYTES = 128 << 20
@@ -29,14 +35,27 @@ BASE_BYTES = 4 << 20
 @dataclass(frozen=True)
 class Run:
     run_id: str
+    folder: str
     arrivals: str
     tier: int
     shards: int
     rows: int
     bytes: int
+    schema: str
+
+
+_SCHEMA = "run_id string, folder string, arrivals string, tier int, shards int, rows long, bytes long, schema string"
 
 
-_SCHEMA = "run_id string, arrivals string, tier int, shards int, rows long, bytes long"
+def merged_schema(runs: list[Run]) -> StructType:
+    """Columns of all runs, in the order in which they came; ValueError if a name has two types."""
+    found: dict[str, StructField] = {}
+    for run in runs:
+        for field in StructType.fromJson(json.loads(run.schema)).fields:
+            known = found.setdefault(field.name.lower(), StructField(field.name, field.dataType, True))
+            if known.dataType != field.dataType:
+                raise ValueError(f"column {field.name} is {known.dataType.simpleString()} and {field.dataType.simpleString()}")
+    return StructType(list(found.values()))
 
 
 class Store:
@@ -71,93 +90,131 @@ class Store:
         rows = self.spark.read.schema(_SCHEMA).json(f"{self.root}/manifests/v{version}").collect()
         return sorted((Run(**r.asDict()) for r in rows), key=lambda r: r.run_id)
 
+    def _moved(self, folder: str, to: str) -> bool:
+        """Whether a rename took place; some file systems say so by an error."""
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            return self._fs.rename(self._path(folder), self._path(to))
+        except Py4JJavaError:
+            return False
+
     def commit(self, runs: list[Run], version: int) -> None:
         """Make a version visible, all or nothing; FileExistsError if it's there already."""
         tmp, final = f"{self.root}/tmp/{uuid.uuid4().hex}", f"{self.root}/manifests/v{version}"
         rows = F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in vars(r).items()]) for r in runs]))
         (self.spark.range(1).select(rows) if runs else self.spark.createDataFrame([], _SCHEMA)).coalesce(1).write.json(tmp)
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(tmp), self._path(final)):
+        if self._fs.exists(self._path(final)) or not self._moved(tmp, final):
             self._fs.delete(self._path(tmp), True)
             raise FileExistsError(final)
         if self._fs.exists(self._path(f"{final}/{tmp.rpartition('/')[2]}")):  # it came into a folder that another writer made meanwhile
             self._fs.delete(self._path(f"{final}/{tmp.rpartition('/')[2]}"), True)
             raise FileExistsError(final)
 
-    def _described(self, run_id: str, folder: str, arrivals: str, rows: int) -> Run:
-        files = [x for x in self._ls(folder) if x.getPath().getName().endswith(".parquet")]
+    def _described(self, folder: str, arrivals: str, rows: int, schema: StructType) -> Run:
+        files = [x for x in self._ls(f"{self.root}/runs/{folder}") if x.getPath().getName().endswith(".parquet")]
         size = sum(x.getLen() for x in files)
-        return Run(run_id, arrivals, self.tier(size), len(files), rows, size)
+        return Run(folder.replace("/", "."), folder, arrivals, self.tier(size), len(files), rows, size, json.dumps(schema.jsonValue()))
+
+    def _committed(self, make) -> bool:
+        """Commit make(newest runs) as the next version, again on top of what other writers commit meanwhile; False if it gives None."""
+        while True:
+            version = (self.versions() or [0])[-1]
+            if (runs := make(self.manifest(version) if version else [])) is None:
+                return False
+            try:
+                self.commit(runs, version + 1)
+                return True
+            except FileExistsError:
+                continue
 
     def append(self, arrivals: DataFrame, by: str) -> list[Run]:
-        """One run for each value of column by (a number), all in one pass, and a new version with them.
+        """One run for each value of column by (a number or null), all in one pass, and a new version with them.
 
-        by goes into the run's name and out of its rows. Each task writes the arrivals that it has, so shards are as
-        small as they come. An empty table adds no run, but a version.
+        by goes into the run's description and out of its rows. Each task writes the arrivals that it has, so shards are as
+        small as they come. Other columns may differ from those before: rows without a column have null there, and a column
+        of another type than before is a ValueError before anything is written. An empty table adds no run, but a version.
         """
-        before, version = self.manifest(), (self.versions() or [0])[-1] + 1
-        tmp = f"{self.root}/tmp/{uuid.uuid4().hex}"
-        arrivals.write.partitionBy(by).parquet(tmp)
-        found = [x.getPath() for x in self._ls(tmp) if x.isDirectory()]
+        schema = StructType([f for f in arrivals.schema.fields if f.name.lower() != by.lower()])
+        merged_schema([*self.manifest(), Run("", "", "", 0, 0, 0, 0, json.dumps(schema.jsonValue()))])
+        name = uuid.uuid4().hex
+        whole = f"{self.root}/runs/{name}"
+        arrivals.write.partitionBy(by).parquet(whole)
+        found = sorted((x.getPath().getName() for x in self._ls(whole) if x.isDirectory()), key=lambda x: (len(x), x))
         counts = {}
         if found:
-            counts = {str(r[by]): r["count"] for r in self.spark.read.parquet(tmp).groupBy(by).count().collect()}
-        made = []
-        for at, folder in enumerate(sorted(found, key=lambda p: (len(p.getName()), p.getName()))):
-            value, run_id = folder.getName().partition("=")[2], f"r{version:06d}-{at:04d}"
-            self._fs.rename(folder, self._path(f"{self.root}/runs/{run_id}"))
-            made.append(self._described(run_id, f"{self.root}/runs/{run_id}", value, counts.get(value, counts.get("None", 0))))
-        self._fs.delete(self._path(tmp), True)
-        self.commit(before + made, version)
+            counts = {str(r[by]): r["count"] for r in self.spark.read.parquet(whole).groupBy(by).count().collect()}
+        values = [x.partition("=")[2] for x in found]
+        made = [self._described(f"{name}/{x}", v, counts.get(v, counts.get("None", 0)), schema) for x, v in zip(found, values)]
+        self._committed(lambda runs: runs + made)
         return made
 
     def _due(self, runs: list[Run]) -> list[Run]:
-        """The oldest FANOUT runs of the lowest tier that has so many."""
+        """The first FANOUT runs of the lowest tier that has so many."""
         by_tier: dict[int, list[Run]] = {}
         for r in runs:
             by_tier.setdefault(r.tier, []).append(r)
         return next((x[: self.fanout] for _, x in sorted(by_tier.items()) if len(x) >= self.fanout), [])
 
+    def _table(self, runs: list[Run]) -> DataFrame:
+        return self.spark.read.schema(merged_schema(runs)).parquet(*[f"{self.root}/runs/{r.folder}" for r in runs])
+
     def compact(self, keep_old: bool = True) -> int:
         """Merge until no tier has FANOUT runs; a version for each merge. Returns the number of merges.
 
-        Without keep_old, runs go as soon as the version without them is visible, so that beside the table itself there is
-        never more than one merge on disk; older versions can't be read then.
+        A merge whose runs another writer has merged meanwhile is dropped. Without keep_old, runs go as soon as the version
+        without them is visible, so that beside the table itself there is never more than one merge on disk; older versions
+        can't be read then.
         """
         merges = 0
-        while due := self._due(runs := self.manifest()):
-            version = self.versions()[-1] + 1
-            run_id, size = f"r{version:06d}-0000", sum(r.bytes for r in due)
-            folder = f"{self.root}/runs/{run_id}"
+        while due := self._due(self.manifest()):
+            folder, size = uuid.uuid4().hex, sum(r.bytes for r in due)
             shards = max(1, round(size / self.target_bytes))
-            whole = self.spark.read.parquet(*[f"{self.root}/runs/{r.run_id}" for r in due])
-            whole.coalesce(shards).write.parquet(tmp := f"{self.root}/tmp/{uuid.uuid4().hex}")
-            rows = self.spark.read.parquet(tmp).count()
+            self._table(due).coalesce(shards).write.parquet(f"{self.root}/runs/{folder}")
+            schema = merged_schema(due)
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/runs/{folder}").count()
             if rows != sum(r.rows for r in due):
-                raise RuntimeError(f"{run_id} has {rows} rows")
-            self._fs.rename(self._path(tmp), self._path(folder))
-            merged = self._described(run_id, folder, ",".join(r.arrivals for r in due), rows)
+                raise RuntimeError(f"a merge of {sum(r.rows for r in due)} rows has {rows}")
+            merged = self._described(folder, ",".join(r.arrivals for r in due), rows, schema)
             # runs that are merged must climb, else shards that pack better would be merged for ever
-            merged = Run(run_id, merged.arrivals, max(merged.tier, due[0].tier + 1), merged.shards, rows, merged.bytes)
-            self.commit([r for r in runs if r not in due] + [merged], version)
+            merged = replace(merged, tier=max(merged.tier, due[0].tier + 1))
+            if self._committed(lambda runs: [r for r in runs if r not in due] + [merged] if all(r in runs for r in due) else None):
+                merges += 1
+            else:
+                self._fs.delete(self._path(f"{self.root}/runs/{folder}"), True)
             if not keep_old:
                 self.vacuum()
-            merges += 1
         return merges
 
     def vacuum(self) -> int:
-        """Delete runs that the newest version doesn't name; returns their number."""
-        live = {r.run_id for r in self.manifest()}
-        dead = [x.getPath() for x in self._ls(f"{self.root}/runs") if x.getPath().getName() not in live]
-        for path in dead:
-            self._fs.delete(path, True)
-        return len(dead)
+        """Delete runs that an older version names and the newest doesn't; returns their number.
+
+        Runs that no version names are left alone, as another writer may be about to commit them.
+        """
+        versions = self.versions()
+        if len(versions) < 2:
+            return 0
+        live = {r.folder for r in self.manifest(versions[-1])}
+        older = self.spark.read.schema(_SCHEMA).json([f"{self.root}/manifests/v{v}" for v in versions[:-1]])
+        dead = [r.folder for r in older.select("folder").distinct().collect() if r.folder not in live]
+        return sum(bool(self._fs.delete(self._path(f"{self.root}/runs/{x}"), True)) for x in dead)
+
+    def pending(self) -> int:
+        """Number of merges that are due at once: full groups of FANOUT runs of one tier."""
+        return sum(n // self.fanout for n in Counter(r.tier for r in self.manifest()).values())
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """All rows of a version, with the columns of all its runs, null where a run lacks one; ValueError without runs."""
+        if not (runs := self.manifest(version)):
+            raise ValueError("no runs")
+        return self._table(runs)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with run_id and tier. Rows have the columns of the first run."""
-        runs = self.manifest(version)
-        if not runs:
+        """As rows(), with run_id and tier, which replace columns of these names whatever their case."""
+        if not (runs := self.manifest(version)):
             raise ValueError("no runs")
-        frame = self.spark.read.parquet(*[f"{self.root}/runs/{r.run_id}" for r in runs])
-        name = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+)/", 1)
-        tiers = F.create_map(*[F.lit(x) for r in runs for x in (r.run_id, r.tier)])
-        return frame.select(*frame.columns, name.alias("run_id"), F.element_at(tiers, name).alias("tier"))
+        frame = self._table(runs)
+        place = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.+)/[^/]+$", 1)
+        known = lambda of: F.element_at(F.create_map(*[F.lit(x) for r in runs for x in (r.folder, of(r))]), place)
+        kept = [F.col(f"`{c}`") for c in frame.columns if c.lower() not in ("run_id", "tier")]
+        return frame.select(*kept, known(lambda r: r.run_id).alias("run_id"), known(lambda r: r.tier).alias("tier"))
