@@ -1,7 +1,9 @@
 """Counts against a plain version; verdicts on made groups."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidemark.llm import quality_rules as rules
@@ -53,17 +55,43 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert not {i for i in ids if 10_000 <= i < 20_003}
     assert sum(i < 1500 for i in ids) >= 1495 and ids.count(20_003) == 2
     assert rules.accepted(docs.limit(0)).count() == 0
-    assert rules.accepted(docs.where("doc_id < 20")).count() == docs.where("doc_id < 20").count()  # too few rows for any estimate
+    assert rules.accepted(docs.where("doc_id < 20")).count() == docs.where("doc_id < 20").count()  # few rows lean on the wide estimate
 
 
 def test_base_rule_and_columns(spark):
     docs = spark.createDataFrame([(1, "en", "a", "x " * 49), (2, "en", "a", " ".join(map(str, range(60)))), (3, None, None, None)], "doc_id long, lang string, source string, text string")
     rows = cut(rules.with_counts(docs))
-    got = {r.doc_id: r for r in rules.judged(rows, *rules.fit(rows)).collect()}
+    got = {r.doc_id: r for r in rules.judged(rows, rules.fit(rows)).collect()}
     assert [got[i].base_failed for i in (1, 2, 3)] == [True, False, True] and [got[i].kept for i in (1, 2, 3)] == [False, True, False]
 
 
-@pytest.mark.parametrize("table", ["/root/testdata/sf0.01"])
+def test_drawn_estimates():
+    """Small groups lean on larger ones, large ones on themselves."""
+    p, eye = rules.P, np.eye(rules.P)
+    levels = lambda n: [(1e9, np.zeros(p), eye), (1e9, np.ones(p), 4 * eye), (n, np.full(p, 3.0), 9 * eye)]
+    for n, mean, var in ((0, 1, 4), (rules.WEIGHT, 2, 6.5), (1e12, 3, 9)):
+        got, inverse = rules.drawn(levels(n), rules.WEIGHT)
+        assert np.allclose(got, mean, atol=1e-4) and np.allclose(inverse.reshape(p, p), eye / var, atol=1e-4)
+    alone = rules.drawn([(0, np.zeros(p), 0 * eye)], rules.WEIGHT)[1].reshape(p, p)
+    assert np.allclose(np.diag(alone), [1 / x**2 for x in rules.WIDE.values()])
+
+
+def test_estimate_against_every_subset(spark):
+    """The determinant of a small group's estimate is near the least of all subsets of that size."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(0, 1, (11, rules.P))
+    x[:2] += 25
+    share = int(np.ceil(rules.H * len(x)))
+    least = min((rules._fit(share, s.sum(0), (s.T @ s)[np.triu_indices(rules.P)], rules.CONSISTENT)[3] for s in (x[list(c)] for c in combinations(range(len(x)), share))))
+    rows = cut(spark.createDataFrame([("g", "s", False, r.tolist()) for r in x], "lang string, source string, base_failed boolean, _x array<double>"))
+    e = rules.fit(rows, weight=0.0).first()["_e"]
+    inverse = np.array(e["inverse"]).reshape(rules.P, rules.P)
+    assert -np.linalg.slogdet(inverse)[1] <= least + 1.0
+    far = [(r - e["mean"]) @ inverse @ (r - e["mean"]) for r in x]
+    assert sorted(np.argsort(far)[-2:].tolist()) == [0, 1]
+
+
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_labelled_rows(spark, table):
     from tidemark.llm.q_quality import op6_quality_rules
 

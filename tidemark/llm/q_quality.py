@@ -14,8 +14,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     rows = cut(rules.with_counts(docs).drop("text"))
-    keys, estimates = rules.fit(rows)
-    return rules.judged(rows, keys, estimates).select("doc_id", *[f"_c.{c}" for c in rules.COUNTS], "base_failed", "kept", "distance2")
+    return rules.judged(rows, rules.fit(rows)).select("doc_id", *[f"_c.{c}" for c in rules.COUNTS], "base_failed", "kept", "distance2")
 
 
 THRESHOLD = 0.3

@@ -7,8 +7,9 @@ repeat; the start that ends with the smaller determinant wins. Documents farther
 are rejected.
 
 A step is two aggregations with partial sums over the small vectors (a quantile of the distances, then sums
-of products), whatever the sizes of the groups, and gives one row a group and start. Groups with too few rows
-use their language's estimate, then that of all rows.
+of products), whatever the sizes of the groups, and gives one row a group and start. Estimates exist for groups,
+languages and all rows; a group's is drawn toward its language's, that toward the one of all rows, and that toward a wide
+one, each with the weight of WEIGHT rows, so that small groups lean on larger ones and no size switches a rule off.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back, same, small
@@ -27,8 +28,8 @@ from tidemark.session import cut
 
 #: Share of a group's rows that the estimate rests on.
 H = 0.75
-#: Rows that a group needs for its own estimate.
-MIN_ROWS = 100
+#: Rows that an estimate's wider one counts as.
+WEIGHT = 100
 STEPS = 3
 #: Probability that a clean normal row is rejected.
 TAIL = 1e-9
@@ -38,6 +39,8 @@ UPPER = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistic -> the standard deviation that is added to its estimate, so that constant columns don't reject small changes.
 FLOORS = {"words": 0.25, "length": 0.06, "symbols": 0.25, "dup_lines": 0.5, "repeats": 0.08, "upper": 0.06, "marks": 0.06}
+#: Standard deviations of the wide estimate that all rows' one is drawn toward.
+WIDE = {"words": 1.2, "length": 0.25, "symbols": 1.0, "dup_lines": 1.5, "repeats": 0.25, "upper": 0.2, "marks": 0.2}
 P = len(FLOORS)
 
 
@@ -126,25 +129,47 @@ def chi2_quantile(q: float, k: float) -> float:
 CONSISTENT = H / chi2_cdf(chi2_quantile(H, P), P + 2)
 
 
-def _fit(n: np.ndarray, sums: np.ndarray, products: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Place, inverse covariance (flat) and log determinant from sums of a group's nearest rows."""
+def _fit(n: float, sums: np.ndarray, products: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Place, covariance and its inverse (flat), and log determinant from sums of a group's nearest rows."""
     mean, full, at = sums / n, np.empty((P, P)), np.triu_indices(P)
     full[at] = full.T[at] = products / n
     cov = (full - np.outer(mean, mean)) * scale + np.diag([x * x for x in FLOORS.values()])
-    return mean, np.linalg.inv(cov).ravel(), float(np.linalg.slogdet(cov)[1])
+    return mean, cov.ravel(), np.linalg.inv(cov).ravel(), float(np.linalg.slogdet(cov)[1])
 
 
-_ESTIMATE = "struct<mean:array<double>,inverse:array<double>,logdet:double>"
+_ESTIMATE = "struct<mean:array<double>,cov:array<double>,inverse:array<double>,logdet:double>"
 
 
 def _estimator(scale: float):
     @F.pandas_udf(_ESTIMATE)
     def estimate(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_fit(a, np.asarray(b), np.asarray(c), scale) for a, b, c in zip(n, sums, products)], columns=["mean", "inverse", "logdet"])
+        return pd.DataFrame([_fit(a, np.asarray(b), np.asarray(c), scale) for a, b, c in zip(n, sums, products)], columns=["mean", "cov", "inverse", "logdet"])
 
     return estimate
 
 
+def drawn(levels: list[tuple[float, np.ndarray, np.ndarray]], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Place and inverse covariance (flat) from (rows, place, covariance) of all rows, a language and a group, in that order.
+
+    Each level keeps the share rows / (rows + weight) of its own and takes the rest from the level before; what all rows'
+    covariance takes is WIDE's.
+    """
+    place, cov = levels[0][1], np.diag([x * x for x in WIDE.values()])
+    for rows, mean, own in levels:
+        share = rows / (rows + weight)
+        place, cov = share * mean + (1 - share) * place, share * own + (1 - share) * cov
+    return place, np.linalg.inv(cov).ravel()
+
+
+def _drawer(weight: float):
+    @F.pandas_udf("struct<mean:array<double>,inverse:array<double>>")
+    def made(levels: pd.Series) -> pd.DataFrame:
+        each = ([(x["n"], np.asarray(x["mean"]), np.asarray(x["cov"]).reshape(P, P)) for x in row] for row in levels)
+        return pd.DataFrame([drawn(x, weight) for x in each], columns=["mean", "inverse"])
+
+    return made
+
+
 def _moments(of: list[Column]) -> list[Column]:
     return [
         F.count(F.lit(1)).cast("double").alias("_n"),
@@ -159,32 +184,19 @@ def distance2(x: Column, mean: Column, inverse: Column) -> Column:
     return sum((y[i] * sum((y[j] * inverse[i * P + j] for j in range(1, P)), y[0] * inverse[i * P]) for i in range(1, P)), y[0] * sum((y[j] * inverse[j] for j in range(1, P)), y[0] * inverse[0]))
 
 
-def _keys(counts: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
-    """(_lang, _source, _adds, _key): the groups that a row's vector adds to, and the one that judges it."""
-    by_lang = Window.partitionBy("_lang")
+def _keys(counts: DataFrame, lang: str, source: str) -> DataFrame:
+    """(_lang, _source, _adds): the estimates that a row of a language and source adds to, and is judged by."""
     own = F.concat(F.lit("1 "), F.to_json(F.struct("_lang", "_source")))
     wider = F.concat(F.lit("2 "), F.to_json(F.struct("_lang")))
-    needs = F.col("count") < min_rows
-    found = (
-        counts.withColumnsRenamed({lang: "_lang", source: "_source"})
-        .withColumn("_of_lang", F.sum("count").over(by_lang))
-        .withColumn("_some", F.max(needs).over(by_lang))
-    )
-    none = found.agg(F.max(needs & (F.col("_of_lang") < min_rows)).alias("_any"))
-    return found.select(
-        "_lang", "_source",
-        F.array_compact(F.array(own, F.when(F.col("_some"), wider), F.when(none.scalar(), F.lit("3")))).alias("_adds"),
-        F.when(~needs, own).when(F.col("_of_lang") >= min_rows, wider).otherwise(F.lit("3")).alias("_key"),
-    )
-
+    return counts.withColumnsRenamed({lang: "_lang", source: "_source"}).select("_lang", "_source", F.array(F.lit("3"), wider, own).alias("_adds"))
 
-def fit(counted_docs: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Keys by language and source, and estimates by key, from rows of with_counts() that don't fail the base rules.
 
-    Both are checkpoints. Null languages and sources are groups like others. A key has no estimate if even all
-    rows are under min_rows; rows that it judges are kept.
+def fit(counted_docs: DataFrame, lang: str = "lang", source: str = "source", weight: float = WEIGHT) -> DataFrame:
+    """(_lang, _source, _e) with the estimate that judges a language and source, from rows of with_counts() that don't fail the
+    base rules. A checkpoint of a row each. Null languages and sources are groups like others; languages and sources all of
+    whose rows fail the base rules have none.
     """
-    keys = small(cut(_keys(counted_docs.groupBy(lang, source).agg(F.count_if(~F.col("base_failed")).alias("count")), lang, source, min_rows)))
+    keys = small(cut(_keys(counted_docs.where(~F.col("base_failed")).select(lang, source).distinct(), lang, source)))
     rows = (
         counted_docs.where(~F.col("base_failed")).select(F.col(lang).alias("_l"), F.col(source).alias("_s"), "_x")
         .join(keys, same(F.col("_l"), F.col("_lang")) & same(F.col("_s"), F.col("_source")))
@@ -214,16 +226,19 @@ def fit(counted_docs: DataFrame, lang: str = "lang", source: str = "source", min
         step = near.join(limit, ["_key", "_start"]).where("_d <= _limit").groupBy("_key", "_start").agg(*_moments(x))
         now = small(cut(step.select("_key", "_start", _estimator(CONSISTENT)("_n", "_sums", "_products").alias("_e"))))
     best = now.groupBy("_key").agg(F.min_by("_e", F.struct(F.col("_e.logdet"), F.col("_start"))).alias("_e"))
-    enough = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    return keys, small(cut(best.join(enough, "_key", "left_semi")))
+    sized = best.join(rows.groupBy("_key").agg(F.count(F.lit(1)).cast("double").alias("n")), "_key")
+    sized = small(cut(sized.select("_key", F.struct("n", F.col("_e.mean").alias("mean"), F.col("_e.cov").alias("cov")).alias("_one"))))
+    levels = keys.select("_lang", "_source", F.posexplode("_adds").alias("at", "_key")).join(sized, "_key")
+    levels = levels.groupBy("_lang", "_source").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "_one"))), lambda v: v["_one"]).alias("_levels"))
+    return small(cut(levels.select("_lang", "_source", _drawer(weight)("_levels").alias("_e"))))
 
 
-def judged(counted_docs: DataFrame, keys: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
+def judged(counted_docs: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
     """counted_docs with distance2 (null without an estimate) and kept."""
     limit = chi2_quantile(1 - tail, P)
-    out = counted_docs.join(keys.drop("_adds"), same(F.col(lang), F.col("_lang")) & same(F.col(source), F.col("_source")), "left").join(estimates, "_key", "left")
+    out = counted_docs.join(estimates, same(F.col(lang), F.col("_lang")) & same(F.col(source), F.col("_source")), "left")
     out = out.withColumn("distance2", distance2(F.col("_x"), F.col("_e.mean"), F.col("_e.inverse")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).drop("_key", "_lang", "_source", "_e", "_x")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).drop("_lang", "_source", "_e", "_x")
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
@@ -233,7 +248,7 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     empty texts have no words and go; repeated rows are judged alike; an empty table stays empty.
     """
     vectors = cut(with_counts(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text")), "_text").select("lang", "source", "base_failed", "_x"))
-    keys, estimates = fit(vectors, **how)
+    estimates = fit(vectors, **how)
     plain = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    out = judged(with_counts(plain, f"in_{text}"), keys, estimates, f"in_{lang}", f"in_{source}").where("kept")
+    out = judged(with_counts(plain, f"in_{text}"), estimates, f"in_{lang}", f"in_{source}").where("kept")
     return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
