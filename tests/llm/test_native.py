@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_dedup, mixing, sharding
+from tidemark.llm import licenses, line_dedup, mixing, q_native, sharding
 
 DOCS = "doc_id long, source string, text string, size string, _site int"
 
@@ -163,7 +163,91 @@ def test_compact_without_old_runs(spark, tmp_path):
     store = sharding.Store(spark, str(tmp_path / "k"), fanout=2, base_bytes=1 << 20)
     store.append(docs(spark, [(i, "s", f"t{i}") for i in range(80)]).withColumn("by", F.col("doc_id") % 5), "by")
     assert store.compact(keep_old=False) >= 2 and store.read().count() == 80
-    assert {x.getPath().getName() for x in store._ls(f"{store.root}/runs")} == {r.run_id for r in store.manifest()}
+    left = {str(x) for x in (tmp_path / "k" / "runs").rglob("*.parquet")}
+    named = {str(x) for r in store.manifest() for x in (tmp_path / "k" / "runs" / r.folder).glob("*.parquet")}
+    assert left == named != set()
+
+
+def test_new_columns_and_clashing_names(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "m"), fanout=2)
+    store.append(spark.range(10).withColumns({"by": F.lit(1), "run_id": F.lit("mine"), "Tier": F.lit(5)}), "by")
+    store.append(spark.range(10, 20).withColumns({"by": F.lit(2), "more": F.lit("x")}), "by")
+    assert store.compact() == 1
+    rows = sorted((r.id, r.run_id, r.Tier, r.more) for r in store.rows().collect())
+    assert rows == [(i, "mine", 5, None) for i in range(10)] + [(i, None, None, "x") for i in range(10, 20)]
+    got = store.read()
+    assert got.columns == ["id", "more", "run_id", "tier"] and {r.run_id for r in got.collect()} == {store.manifest()[0].run_id}
+    with pytest.raises(ValueError):
+        store.append(spark.range(3).withColumns({"by": F.lit(3), "more": F.lit(1)}), "by")
+    assert store.rows().count() == 20
+
+
+def test_deaths_of_writers(spark, tmp_path, monkeypatch):
+    """A writer that dies before or after the rename of its version, or in a merge, leaves a store that reads and writes on."""
+    store = sharding.Store(spark, str(tmp_path / "d"), fanout=2)
+    frame = lambda a: spark.range(a, a + 10).withColumn("by", F.lit(1))
+    ids = lambda: sorted(r.id for r in store.rows().collect())
+    store.append(frame(0), "by")
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    for name in ("commit", "_moved", "_described"):
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(sharding.Store, name, dies)
+            store.append(frame(100), "by")
+        assert ids() == list(range(10))
+    moved = sharding.Store._moved
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(sharding.Store, "_moved", lambda *a: moved(*a) and dies())
+        store.append(frame(10), "by")
+    assert ids() == list(range(20))  # the version was visible already
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(sharding.Store, "commit", dies)
+        store.compact()
+    assert ids() == list(range(20))
+    store.append(frame(20), "by")
+    assert store.compact(keep_old=False) >= 1 and ids() == list(range(30)) and store.pending() == 0
+
+
+def test_races_of_writers(spark, tmp_path, monkeypatch):
+    """Another writer commits between the write and the commit of this one: an appender, a compaction, a vacuum."""
+    store, other = (sharding.Store(spark, str(tmp_path / "r"), fanout=2) for _ in range(2))
+    frame = lambda a: spark.range(a, a + 10).withColumn("by", F.lit(1))
+    commit, done = sharding.Store.commit, []
+
+    def meanwhile(what):
+        def first(self, runs, version):
+            if self is store and not done:
+                done.append(1)
+                what()
+            return commit(self, runs, version)
+
+        done.clear()
+        monkeypatch.setattr(sharding.Store, "commit", first)
+
+    meanwhile(lambda: other.append(frame(10), "by"))
+    store.append(frame(0), "by")
+    assert sorted(r.id for r in store.rows().collect()) == list(range(20))
+    meanwhile(lambda: other.compact(keep_old=False))
+    store.append(frame(20), "by")
+    assert sorted(r.id for r in store.rows().collect()) == list(range(30))
+    store.append(frame(30), "by")
+    meanwhile(lambda: other.compact())  # both merge the same runs
+    store.compact()
+    assert sorted(r.id for r in store.rows().collect()) == list(range(40)) and store.pending() == 0
+    meanwhile(lambda: other.vacuum())
+    store.append(frame(40), "by")
+    assert sorted(r.id for r in store.rows().collect()) == list(range(50))
+
+
+def test_sharding_query(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, q_native.op9_sharding(spark, sf).collect()))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert got == sorted(duckdb.sql(q_native.OP9_SQL).fetchall())
 
 
 def test_empty_store(spark, tmp_path):

@@ -19,8 +19,6 @@ from tidemark.session import cut
 RATIO = 0.1
 #: Pages that hold a line, below which it stays: two exact copies on a small site aren't emptied by each other.
 MIN_WITH = 3
-#: Floor on a site's pages in OP8_SQL; the operator has none unless it's asked for.
-MIN_PAGES = 20
 
 
 def _lines(text: Column) -> Column:

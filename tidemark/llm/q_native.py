@@ -66,9 +66,9 @@ SELECT d.doc_id, d.canonical_sha256, k.license_id FROM d LEFT JOIN k ON d.canoni
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's text without its host's boilerplate lines; hosts under MIN_PAGES pages keep all, as OP8_SQL has it."""
+    """Every page's text without its host's boilerplate lines."""
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text"))
-    return line_dedup.drop_lines(pages, "host", "text", min_pages=line_dedup.MIN_PAGES, counts=True).select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return line_dedup.drop_lines(pages, "host", "text", counts=True).select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 OP8_SQL = rf"""
@@ -77,9 +77,9 @@ WITH p AS (
     regexp_replace(regexp_replace(html, '{line_dedup.UNSEEN}', chr(10), 'g'), '{line_dedup.TAG}', chr(10), 'g') AS text FROM pages),
 r AS (SELECT *, row_number() OVER () AS rid FROM p),
 l AS (SELECT rid, page_id, host, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, unnest(string_split(text, chr(10))) AS line FROM r),
-t AS (SELECT host, count(*) AS pages FROM r GROUP BY host HAVING count(*) >= {line_dedup.MIN_PAGES}),
+t AS (SELECT host, count(*) AS pages FROM r GROUP BY host),
 c AS (SELECT host, trim(line) AS line, count(DISTINCT rid) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
-b AS (SELECT c.host, c.line FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n > {line_dedup.RATIO} * t.pages),
+b AS (SELECT c.host, c.line FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n > {line_dedup.RATIO} * t.pages AND c.n >= {line_dedup.MIN_WITH}),
 k AS (SELECT l.*, b.line IS NOT NULL AS dropped FROM l LEFT JOIN b ON l.host IS NOT DISTINCT FROM b.host AND trim(l.line) = b.line),
 o AS (SELECT rid, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text FROM k GROUP BY rid)
@@ -91,13 +91,17 @@ ARRIVALS = 16
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended as arrivals, compacted, and read back by the manifest."""
+    """All documents appended as arrivals, compacted, and read back by the manifest, with the merges left to do."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.Store(spark, f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=32 << 20, base_bytes=1 << 20)
     store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")), "_arrival")
     store.compact(keep_old=False)
-    return store.read().select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), F.lit(store.versions()[-1]).cast("long").alias("version"), "run_id", "tier")
+    found = store.read().select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return found.withColumn("pending_merges", F.lit(store.pending()).cast("long"))
 
 
+#: Every row comes back as it was, and no merge is left to do.
+OP9_SQL = "SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, 0::BIGINT AS pending_merges FROM documents"
+
 QUERIES = {"op4_license_scan": op4_license_scan, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding}
-ORACLES = {"op4_license_scan": OP4_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op4_license_scan": OP4_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
