@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and gathered at once; a longer text is a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes that kept pieces and their ids may take in a worker, and the longest piece that is kept.
-KEEP_BYTES, KEEP_CHARS = 48 << 20, 64
+KEEP_BYTES, KEEP_CHARS = 20 << 20, 64
 #: About what a kept piece takes beside its characters and ids.
 _ENTRY = 180
 _SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
