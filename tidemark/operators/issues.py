@@ -42,8 +42,19 @@ def _one_best(found: DataFrame, by: str, order: list[str]) -> DataFrame:
     return found.withColumn("_r", F.rank().over(w)).where("_r = 1").withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(by))).where("_ties = 1").drop("_r", "_ties")
 
 
+def repost_edges(posts: DataFrame) -> DataFrame:
+    """(a, b) that connect all posts of near-equal titles: a star of the posts of one set of bigrams, and pairs of such sets.
+
+    Every near-equal pair is connected, though not by an edge of its own; posts without bigrams have none.
+    """
+    known = posts.where(F.size("bi") > 0).withColumn("_set", F.md5(F.concat_ws("\x01", F.array_sort(F.array_distinct("bi")))))
+    least = known.groupBy("_set").agg(F.min_by(F.struct("id", "bi"), "id").alias("_p"))
+    stars = known.join(least.select("_set", F.col("_p.id").alias("a")), "_set").where("a <> id").select("a", F.col("id").alias("b"))
+    return stars.unionByName(jaccard_pairs(least.select("_p.*"), "id", "bi", DUPLICATE).select("a", "b"))
+
+
 def cluster(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, issue) of all posts, repost pairs (a, b), idf). issue is the least id of the cluster; loners are their own."""
+    """((id, issue) of all posts, repost edges (a, b), idf). issue is the least id of the cluster; loners are their own."""
     idf = cut(token_idf(posts, "id", "kws"))
     strong = idf.where((F.col("df") >= 2) & ~F.col("token").isin(*GENERIC) & (F.char_length("token") >= 2))
     words = cut(posts.select("id", "source", F.explode("kws").alias("token")).join(strong.select("token", "df"), "token").withColumn("number", F.col("token").rlike(NUMBER)))
@@ -64,7 +75,7 @@ def cluster(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     merged = cooccurrence(among, "ws", MERGE_CO).join(size("a"), "a").join(size("b"), "b").where(F.col("n") / F.least("df_a", "df_b") >= MERGE_SHARE)
     at = lambda x, name: homes.select(F.col("home").alias(x), F.col("first").alias(name))
     merges = merged.join(at("a", "src"), "a").join(at("b", "dst"), "b").select("src", "dst")
-    reposts = cut(jaccard_pairs(posts, "id", "bi", DUPLICATE).select("a", "b"))
+    reposts = cut(repost_edges(posts))
 
     def labelled(edges: DataFrame) -> DataFrame:
         return posts.select("id", "source").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("issue", F.coalesce("component", "id")).drop("component")
