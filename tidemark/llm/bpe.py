@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back
-from tidemark.llm.pretoken import KEEP_BYTES, PartEncoder
+from tidemark.llm.pretoken import KEEP_BYTES, SLICE_BYTES, PartEncoder
 
 #: The public pattern, for which common parts are told without it. A fixed value.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,7 +138,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes with a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, keep_bytes: int = KEEP_BYTES):
+    def __init__(self, rank_file: str, pattern: str, keep_bytes: int = KEEP_BYTES, slice_bytes: int = SLICE_BYTES):
         import regex
 
         with open(rank_file, "rb") as f:
@@ -148,7 +148,7 @@ class Codec:
             self.tokens[rank] = token
         self.find = regex.compile(pattern).findall
         # only the public pattern splits where parts are cut
-        self.parts = PartEncoder(self._pieces, pattern == GPT_PATTERN, keep_bytes=keep_bytes)
+        self.parts = PartEncoder(self._pieces, pattern == GPT_PATTERN, keep_bytes=keep_bytes, slice_bytes=slice_bytes)
 
     def _pieces(self, some: list[str]) -> list[bytes]:
         """Ids of each string, the matches of all of them merged together."""
@@ -165,9 +165,9 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(rank_file: str, pattern: str) -> Codec:
-    """One codec a Python worker, with the parts that it has kept (KEEP_BYTES at most)."""
-    return Codec(rank_file, pattern)
+def codec(rank_file: str, pattern: str, keep_bytes: int = KEEP_BYTES, slice_bytes: int = SLICE_BYTES) -> Codec:
+    """One codec a Python worker, with the pieces that it has kept (keep_bytes at most)."""
+    return Codec(rank_file, pattern, keep_bytes, slice_bytes)
 
 
 @lru_cache(maxsize=1)
@@ -211,13 +211,16 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 _DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
-def digests(text: Column, rank_file: str, pattern: str) -> Column:
+def digests(text: Column, rank_file: str, pattern: str, keep_bytes: int = KEEP_BYTES, slice_bytes: int = SLICE_BYTES) -> Column:
     """struct of the number of a text's ids, and the digests of the ids (decimal, one space between) and of what they
-    decode to: as of encode() and decode(), but a slice of texts at a time, so that ids needn't leave the worker."""
+    decode to: as of encode() and decode(), but a slice of texts at a time, so that ids needn't leave the worker.
+
+    keep_bytes and slice_bytes bound what a worker keeps of pieces and cuts at once: more of them takes less time.
+    """
 
     @F.arrow_udf(_DIGESTS)
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        engine = codec(rank_file, pattern)
+        engine = codec(rank_file, pattern, keep_bytes, slice_bytes)
         decimals = _decimals(len(engine.tokens))
         for texts in batches:
             rows = []

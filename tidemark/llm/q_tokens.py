@@ -12,16 +12,16 @@ from tidemark.llm.common import remove
 from tidemark.session import ensure_checkpoint_dir, table
 
 
-def bpe_columns(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def bpe_columns(docs: DataFrame, rank_file: str, pattern: str, **memory: int) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of whole texts, encoded and decoded."""
-    return docs.select("doc_id", bpe.digests(F.col("text"), rank_file, pattern).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", bpe.digests(F.col("text"), rank_file, pattern, **memory).alias("d")).select("doc_id", "d.*")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, there and back."""
     import public_tokenizers as P
 
-    return bpe_columns(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return bpe_columns(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep_bytes=96 << 20, slice_bytes=6 << 20)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
