@@ -60,7 +60,8 @@ def test_url_key(spark):
 
 
 def test_clean_url(spark):
-    assert each(spark, ["http://M.a.com/x?utm_source=f&id=3&page=2#top", "http://b.com/", "none", None], lambda v: urls.clean_url(v, F.lit("a.com"))) == ["https://m.a.com/x?id=3", None, None, None]
+    assert each(spark, ["http://M.a.com/x?utm_source=f&id=3&page=2#top", "http://b.com/", "none", None], lambda v: urls.clean_url(v, F.lit("a.com"), (*urls.LIST_FIELDS, *urls.TRACKING))) == ["https://m.a.com/x?id=3", None, None, None]
+    assert each(spark, ["https://a.com/x?" + "&".join(f"{f}=1" for f in (*urls.LIST_FIELDS, "no", "b", "utm_source"))], urls.clean_url) == ["https://a.com/x?no=1&b=1&utm_source=1"]
     assert each(spark, ["HTTP://x", "ftp://x", None], urls.is_http) == [True, False, False]
 
 

@@ -63,7 +63,10 @@ def test_carry_forward_and_fill(spark):
     assert {r.arrival for r in dedup.carry_forward(before, now, complete=False).collect()} == {21, 22}
     filled = dedup.capacity_fill(now, before, cap=4).orderBy("rank").collect()
     assert [(r.arrival, r.rank) for r in filled] == [(21, 5), (22, 6), (23, 7), (24, 8)]
-    assert dedup.today_size(now, 2).first() == (2, 3)
+    listed = before.withColumn('listed', F.date_add(F.lit('2026-01-01').cast('date'), (F.col('arrival') - 20).cast('int')))
+    days = F.array(F.lit('2026-01-02').cast('date'))
+    assert {r.arrival for r in dedup.carry_forward(listed, now, complete=False, window=days).collect()} == {21}
+    assert tuple(stats.capped_size(now, 'source', 2).first()) == (2, 3)
 
 
 def test_signature(spark):
@@ -73,6 +76,32 @@ def test_signature(spark):
     assert one != dedup.relation_signature(a.where("i > 0"), F.concat_ws("|", "i", "t")).first()
 
 
+def tried_in_order(posts):
+    """Posts kept by trying them one by one."""
+    urls, paths, kept = set(), {}, []
+    for p in sorted(posts, key=lambda p: (p[4], p[5])):
+        url, title, via = p[0], p[1], p[2] or "main"
+        if p[3].startswith("http") and url not in urls and not (title and paths.setdefault(title, via) != via):
+            urls.add(url)
+            kept.append(p[5])
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dedup_tries_later_posts(spark, seed):
+    rnd = random.Random(seed)
+    vias = [None, "direct", "issuelink"]
+    posts = []
+    for i in range(150):
+        via = rnd.choice(vias)
+        posts.append((f"u{rnd.randrange(50)}", rnd.choice(["", *(f"s|t{k}" for k in range(15))]), via, rnd.choice(["http://x", "http://x", "ftp://x"]), vias.index(via), i))
+    frame = spark.createDataFrame(posts, "url_key string, title_key string, via string, url string, priority int, arrival long")
+    found = dedup.dedup(frame)
+    assert found.columns == frame.columns
+    assert sorted(r.arrival for r in found.collect()) == tried_in_order(posts)
+    assert dedup.dedup(frame.limit(0)).count() == 0
+
+
 def greedy(posts, base=10, most=20, cap=4, fallback=10):
     pool = [p for p in posts if p["is_candidate"]]
     pool = pool if len(pool) >= fallback else posts

@@ -32,11 +32,13 @@ def url_key(url: Column) -> Column:
     )
 
 
-#: Query fields that only say where a visitor came from: fixed values.
+#: Query fields that only say at which place of a list, or how, a post was opened: fixed values.
+LIST_FIELDS = ("page", "p", "po", "pg", "od", "category", "groupCd", "bm", "iskin", "kind", "select", "query", "subselect", "subquery", "user", "site")
+#: Fields that only say where a visitor came from; dropped where a caller asks for it.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "page", "from")
 
 
-def clean_url(url: Column, domain: Column | None = None, drop: tuple[str, ...] = TRACKING) -> Column:
+def clean_url(url: Column, domain: Column | None = None, drop: tuple[str, ...] = LIST_FIELDS) -> Column:
     """https URL without fragment and without the given query fields; null unless its host is domain or under it."""
     host, path, query = (F.regexp_extract(url, PARTS, i) for i in (1, 2, 3))
     host = F.lower(host)

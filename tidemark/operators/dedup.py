@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import is_http
+from tidemark.session import cut
+
 #: Priority of a post's path; a stalled main source comes last. Fixed values.
 VIA_ORDER = {"direct": 1, "issuelink": 2}
 STALLED = 3
@@ -19,27 +22,46 @@ def priority(via: Column, stalled: Column) -> Column:
 
 
 def dedup(posts: DataFrame) -> DataFrame:
-    """First post of each url_key by (priority, arrival), without those whose title_key another path claimed first.
+    """Posts kept when all are tried by (priority, arrival): one goes if a kept post has its url_key, or if the first kept post of
+    its title_key came by another path.
 
-    posts have url_key, title_key ('' never matches), via (null: the main source), priority and arrival. The title's path
-    is that of its first post among all; a url whose first post goes by its title goes as a whole.
+    posts have url_key, title_key ('' never matches), via (null: the main source), priority and arrival, and url if links that
+    aren't http shall go. A later post of a url is tried where an earlier one went by its title. Each round settles the first
+    open post of every url and all posts of titles whose path is known; most tables take one or two rounds.
     """
     order = ["priority", "arrival"]
+    by_url, by_title = Window.partitionBy("url_key"), Window.partitionBy("_t")
+    start = posts.where(is_http(F.col("url"))) if "url" in posts.columns else posts
+    # texts are compared by digests; a post without a title_key has a title of its own, so they don't gather in one task
+    title = F.when(F.col("title_key") != "", F.md5("title_key")).otherwise(F.concat_ws("#", F.lit(""), F.col("arrival").cast("string"), "url_key"))
     path = F.coalesce("via", F.lit("main"))
-    claimed = F.first(path).over(Window.partitionBy("title_key").orderBy(*order))
-    # every post without a title_key is a title of its own, so they don't gather in one task
-    named = posts.where("title_key <> ''").withColumn("_claim", claimed)
-    unnamed = posts.where("title_key = ''").withColumn("_claim", path)
-    first = F.row_number().over(Window.partitionBy("url_key").orderBy(*order))
-    return named.unionByName(unnamed).withColumn("_first", first).where((F.col("_first") == 1) & (F.col("_claim") == path)).drop("_first", "_claim")
-
-
-def carry_forward(previous: DataFrame, current: DataFrame, complete: bool, cap: int = 25) -> DataFrame:
+    left = start.withColumns({"_t": title, "_via": path, "_path": F.lit(None).cast("string")})
+    kept = None
+    while True:
+        first = F.row_number().over(by_url.orderBy(*order)) == 1
+        named = left.withColumn("_first", first)
+        # the first open post of a title that is also the first of its url settles the title's path
+        head = F.row_number().over(by_title.orderBy(*order)) == 1
+        named = named.withColumn("_head", head & F.col("_first") & F.col("_path").isNull())
+        named = named.withColumn("_path", F.coalesce("_path", F.max(F.when(F.col("_head"), F.col("_via"))).over(by_title)))
+        named = named.withColumn("_keep", F.col("_first") & F.coalesce(F.col("_path") == F.col("_via"), F.lit(False)))
+        settled = cut(named.withColumn("_taken", F.max("_keep").over(by_url)))
+        chosen = settled.where("_keep").select(*posts.columns)
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        left = settled.where(~F.col("_taken") & F.coalesce(F.col("_path") == F.col("_via"), F.lit(True))).select(*posts.columns, "_t", "_via", "_path")
+        if left.isEmpty():
+            return kept
+
+
+def carry_forward(previous: DataFrame, current: DataFrame, complete: bool, cap: int = 25, window: Column | None = None) -> DataFrame:
     """Previous posts of sources that came short: none now, or under cap if the round is incomplete; marked kept.
 
     Posts whose url_key, or title_key unless '', is among the current ones are left out, as are previous-day posts
-    (prev_day). Their position scores start anew, in order of arrival.
+    (prev_day) and, where window (an array of days) is given, those listed on no day of it. Their position scores start
+    anew, in order of arrival.
     """
+    if window is not None:
+        previous = previous.where(F.coalesce(F.array_contains(window, F.col("listed")), F.lit(False)))
     counts = current.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     short = previous.select("source").distinct().join(counts, "source", "left").where(F.coalesce("_n", F.lit(0)) < (1 if complete else cap))
     titles = current.where("title_key <> ''").select("title_key").distinct()
@@ -52,11 +74,6 @@ def carry_forward(previous: DataFrame, current: DataFrame, complete: bool, cap:
     return once.drop("_i").withColumn("kept", F.lit(True)).withColumn("position", F.greatest(F.lit(0.0), 100 - 1.5 * place))
 
 
-def today_size(posts: DataFrame, cap: int = 25) -> DataFrame:
-    """One row: sources, and posts counted up to cap a source."""
-    return posts.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum(F.least("_n", F.lit(cap))), F.lit(0)).alias("posts"))
-
-
 def capacity_fill(ranked: DataFrame, previous: DataFrame, cap: int = 25) -> DataFrame:
     """Previous-day posts for the places that sources have left under cap, by arrival, ranked after all of ranked."""
     counts = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))

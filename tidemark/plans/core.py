@@ -19,6 +19,7 @@ from tidemark.operators import similarity as M
 from tidemark.operators import stats as A
 from tidemark.operators.graph import components as connected
 from tidemark.session import table
+from tidemark.sources import pages as P
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -356,7 +357,7 @@ def neighbours(spark, sf_dir):
 # pages
 
 
-@query(f"SELECT page_id, 'https://' || lower(regexp_extract(url, '{U.PARTS}', 1)) || regexp_extract(url, '{U.PARTS}', 2) || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM (SELECT *, list_aggregate(list_filter(string_split(regexp_extract(url, '{U.PARTS}', 3), '&'), lambda f: f <> '' AND string_split(f, '=')[1] NOT IN ({', '.join(repr(x) for x in U.TRACKING)})), 'string_agg', '&') AS q0, coalesce(q0, '') AS q FROM pages)")
+@query(f"SELECT page_id, 'https://' || lower(regexp_extract(url, '{U.PARTS}', 1)) || regexp_extract(url, '{U.PARTS}', 2) || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM (SELECT *, list_aggregate(list_filter(string_split(regexp_extract(url, '{U.PARTS}', 3), '&'), lambda f: f <> '' AND string_split(f, '=')[1] NOT IN ({', '.join(repr(x) for x in U.LIST_FIELDS)})), 'string_agg', '&') AS q0, coalesce(q0, '') AS q FROM pages)")
 def clean_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.clean_url(F.col("url")).alias("url"))
 
@@ -368,13 +369,11 @@ def html_rows(spark, sf_dir):
     return rows(table(spark, sf_dir, "pages"))
 
 
-@query(f"""WITH v AS (SELECT regexp_extract(url, '{U.PARTS}', 1) AS host, CASE WHEN regexp_matches(lower(substr(coalesce(html, ''), 1, 60000)), 'cf-challenge|captcha|just a moment|access denied|자동등록방지') THEN 'blocked' WHEN len(regexp_extract_all(html, '<a ')) = 0 THEN 'empty' ELSE 'ok' END AS v FROM pages)
+@query(f"""WITH v AS (SELECT regexp_extract(url, '{U.PARTS}', 1) AS host, CASE WHEN regexp_matches(substr(coalesce(html, ''), 1, 60000), '{'|'.join(P.CHALLENGES)}') OR contains(coalesce(url, ''), '{P.BLOCK_PAGE}') OR regexp_matches(substr(coalesce(html, ''), 1, 60000), '{P.REDIRECT.replace("'", "''")}') THEN 'blocked' WHEN len(regexp_extract_all(html, '<a ')) = 0 THEN 'empty' ELSE 'ok' END AS v FROM pages)
 SELECT host, {', '.join(f"count(*) FILTER (WHERE v = '{k}') AS {k}" for k in ('ok', 'empty', 'blocked', 'gone', 'down', 'error'))} FROM v GROUP BY host""")
 def probe_verdicts(spark, sf_dir):
-    from tidemark.sources import pages as P
-
     rows = F.size(F.regexp_extract_all("html", F.lit("(<a )"), F.lit(1)))
-    probes = table(spark, sf_dir, "pages").select(F.regexp_extract("url", U.PARTS, 1).alias("host"), P.verdict(F.lit(200), rows, P.is_challenge(F.col("html"))).alias("verdict"))
+    probes = table(spark, sf_dir, "pages").select(F.regexp_extract("url", U.PARTS, 1).alias("host"), P.verdict(F.lit(200), rows, P.is_challenge(F.col("html"), F.col("url"))).alias("verdict"))
     return P.verdict_table(probes, "host")
 
 

@@ -57,14 +57,24 @@ def html_rows(pages: DataFrame, page_id: str = "page_id", html: str = "html", le
     return pages.select(page_id, html).mapInPandas(run, f"{page_id} {pages.schema[page_id].dataType.simpleString()}, pos long, href string, title string, position double")
 
 
-#: Marks of challenge pages in their first bytes: fixed values.
-CHALLENGES = ("cf-challenge", "captcha", "just a moment", "access denied", "자동등록방지")
-HEAD_CHARS = 60_000
+#: Marks of pages that block a reader, the page they lead to, and the bytes at a page's start that are looked at: fixed values.
+CHALLENGES = ("Just a moment", "보안 검사", "보안 시스템")
+BLOCK_PAGE, REDIRECT = "msg.html", r"""location\.(?:replace|href)\s*\(?\s*=?\s*['"][^'"]*msg\.html"""
+HEAD_BYTES, CHARSETS = 60_000, ("utf-8", "cp949")
 
 
-def is_challenge(html: Column) -> Column:
-    head = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, HEAD_CHARS))
-    return F.exists(F.array(*map(F.lit, CHALLENGES)), lambda m: F.contains(head, m))
+def block_reason(body: Column, url: Column) -> Column:
+    """Why a page (text, or bytes of either charset) is no list but a block: BLOCK_PAGE or the mark that it bears; '' if it's none."""
+    head = F.substring(F.coalesce(body.cast("binary"), F.lit(b"")), 1, HEAD_BYTES)
+    out = F.when(F.contains(F.coalesce(url, F.lit("")), F.lit(BLOCK_PAGE)) | F.coalesce(F.decode(head, "iso-8859-1").rlike(REDIRECT), F.lit(False)), BLOCK_PAGE)
+    for mark in CHALLENGES:
+        for form in sorted({mark.encode(c) for c in CHARSETS}):
+            out = out.when(F.contains(head, F.lit(bytearray(form))), mark)
+    return out.otherwise("")
+
+
+def is_challenge(html: Column, url: Column | None = None) -> Column:
+    return block_reason(html, F.lit("") if url is None else url) != ""
 
 
 def verdict(status: Column, rows: Column, challenge: Column) -> Column:
