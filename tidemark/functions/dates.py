@@ -113,7 +113,12 @@ def parse_date(text: Column, as_of: Column) -> Column:
     as_of is a timestamp_ntz. A time alone is today's, or yesterday's if over ten minutes ahead; a day without a year
     is this year's, or last year's if over a day ahead.
     """
-    t = F.trim(F.split(F.trim(F.coalesce(text, F.lit(""))), rf"[{BARS}]\s*{VIEWS}", 2)[0])
+    plain = F.trim(F.split(F.trim(F.coalesce(text, F.lit(""))), rf"[{BARS}]\s*{VIEWS}", 2)[0])
+    # a lambda's variable: the text is cut once a row, and the generated code stays within a method's size
+    return F.transform(F.array(plain), lambda t: _parsed(t, as_of))[0]
+
+
+def _parsed(t: Column, as_of: Column) -> Column:
     ago = rf"^([0-9]+)\s*({'|'.join(AGO)})\s*전"
     unit = F.regexp_extract(t, ago, 2)
     seconds = _n(t, ago, 1) * F.element_at(F.create_map(*[F.lit(x) for pair in AGO.items() for x in pair]), unit)

@@ -96,15 +96,15 @@ def covered_sources(previous: DataFrame, today: DataFrame, done_sources: int, do
     source at most, come to done_posts from done_sources sources."""
     sizes = today.groupBy("source").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("_n"))
     done = sizes.agg(((F.count(F.lit(1)) >= done_sources) & (F.coalesce(F.sum("_n"), F.lit(0)) >= done_posts)).alias("_done"))
-    full = previous.where("source IS NOT NULL AND source <> ''").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap)
+    full = previous.where(F.coalesce(F.col("source").cast("string"), F.lit("")) != "").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap)
     return full.where(~done.scalar()).select("source", "n")
 
 
 def mean_place(tokens: DataFrame, key: str, words: str = "words") -> DataFrame:
     """(key, word, place): where a word first stands in a text's words, from 0 to 1, on average over the key's texts that have it."""
-    spread = tokens.select(key, F.posexplode(words).alias("_at", "word"), F.size(words).alias("_n"), F.monotonically_increasing_id().alias("_t"))
-    first = spread.groupBy(key, "_t", "word").agg((F.min("_at") / F.greatest(F.lit(1), F.first("_n") - 1)).alias("_p"))
-    return first.groupBy(key, "word").agg(F.avg("_p").alias("place"))
+    spread = tokens.select(key, words, F.explode(F.array_distinct(words)).alias("word"))
+    at = (F.array_position(words, F.col("word")) - 1) / F.greatest(F.lit(1), F.size(words) - 1)
+    return spread.groupBy(key, "word").agg(F.avg(at).alias("place"))
 
 
 def posts_in_issues(issues: DataFrame, ranks: str = "ranks") -> DataFrame:
