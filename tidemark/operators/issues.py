@@ -1,8 +1,8 @@
 """Issues: posts of several sources about one thing, by words and near-equal titles.
 
-Posts have id (arrival; breaks ties), source, title, url_key, rank, rank_score, comments, event_ts (or null), kws
-(distinct keywords) and bi (title bigrams). Every step is a join or an aggregation on words; the only loops are
-components' rounds. Naming and the choice of representatives are greedy, within one issue's posts.
+Posts have id (arrival; breaks ties), source, title, url_key, rank, rank_score, comments, event_ts (or null), and what
+titles.features() gives, which is added where toks isn't there. Every step is a join or an aggregation on words; the only
+loops are components' rounds. Names are made of an issue's counts, representatives are chosen greedily within its posts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.titles import Rules, features, split_title
+from tidemark.operators import naming
 from tidemark.operators.graph import components as every_component
 from tidemark.operators.history import status
 from tidemark.operators.ranking import community_context
@@ -20,14 +22,18 @@ from tidemark.operators.similarity import DUPLICATE, NUMBER_HOME, cooccurrence,
 from tidemark.operators.stats import heat, spread_heat
 from tidemark.session import cut
 
-#: Words too general to tie posts together: this library's own list.
-GENERIC = ("news", "today", "video", "people", "photo", "오늘", "사람", "근황", "후기", "영상", "사진")
-#: Titles that offer goods, and titles that don't go on top.
-DEAL, UNSAFE = r"(?i)\b(sale|deal|coupon)\b|핫딜|특가|쿠폰", r"(?i)\b(nsfw|gore)\b|후방주의|혐오"
+# Fixed values of the sites: titles that offer goods; titles that don't go on top, that count for less, and that jest; what no name
+# has; events that a title may explain.
+DEAL = r"네이버페이|네페|적립|[0-9]+원\s*\+|할인|세일|특가|쿠폰|\(무료\)|/무료\)|핫딜|\$[0-9]+"
+UNSAFE = r"ㅈ됐|ㅈ된|ㅈ같|약혐|혐\)|ㅇㅎ|ㅎㅂ|후방|19금|오르가즘|야짤|노출|섹스|야스|씹|존나|좆|씨발|시발|ㅅㅂ|새끼|병신|ㅂㅅ|지랄|북돼지|니미"
+LEWD = r"약혐|혐\)|ㅇㅎ|후방|19금|오르가즘|야짤|노출|ㅗ"
+MEME = r"ㅋㅋ|ㄷㄷ|ㅎㅎ|존나|시발|씨발|ㅅㅂ|새끼"
+PROFANITY = r"존나|좆|씨발|시발|ㅅㅂ|새끼|병신|ㅂㅅ|개새|지랄|닥쳐|북돼지"
+WHY_EVENTS = "사건 사고 논란 의혹 폭발 사과문 사과 지지율 부상 은퇴 열애 결혼 사망 구속 기소 체포 탈퇴 해체 출시 먹튀 난동 폭행 출현 반전".split()
 NUMBER = r"^[0-9]"
 #: Fixed values of the clustering rules.
-MERGE_CO, MERGE_SHARE, BIG_POSTS, BIG_SOURCES, COHESION = 2, 0.3, 15, 8, 0.5
-ITEMS, HOT, REPS, NAME_WORDS = 8, 6, 3, 4
+MERGE_CO, MERGE_SHARE, BIG_POSTS, BIG_SOURCES, COHESION, SURE_POSTS = 2, 0.3, 15, 8, 0.5, 4
+ITEMS, HOT, REPS, KEYWORDS, EXPLAINED, FULL_TITLE = 8, 6, 3, 4, 4, 36
 #: Edges that one task joins; a round of posts has fewer, and more are joined in rounds over all tasks.
 ONE_TASK_EDGES = 200_000
 
@@ -53,10 +59,10 @@ def repost_edges(posts: DataFrame) -> DataFrame:
     return stars.unionByName(jaccard_pairs(least.select("_p.*"), "id", "bi", DUPLICATE).select("a", "b"))
 
 
-def cluster(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cluster(posts: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((id, issue) of all posts, repost edges (a, b), idf). issue is the least id of the cluster; loners are their own."""
     idf = cut(token_idf(posts, "id", "kws"))
-    strong = idf.where((F.col("df") >= 2) & ~F.col("token").isin(*GENERIC) & (F.char_length("token") >= 2))
+    strong = idf.where((F.col("df") >= 2) & ~F.col("token").isin(*rules.generic, *rules.link_stop) & (F.char_length("token") >= 2))
     words = cut(posts.select("id", "source", F.explode("kws").alias("token")).join(strong.select("token", "df"), "token").withColumn("number", F.col("token").rlike(NUMBER)))
 
     # each post's home is one word, so words don't chain
@@ -107,28 +113,41 @@ def cluster(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cut(out), reposts, idf
 
 
-def _described(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Name, representatives and keywords of one issue: its posts with cover, idf and repost marks."""
-    pdf = pdf.sort_values(["why", "id"], ascending=[False, True], kind="stable")
+def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Representatives of one issue: by why, one a source, no near copies, unsafe ones only in front; and the first one's title."""
+    pdf = pdf.assign(_order=pdf["why"] - 3 * pdf["unsafe"]).sort_values(["_order", "id"], ascending=[False, True], kind="stable")
     chosen: list = []
     for post in pdf.itertuples():
         bi = set(post.bi)
         near = any(bi and set(c.bi) and len(bi & set(c.bi)) / len(bi | set(c.bi)) >= DUPLICATE for c in chosen)
         if len(chosen) < REPS and all(c.source != post.source for c in chosen) and not near and (not chosen or not post.unsafe):
             chosen.append(post)
-    core = list(pdf["core"].iloc[0])
-    name = " ".join(core[:NAME_WORDS]) if core and pdf["kind"].iloc[0] != "repost" else chosen[0].title[:30]
-    return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "name": [name], "reps": [[int(c.rank) for c in chosen]]})
+    return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "head": [chosen[0].title], "reps": [[int(c.rank) for c in chosen]]})
 
 
-def issues(posts: DataFrame, history: DataFrame, as_of: datetime) -> DataFrame:
-    """One row for each cluster of two posts or more: counts, times, status, kind, heat, confidence, name and members' ranks.
+def explained(core: Column, n: Column, name: Column) -> Column:
+    """How well a post (kws, title, comment_share, rank_score) tells its issue: the shares of the first core words (token, k) it has,
+    how many, how full its title is, comments and rank; jests and lewd titles less, an event of the name more."""
+    had = F.filter(F.slice(core, 1, EXPLAINED), lambda c: F.array_contains("kws", c["token"]))
+    cover = F.aggregate(had, F.lit(0.0), lambda total, c: total + c["k"] / n)
+    full = F.least(F.char_length(split_title(F.col("title"))["body"]), F.lit(FULL_TITLE)) / FULL_TITLE
+    event = F.exists(F.array(*map(F.lit, WHY_EVENTS)), lambda e: F.contains(name, e) & F.contains("title", e))
+    bonus = lambda test, worth: F.when(F.coalesce(test, F.lit(False)), worth).otherwise(0.0)
+    return cover + 0.35 * F.greatest(F.lit(0), F.size(had) - 1) + full * 0.6 + F.col("comment_share") * 0.2 + F.col("rank_score") / 400 + bonus(event, 0.4) - bonus(F.col("title").rlike(MEME), 1.0) - bonus(F.col("title").rlike(LEWD), 2.0)
 
-    history has (round_no, url_key), rounds numbered from 0, equal rounds collapsed. Deals don't take part.
+
+def issues(posts: DataFrame, history: DataFrame, as_of: datetime, rules: Rules = Rules()) -> DataFrame:
+    """One row for each cluster of two posts or more: counts, times, status, kind, heat, confidence, name, keywords and members' ranks.
+
+    history has (round_no, url_key), rounds numbered from 0, equal rounds collapsed. Deals and posts of the day before (prev_day)
+    don't take part.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    posts = cut(posts.where(~F.coalesce(F.col("title").rlike(DEAL), F.lit(False))))
-    member, reposts, idf = cluster(posts)
+    posts = posts.where(~F.coalesce(F.col("title").rlike(DEAL), F.lit(False)))
+    posts = posts.where("NOT coalesce(prev_day, false)") if "prev_day" in posts.columns else posts
+    posts = community_context(posts.withColumnRenamed("id", "arrival")).withColumnRenamed("arrival", "id")
+    posts = cut(posts if "toks" in posts.columns else features(posts, rules))
+    member, reposts, idf = cluster(posts, rules)
     rounds = history.agg((F.max("round_no") + 1).alias("m")).first().m or 0
     seen = history.groupBy("url_key").agg(F.min("round_no").alias("first_round"), F.collect_set("round_no").alias("in_rounds"))
     joined = cut(posts.join(member, "id").join(seen, "url_key", "left"))
@@ -151,37 +170,45 @@ def issues(posts: DataFrame, history: DataFrame, as_of: datetime) -> DataFrame:
     base = base.withColumn("first", F.try_element_at("_two", F.lit(1))).withColumn("since", F.try_element_at("_two", F.lit(2))).withColumn("status", state)
 
     words = joined.select("issue", F.explode("kws").alias("token")).groupBy("issue", "token").agg(F.count(F.lit(1)).alias("k")).join(idf.select("token", "idf"), "token")
-    generic = F.col("token").isin(*GENERIC)
-    kept = words.where((F.col("k") >= 2) & ~F.col("token").rlike(NUMBER))
-    core = kept.groupBy("issue").agg(F.transform(F.array_sort(F.collect_list(F.struct(generic.alias("g"), (-F.col("k")).alias("k"), (-F.col("idf")).alias("i"), "token"))), lambda x: F.struct(x["token"].alias("token"), (-x["k"]).alias("k"), x["g"].alias("g"))).alias("_core"))
+    generic = F.col("token").isin(*rules.generic)
+    kept = words.where((F.col("k") >= 2) & ~F.col("token").rlike(NUMBER) & ~F.col("token").rlike(PROFANITY) & ~F.col("token").isin(*rules.adverbs, *rules.link_stop))
+    core = kept.groupBy("issue").agg(F.transform(F.array_sort(F.collect_list(F.struct(generic.alias("g"), (-F.col("k")).alias("k"), (-F.col("idf")).alias("i"), "token"))), lambda x: F.struct(x["token"].alias("token"), (-x["k"]).alias("k"), x["g"].alias("g"))).alias("core"))
     own = lambda x: member.select(F.col("id").alias(x), F.col("issue").alias(f"i{x}"))
     inner = reposts.join(own("a"), "a").join(own("b"), "b").where("ia = ib").select("a", "b")
     whole = components(inner.withColumnsRenamed({"a": "src", "b": "dst"})).join(member.withColumnRenamed("id", "node"), "node")
     repost = whole.groupBy("issue").agg(F.count(F.lit(1)).alias("_linked"), F.count_distinct("component").alias("_parts"))
-    pair = joined.select("issue", F.explode(F.filter("kws", lambda w: ~w.rlike(NUMBER))).alias("token"), "id").join(kept.select("issue", "token"), ["issue", "token"]).groupBy("issue", "id").agg(F.collect_set("token").alias("ws"))
-    strong_pair = F.size(F.filter("ws", lambda w: ~w.isin(*GENERIC))) >= 1
-    shares = pair.where((F.size("ws") >= 2) & strong_pair).groupBy("issue").agg((F.count(F.lit(1)) >= 2).alias("_shared"))
+    # two posts that share two words, one of them not general; issues of four posts and more don't ask for it
+    small = joined.join(base.where(F.col("n") < SURE_POSTS).select("issue"), "issue", "left_semi").join(words.where("k >= 2").groupBy("issue").agg(F.collect_list("token").alias("_ws")), "issue")
+    met = F.array_sort(F.array_intersect("kws", "_ws"))
+    duo = F.flatten(F.transform(met, lambda x, i: F.transform(F.slice(met, i + 2, F.size(met)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    both = small.select("issue", F.explode(duo).alias("p")).where(~(F.col("p.x").isin(*rules.generic) & F.col("p.y").isin(*rules.generic)))
+    shares = both.groupBy("issue", "p").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("issue").distinct().withColumn("_shared", F.lit(True))
     spread = spread_heat(joined, "issue", "source", "rank_score").select("issue", "spread")
 
-    full = base.join(core, "issue", "left").join(repost, "issue", "left").join(shares, "issue", "left").join(spread, "issue")
-    covers = F.transform(F.filter("_core", lambda x: ~x["g"]), lambda x: x["k"])
+    full = base.join(core, "issue", "left").join(repost, "issue", "left").join(shares, "issue", "left").join(spread, "issue").join(naming.neighbours(joined, idf, rules), "issue", "left")
+    full = full.withColumn("core", F.coalesce("core", F.array().cast("array<struct<token:string,k:bigint,g:boolean>>")))
+    covers = F.transform(F.filter("core", lambda x: ~x["g"]), lambda x: x["k"])
     is_repost = (F.col("_parts") == 1) & (F.col("_linked") == F.col("n"))
-    is_topic = (F.col("n") >= 5) & (F.try_element_at(covers, F.lit(1)) / F.col("n") >= 0.6) & (F.coalesce(F.try_element_at(covers, F.lit(2)), F.lit(0)) / F.col("n") <= 0.4)
+    is_topic = (F.col("n") >= 5) & (F.try_element_at(covers, F.lit(1)) / F.col("n") >= 0.6) & (F.coalesce(F.try_element_at(covers, F.lit(2)), F.lit(0)) / F.col("n") <= 0.4) & (F.coalesce("most", F.lit(0)) < 3)
     full = full.withColumn("kind", F.when(is_repost, "repost").when(is_topic, "topic").otherwise("story"))
     fresh = F.when(F.lit(rounds >= 3), F.col("_fresh"))
     full = full.withColumn("heat", F.round(heat(F.col("spread"), fresh, F.col("kind"), F.col("status") == "quiet"), 2))
-    specific = F.coalesce(F.exists("_core", lambda x: ~x["g"]), F.lit(False))
-    sure = (F.col("n") >= 4) | (F.col("kind") == "repost") | F.coalesce("_shared", F.lit(False))
+    specific = F.exists("core", lambda x: ~x["g"])
+    sure = (F.col("n") >= SURE_POSTS) | (F.col("kind") == "repost") | F.coalesce("_shared", F.lit(False))
     full = full.withColumn("confident", sure & ((F.col("kind") == "repost") | specific) & (F.col("sources") >= 2))
     full = full.withColumn("grew", F.when(F.lit(rounds >= 3), F.col("_grew"))).withColumn("key", F.substring(F.sha1("_anchor.url_key"), 1, 6))
-    full = cut(full.withColumn("core", F.transform(F.coalesce("_core", F.array().cast("array<struct<token:string,k:bigint,g:boolean>>")), lambda x: x["token"])).drop("_two", "_n0", "_n1", "_c0", "_c1", "_grew", "_fresh", "_anchor", "_core", "_linked", "_parts", "_shared"))
-
-    cover = F.size(F.array_intersect("kws", "core"))
-    context = joined.join(full.select("issue", "core", "kind"), "issue").select("issue", "id", "source", "title", "bi", "rank", "core", "kind", F.coalesce(F.col("title").rlike(UNSAFE), F.lit(False)).alias("unsafe"), (cover + F.col("rank_score") / 100 + F.log1p("comments") / 10).alias("why"))
-    named = context.groupBy("issue").applyInPandas(_described, "issue long, name string, reps array<bigint>")
-    per = joined.groupBy("issue", "source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best"), F.sum("comments").alias("comments"))
-    by_source = per.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "best", "source", "comments"))).alias("by_source"))
-    return full.join(named, "issue").join(by_source, "issue")
+    full = cut(full.drop("_two", "_n0", "_n1", "_c0", "_c1", "_grew", "_fresh", "_anchor", "_linked", "_parts", "_shared", "most"))
+
+    full = cut(full.join(naming.named(full, joined, rules), "issue").drop("pairs"))
+    context = joined.join(full.select("issue", "core", "name", F.col("n").alias("_n")), "issue").select("issue", "id", "source", "title", "bi", "rank", F.coalesce(F.col("title").rlike(UNSAFE), F.lit(False)).alias("unsafe"), explained(F.col("core"), F.col("_n"), F.col("name")).alias("why"))
+    chosen = context.groupBy("issue").applyInPandas(_chosen, "issue long, head string, reps array<bigint>")
+    per = joined.groupBy("issue", "source").agg(F.count(F.lit(1)).alias("n"), F.min("place").cast("long").alias("best"), F.sum("comments").alias("comments"), F.min("id").alias("_first"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "_first", "source", "n", "best", "comments")))
+    by_source = per.groupBy("issue").agg(F.transform(listed, lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), x["best"].alias("best"), x["comments"].alias("comments"))).alias("by_source"))
+    told = full.join(chosen, "issue").join(by_source, "issue")
+    others = F.filter("core", lambda c: ~c["g"] & ~F.array_contains("name_words", c["token"]))
+    keywords = F.when(F.col("kind") == "repost", F.array().cast("array<string>")).otherwise(F.slice(F.transform(others, lambda c: c["token"]), 1, KEYWORDS))
+    return told.withColumns({"name": F.when(F.col("name") != "", F.col("name")).otherwise(naming.headline(F.col("head"))), "keywords": keywords, "core": F.transform("core", lambda c: c["token"])}).drop("head", "name_words")
 
 
 def board(found: DataFrame, most: int = ITEMS) -> DataFrame:

@@ -405,7 +405,6 @@ def issue_board(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
         i.alias("id"), F.col("p_brand").alias("source"), title.alias("title"), i.cast("string").alias("url_key"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("rank"),
         (F.col("p_retailprice") / 20).alias("rank_score"), F.col("p_size").cast("long").alias("comments"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), i.cast("int") % 24)).alias("event_ts"),
-        T.words(title).alias("kws"), T.bigrams(title).alias("bi"),
     )
     history = rows.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("round_no"), "url_key", "id").where(F.col("id") % 5 <= F.col("round_no")).select("round_no", "url_key")
     return I.board(I.issues(rows, history, datetime(2024, 1, 2))).select("issue", "key", "name", "kind", "status", "n", "sources", "heat")
