@@ -161,3 +161,16 @@ def test_run_against_plain_version(spark):
 
     got = pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(map(row, want))
+
+
+def test_verdicts_of_the_query_against_plain_version(spark):
+    from tidemark.llm.q_quality import op6_quality_rules
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")), "lang", "source").collect()]
+    kept = {d[0] for d in plain_rules(docs)}
+    got = {r.doc_id: r for r in op6_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {d[0] for d in docs}
+    for doc_id, text, *_ in docs:
+        r, counts = got[doc_id], plain_counts(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        assert (r.base_failed, r.kept) == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0], doc_id in kept)
