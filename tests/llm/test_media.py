@@ -1,6 +1,7 @@
 """PNG columns: exact round trips, checksums and filters."""
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -48,6 +49,23 @@ def test_hash_is_stable_and_tells_apart():
     assert media.cosine_hash(np.zeros((1, 64), np.uint8)) == "0" * 16
 
 
+def plain_hash(image):
+    """The hash by sums over all samples, one frequency after the other."""
+    h, w = len(image), len(image[0])
+    wave = lambda n, k, i: round(math.cos(math.pi / n * k * (i + 0.5)) * media.SCALE)
+    across = [[sum(v * wave(w, k, x) for x, v in enumerate(row)) >> 12 for k in range(8)] for row in image]
+    low = [sum(wave(h, j, y) * row[k] for y, row in enumerate(across)) for j in range(8) for k in range(8)]
+    middle = sorted(low[1:])[31]
+    return "".join(str(int(n > 0 and v > middle)) for n, v in enumerate(low))
+
+
+@pytest.mark.parametrize("height, rows", [(1, 4096), (9, 4096), (20, 7), (21, 7), (3, 1)])
+def test_hash_against_plain_sums(monkeypatch, height, rows):
+    monkeypatch.setattr(media, "ROWS", rows)
+    image = np.random.default_rng(height).integers(0, 256, (height, 64), dtype=np.uint8)
+    assert f"{int(media.cosine_hash(image), 16):064b}" == plain_hash(image.tolist())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "é" * 40), (3, "é" * 40), (None, "long " * 9000)]])
 def test_query(spark, tmp_path, rows):
     spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, media binary").write.parquet(f"{tmp_path}/documents.parquet")

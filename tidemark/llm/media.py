@@ -22,6 +22,7 @@ GREY_8_BIT = (8, 0, 0, 0, 0)
 WIDTH = 64
 IDAT_BYTES = 1 << 16
 LOW = 8
+ROWS = 4096
 SCALE = 1 << 12
 
 
@@ -101,17 +102,29 @@ def from_png(data: bytes) -> np.ndarray:
     return _unfilter(rows[:, 0], rows[:, 1:])
 
 
-@lru_cache(maxsize=512)
-def _waves(n: int) -> np.ndarray:
-    return np.rint(np.cos(np.pi / n * np.outer(np.arange(LOW), np.arange(n) + 0.5)) * SCALE).astype(np.int64)
+def _waves(n: int, start: int, stop: int) -> np.ndarray:
+    """Columns start to stop of the LOW lowest cosine waves of n samples, as whole numbers."""
+    return np.rint(np.cos(np.pi / n * np.outer(np.arange(LOW), np.arange(start, stop) + 0.5)) * SCALE).astype(np.int64)
+
+
+@lru_cache(maxsize=64)
+def _short_waves(n: int) -> np.ndarray:
+    return _waves(n, 0, n)
 
 
 def cosine_hash(image: np.ndarray) -> str:
-    """16 hex digits: a bit for each of the 8 x 8 lowest frequencies, the constant one's bit always 0."""
+    """16 hex digits: a bit for each of the 8 x 8 lowest frequencies, the constant one's bit always 0.
+
+    Rows are taken ROWS at once, so that long images take no more memory than short ones; tables are kept up to that size.
+    """
     h, w = image.shape
-    # columns first, then rows; the shift keeps the second product under 63 bits for images up to 2^27 rows
-    part = (image.astype(np.int64) @ _waves(w).T) >> 12
-    low = (_waves(h) @ part).ravel()
+    across, low = _short_waves(w).T, np.zeros((LOW, LOW), np.int64)
+    for start in range(0, h, ROWS):
+        block = image[start : start + ROWS]
+        # columns first, then rows; the shift keeps the second product under 63 bits for images up to 2^27 rows
+        part = (block.astype(np.int64) @ across) >> 12
+        low += (_short_waves(h) if h <= ROWS else _waves(h, start, start + len(block))) @ part
+    low = low.ravel()
     bits = low[1:] > np.partition(low[1:], 31)[31]
     return np.packbits(np.concatenate(([False], bits))).tobytes().hex()
 
