@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Category -> words that mark it; author's own lists, in priority order.
@@ -55,7 +55,14 @@ def heat(spread: Column, fresh: Column, kind: Column, is_quiet: Column) -> Colum
     return F.when(kind == "repost", spread * 0.8).when(kind == "topic", live * 0.75).otherwise(live) * F.when(is_quiet, 0.8).otherwise(1.0)
 
 
-def second_earliest(df: DataFrame, group: str, ts: str) -> DataFrame:
-    """(group, n, first, since, last): since is the second earliest time, null with one row."""
-    two = F.slice(F.array_sort(F.collect_list(ts)), 1, 2)
-    return df.where(F.col(ts).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.try_element_at(two, F.lit(2)).alias("since"), F.max(ts).alias("last"))
+def second_earliest(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, n, first, since, last): since is the second earliest time, null with one row. Null times go.
+
+    Two rows a key are left before the shuffle of the second one, so no key fills an array with its times.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(ts))
+    known = df.where(F.col(ts).isNotNull())
+    two = known.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), place.alias("_i")).where("_i <= 2")
+    second = two.groupBy("_k").agg(F.max(F.when(F.col("_i") == 2, F.col("_t"))).alias("since"))
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return counts.join(second, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, "n", "first", "since", "last")

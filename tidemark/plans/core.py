@@ -385,7 +385,10 @@ def change_log(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("_b", before).where(~F.col("event_type").eqNullSafe(F.col("_b"))).select("event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT event_type, epoch_us(ts) // 1000000 AS t FROM events),
+slot(event_type, slot_start) AS (SELECT event_type, min(t) FROM e GROUP BY 1
+  UNION ALL SELECT s.event_type, min(e.t) FROM slot s JOIN e ON e.event_type = s.event_type AND e.t >= s.slot_start + 2400 GROUP BY s.event_type, s.slot_start)
+SELECT event_type, slot_start, (SELECT count(*) FROM events x WHERE x.event_type = s.event_type AND epoch_us(x.ts) // 1000000 >= s.slot_start AND epoch_us(x.ts) // 1000000 < s.slot_start + 2400) AS n FROM slot s""")
 def history_slots(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
     return Y.slot_starts(events, "event_type", "ts").groupBy("event_type", "slot_start").agg(F.count(F.lit(1)).alias("n"))
