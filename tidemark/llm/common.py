@@ -20,7 +20,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def aside(df: DataFrame) -> DataFrame:
     """df with all columns renamed to in_<name>, out of the way of an operator's own names."""
-    return df.withColumnsRenamed({c: f"in_{c}" for c in df.columns})
+    return df.toDF(*[f"in_{c}" for c in df.columns])
 
 
 def back(df: DataFrame, columns: list[str], *new: Column) -> DataFrame:
