@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions import text as T
+from tidemark.functions import urls as U
 from tidemark.operators import health as H
 from tidemark.operators import history as Y
 from tidemark.operators import ingest as I
 from tidemark.operators import stats as A
 from tidemark.plans.core import query, r6
 from tidemark.session import table
+from tidemark.sources import listing as L
 
 
 def ntz(text: str):
@@ -278,3 +280,25 @@ def issue_status(spark, sf_dir):
     hours = lambda c: F.timestamp_diff("MICROSECOND", F.col(c), ntz(NOW)) / 3_600_000_000
     state = Y.status(F.col("n"), F.col("s"), F.col("bn"), F.col("bs"), F.col("recent"), F.col("n"), hours("since"), hours("last"), F.col("n"))
     return counts.join(two, "user_id").select("user_id", state.alias("status"))
+
+
+# lists by selectors
+
+#: The generator's pages have their links in a list of the navigation.
+NAV = ("nav", "nav ul li", "a", None, None, None, None, None, None, None)
+
+
+@query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '{U.PARTS}', 1)) AS source, html FROM pages),
+l AS (SELECT page_id, source, unnest(regexp_extract_all(coalesce(html, ''), '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS title, generate_subscripts(regexp_extract_all(coalesce(html, ''), '<li><a href="([^"]*)">([^<]*)</a></li>', 2), 1) AS seq FROM p),
+t AS (SELECT page_id, source, seq, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '\s*[\[(][0-9]+[\])]$', '') AS title FROM l),
+k AS (SELECT * FROM t WHERE length(title) >= 4 AND NOT regexp_matches(title, '{I.NOTICE_TITLE}') AND NOT regexp_matches(title, '{I.AD_TITLE}')),
+n AS (SELECT p.page_id, p.source, count(k.page_id) AS n FROM p LEFT JOIN k ON p.page_id = k.page_id GROUP BY p.page_id, p.source),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, min(CASE WHEN n = 0 THEN page_id END) OVER (PARTITION BY source) AS stop FROM n)
+SELECT k.source, k.page_id, (w.start + row_number() OVER (PARTITION BY k.page_id ORDER BY k.seq) - 1)::BIGINT AS place, k.title
+FROM k JOIN w ON k.page_id = w.page_id WHERE w.stop IS NULL OR w.page_id < w.stop""")
+def listed_rows(spark, sf_dir):
+    """Links of pages' navigation as lists of their hosts, with places over all pages of a host."""
+    pages = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", U.PARTS, 1)).alias("source"), F.col("page_id").alias("page_no"), "url", "html")
+    sources = pages.select("source").distinct().select("source", *[F.lit(x).cast("string").alias(f) for f, x in zip(L.FIELDS, NAV[1:])])
+    posts, _ = L.listed(pages, sources, ntz("2026-01-01 00:00:00"))
+    return posts.select("source", F.col("page_no").alias("page_id"), "place", "title")
