@@ -17,13 +17,6 @@ def test_links_and_html_rows(spark):
     assert [tuple(r) for r in pages.html_rows(frame).collect()] == [(1, 0, "/x", "one", 100.0), (1, 1, "/y", "two", 98.5)]
 
 
-def test_paged_json(spark):
-    spark.dataSource.register(pages.PagedJson)
-    texts = [json.dumps({"items": [{"id": 1, "title": "a"}, {"id": 2, "url": "u"}, 5]}), "not json", json.dumps({"items": None})]
-    frame = spark.read.format("paged_json").options(pages=json.dumps(texts), ddl="id string, title string, url string, page int").load()
-    assert sorted(map(tuple, frame.collect())) == [("1", "a", None, 0), ("2", None, "u", 0)]
-
-
 def test_reports_and_feeds(spark, tmp_path):
     for day, text, made in (("2026-01-01", "## a", "2026-01-02T00:10:00+09:00"), ("2026-01-03", "## b", "2026-01-03T12:00:00+09:00"), ("2026-02-30", "x", ""), ("2026-01-04", " ", "")):
         (tmp_path / f"{day}.json").write_text(json.dumps({"date": day, "generated_at": made, "summary_md": text, "posts": []}, indent=1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -12,9 +14,11 @@ from tidemark.operators import health as H
 from tidemark.operators import history as Y
 from tidemark.operators import ingest as I
 from tidemark.operators import stats as A
+from tidemark.operators import selection as E
 from tidemark.plans.core import query, r6
-from tidemark.session import table
+from tidemark.session import ensure_checkpoint_dir, table
 from tidemark.sources import listing as L
+from tidemark.sources import scan as S
 
 
 def ntz(text: str):
@@ -302,3 +306,36 @@ def listed_rows(spark, sf_dir):
     sources = pages.select("source").distinct().select("source", *[F.lit(x).cast("string").alias(f) for f, x in zip(L.FIELDS, NAV[1:])])
     posts, _ = L.listed(pages, sources, ntz("2026-01-01 00:00:00"))
     return posts.select("source", F.col("page_no").alias("page_id"), "place", "title")
+
+
+# paged lists and budgets
+
+CLICK_ITEM = "click_id bigint, kind string, value double"
+CLICK_PAGE = 50
+
+
+@query(f"""WITH c AS (SELECT click_id, kind, ts::DATE AS day, row_number() OVER (PARTITION BY ts::DATE ORDER BY click_id, kind NULLS FIRST, value NULLS FIRST) - 1 AS i FROM clicks WHERE ts IS NOT NULL),
+d AS (SELECT *, (i // {CLICK_PAGE} + 1)::INT AS page, (i % {CLICK_PAGE})::INT AS place, count(*) OVER (PARTITION BY day) > {CLICK_PAGE * S.MOST_PAGES} AS truncated FROM c)
+SELECT click_id, kind, day, page, place, truncated FROM d WHERE page <= {S.MOST_PAGES}""")
+def paged_scan(spark, sf_dir):
+    """All clicks landed as paged lists of their days, and what a scan of those days reads."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "kind", "value", F.col("ts").cast("date").alias("day"))
+    S.land(clicks, folder, "day", ["click_id", "kind", "value"], CLICK_PAGE)
+    items, days = S.walked(S.pages(spark, folder, "2024-01-01", "2024-12-31", CLICK_ITEM))
+    return items.join(days.select("day", "truncated"), "day").select("item.click_id", "item.kind", "day", "page", "place", "truncated")
+
+
+@query("""WITH k AS (SELECT client_id AS source, click_id AS pid, ts::DATE AS event_date, kind,
+    row_number() OVER (PARTITION BY client_id ORDER BY click_id, kind NULLS FIRST) AS turn FROM (SELECT DISTINCT client_id, click_id, ts, kind FROM clicks) WHERE ts IS NULL OR ts::DATE >= '2024-03-01'),
+p AS (SELECT *, CASE WHEN kind = 'purchase' THEN 0.0 ELSE 1.0 END AS cost FROM k WHERE turn <= 25),
+c AS (SELECT *, sum(cost) OVER (ORDER BY turn, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM p)
+SELECT source, pid, turn, CASE WHEN kind = 'purchase' THEN 'cached' WHEN used <= 2000 THEN 'resolved' ELSE 'left' END AS outcome FROM c""")
+def budgeted_rows(spark, sf_dir):
+    """Clients' lists of clicks since March: their first 25 in turns, purchases cached, 2,000 others within the budget."""
+    clicks = table(spark, sf_dir, "clicks").select(F.col("client_id").alias("source"), F.col("click_id").alias("pid"), F.col("ts").cast("date").alias("event_date"), "kind", "ts").distinct()
+    place = F.struct("pid", "kind")
+    cached = clicks.where("kind = 'purchase'").select("source", F.struct("pid", "kind").alias("pid"), F.lit("u").alias("url"))
+    days = clicks.where("event_date >= '2024-03-01'").select(F.col("event_date").alias("day")).distinct()
+    rows = clicks.select("source", place.alias("place"), place.alias("pid"), "event_date")
+    return E.within_budget(rows, cached, days, 2000).select("source", F.col("pid.pid").alias("pid"), "turn", "outcome")

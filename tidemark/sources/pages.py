@@ -1,16 +1,13 @@
-"""Readers of landed pages and lists: HTML rows, paged JSON, reports, probes."""
+"""Readers of landed pages and lists: HTML rows, reports, probes."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 STEP = 1.5
 
@@ -91,42 +88,6 @@ def verdict_table(probes: DataFrame, group: str = "group") -> DataFrame:
     return probes.groupBy(group).pivot("verdict", kinds).count().na.fill(0, kinds)
 
 
-class PagedJson(DataSource):
-    """Landed pages of a JSON list: one partition a page, rows under items_key, an option schema as DDL.
-
-    Options: pages (a JSON list of page texts, or use path_list with files each executor can read), items_key. A page that
-    isn't JSON gives no rows.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
-
-    def schema(self) -> str:
-        return self.options.get("ddl", "id string, title string, url string, page int")
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagedReader(schema, self.options)
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.schema, self.pages, self.key = schema, json.loads(options["pages"]), options.get("items_key", "items")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((i, text)) for i, text in enumerate(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        number, text = partition.value
-        try:
-            page = json.loads(text)
-        except ValueError:
-            return
-        for item in page.get(self.key) or []:
-            if isinstance(item, dict):
-                yield tuple(number if f.name == "page" else None if item.get(f.name) is None else str(item[f.name]) for f in self.schema.fields)
-
-
 REPORT = (
     "date string, generated_at string, model string, post_count int, summary_md string, analyzed_count int, "
     "posts array<struct<title string, url string, source string, source_label string, source_emoji string, source_color string, "
