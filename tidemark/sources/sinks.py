@@ -67,3 +67,46 @@ def prompt_lines(posts: DataFrame, most: int = 400) -> DataFrame:
     body = F.substring(F.coalesce("summary", F.lit("")), 1, most)
     line = F.concat_ws(" | ", F.concat(F.lit("#"), F.col("rank").cast("string")), "source", "title", F.concat(F.lit("views "), F.format_number("views", 0)), F.when(body != "", body))
     return posts.select("rank", line.alias("line"))
+
+
+#: Fixed value: entries of a cache that are kept.
+CACHE_ROWS = 1000
+
+
+def _versions(spark, folder: str) -> list[int]:
+    """Batch numbers whose version is whole, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    named = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName()[6:]) for p in named if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def upserted(folder: str, key: list[str], order: list[str], most: int = CACHE_ROWS, keep: int = 2):
+    """A writer for foreachBatch: a table of the last row of each key, the most newest ones, as versions folder/batch=N.
+
+    A batch is laid over the version before its number and written as its own, so a batch that comes again (after a death, or from a replay)
+    writes what it wrote before: nothing doubles. Rows of equal key count by order, the largest last; retention is by order too. A version
+    is there once its success mark is; of the whole ones the keep newest stay.
+    """
+    newest = [F.col(c).desc_nulls_last() for c in order]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        there = [n for n in _versions(spark, folder) if n < number]
+        rows = batch.unionByName(spark.read.parquet(f"{folder}/batch={there[-1]}")) if there else batch
+        last = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where("_i = 1").drop("_i")
+        last.orderBy(*newest, *key).limit(most).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for old in there[: max(0, len(there) + 1 - keep)]:
+            gone = fs_path(f"{folder}/batch={old}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+    return write
+
+
+def current(spark, folder: str) -> DataFrame | None:
+    """The newest whole version of upserted()'s table; None before the first."""
+    there = _versions(spark, folder)
+    return spark.read.parquet(f"{folder}/batch={there[-1]}") if there else None
