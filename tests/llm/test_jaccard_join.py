@@ -93,6 +93,46 @@ def test_edges(spark):
     assert kept == {None: 1, 2: 1, 9: 2}
 
 
+def test_local_regions():
+    """Every pair within the radius shares a region, and far ones are kept apart."""
+    rnd = random.Random(11)
+    for radius, changed in ((0.15, 0.02), (0.2, 0.1), (0.15, 0.16)):
+        sets = []
+        for n in (150, 60, 3, 1, 1):
+            base = [rnd.randrange(1 << 60) for _ in range(200)]
+            sets += [np.array(sorted({rnd.randrange(1 << 60) if rnd.random() < changed * rnd.random() else x for x in base}), np.uint64) for _ in range(n)]
+        regions = join.local_regions(sets, radius)
+        together = np.zeros((len(sets), len(sets)), bool)
+        for at in regions:
+            together[np.ix_(at, at)] = True
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if 1 - len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) <= radius]
+        assert all(together[i, j] for i, j in near) and near
+        assert not any(150 <= i < 210 and j >= 210 for at in regions if len(at) > 40 for i in at for j in at if radius == 0.15 and changed == 0.02)
+
+
+def test_links_come_from_regions(spark, monkeypatch):
+    """On sf0.1 all links come out of regions; members of the grid are a minority."""
+    base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    calls, leaves = [], join._leaves
+    monkeypatch.setattr(join, "_leaves", lambda members, percent: calls.append(members) or leaves(members, percent))
+    got = join.linked_components(base, k=4, percent=85).where("n_links > 0").count()
+    paths = [r.block for frame in calls for r in frame.select("block").collect()]
+    in_grid = sum("#" in x for x in paths)
+    sets = [np.frombuffer(r.hashes, np.uint64) for r in sorted(calls[0].collect(), key=lambda r: r.block)]
+    blocks = [r.block for r in sorted(calls[0].collect(), key=lambda r: r.block)]
+    members = 0
+    for block in set(blocks):
+        members += sum(map(len, join.local_regions([s for s, b in zip(sets, blocks) if b == block], 0.15)))
+    assert got > 0 and members > 0 and in_grid < members / 2
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 9973}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, "a b " * 250_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, join.linked_components(frame, k=4, percent=85).collect()), key=repr) == by_brute_force(rows, 4, 85)
+
+
 def test_overlaps():
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 6000, n).astype(np.uint64)) for n in (1, 5, 4000, 5000, 300)]

@@ -255,3 +255,36 @@ def test_empty_store(spark, tmp_path):
     assert store.manifest() == [] and store.versions() == []
     with pytest.raises(ValueError):
         store.read()
+    empty = spark.createDataFrame([], "id long, by int, text string, tier int")
+    assert store.append(empty, "by") == [] and store.versions() == [1]
+    assert store.rows().columns == ["id", "text", "tier"] and store.rows().count() == 0
+    assert store.read().columns == ["id", "text", "run_id", "tier"] and store.read().count() == 0 and store.pending() == store.compact() == 0
+    for i in range(5):  # schemas of empty tables are no runs to merge
+        store.append(empty, "by")
+    assert store.pending() == 0
+    store.append(spark.createDataFrame([(7, 1, "x", 3)], "id long, by int, text string, tier int"), "by")
+    assert [(r.id, r.text) for r in store.read().collect()] == [(7, "x")] and store.pending() == 0
+
+
+def test_sharding_query_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert q_native.op9_sharding(spark, str(tmp_path)).count() == 0
+
+
+def long_texts():
+    """Texts of a megabyte each: words, one word, one line, short lines."""
+    return [" ".join(f"w{i % 977}" for i in range(200_000)), "x" * 1_000_000, "a b " * 250_000, "line\n" * 200_000]
+
+
+def test_very_long_texts(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(long_texts())]
+    frame = docs(spark, [(i, "s", t) for i, t in rows])
+    sizes = {r.doc_id: r.size for r in mixing.copies(frame).collect()}
+    assert sizes == {i: len(t.split()) for i, t in rows}
+    found = {r.doc_id: r.license_id for r in licenses.scan(frame).collect()}
+    assert found == dict.fromkeys(sizes)
+    cut_lines = {r.doc_id: (r.n_lines, r.text == t) for r, (_, t) in zip(sorted(line_dedup.drop_lines(frame, "source", "text", counts=True).collect(), key=lambda r: r.doc_id), rows)}
+    assert cut_lines == {0: (1, True), 1: (1, True), 2: (1, True), 3: (200_000, True)}
+    store = sharding.Store(spark, f"{tmp_path}/long")
+    store.append(frame, "_site")
+    assert {r.doc_id: r.text for r in store.read().collect()} == dict(rows)

@@ -98,3 +98,17 @@ def test_labelled_rows(spark, table):
     got = op6_quality_rules(spark, table).join(spark.read.parquet(f"{table}/labels.parquet"), "doc_id").where("not base_failed").collect()
     assert sum(r.kept for r in got if r.quality == 1) >= 0.99 * sum(r.quality for r in got)
     assert sum(r.kept for r in got if r.quality == 0) <= 0.1 * sum(1 - r.quality for r in got)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rnd = random.Random(9)
+    long = " ".join(make(rnd) for _ in range(900))
+    rows = [(i, "en", "s0", make(rnd)) for i in range(40)] + [(90, "en", "s0", long), (91, "en", "s0", "x" * 1_000_000), (92, "en", "s0", "word " * 200_000)]
+    more = {"_lang": "a", "_source": "b", "kept": "c", "base_failed": "d", "distance2": "e", "_x": "f", "_c": "g", "_e": "h", "in_lang": "i", "_key": "j"}
+    frame = spark.createDataFrame([(*r, *more.values()) for r in rows], "doc_id long, lang string, source string, text string, " + ", ".join(f"{c} string" for c in more))
+    ids = {r.doc_id for r in rules.accepted(frame).collect()}
+    assert rules.accepted(frame).columns == frame.columns and set(range(40)) <= ids and not ids & {91, 92}
+    rows = cut(rules.with_counts(frame))
+    got = rules.judged(rows, rules.fit(rows))
+    assert {r.doc_id for r in got.where("kept").collect()} == ids and {r["_lang"] for r in got.collect()} == {"a"} and {r.in_lang for r in got.collect()} == {"i"}
+    assert dict(got.dtypes)["kept"] == "boolean" and dict(got.dtypes)["distance2"] == "double"

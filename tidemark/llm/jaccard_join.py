@@ -15,7 +15,8 @@ into blocks that no link crosses, and the metric recursion works within blocks.
    window), and within a region to the ring of width r around the pivot that it lies in and the one before
    (the ball window). Every link has a region and ring with both its ends. Regions recur until they fit. Where the
    windows exclude too little to be worth the copies, a block goes to a grid of chunk pairs, which is exact as well.
-4. Regions that fit are joined by products of their incidence matrices, in column tiles of bounded size. A task
+4. What fits a task, a whole block or a region of a larger one, is dealt to regions and rings there in the same way, and each of
+   these is joined by the product of its incidence matrix, in column tiles of bounded size. A task
    returns a spanning star of each local component and the number of links of each class; a link counts in
    the one region where its end of lesser id is at home.
 
@@ -46,6 +47,8 @@ LEAF_DOCS, LEAF_SHINGLES = 64, 1_000_000
 #: A task of the grid, for blocks whose windows exclude too little, joins so many times as much.
 GRID = 8
 PIVOTS, LEVELS = 8, 3
+#: Sets of a region within a task that are compared by one product; larger ones are cut by more pivots.
+REGION_SETS = 32
 #: A block is dealt to regions if their squared sizes come to less than this share of its own.
 WORTH = 0.9
 #: Shingles of this place in the order and after, which many sets may have, spread their sets over so many tasks.
@@ -286,6 +289,39 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def local_regions(sets: list[np.ndarray], radius: float, level: int = 0) -> list[np.ndarray]:
+    """Places of sets by region: the Voronoi regions of pivots among them, each cut to rings; every pair within radius shares one.
+
+    A set is in each region whose pivot is at most 2 radius farther than its nearest, and there in the ring of width radius that
+    it lies in and in the one before. Regions above REGION_SETS are cut again, by other pivots, where that makes them smaller.
+    """
+    m = len(sets)
+    if m < 2:
+        return []
+    pivots = np.random.default_rng(level).choice(m, min(m, max(1, m // REGION_SETS)), replace=False)
+    far = np.stack([1 - _shared(sets, sets[p]) for p in pivots], axis=1)
+    inside = far <= far.min(axis=1, keepdims=True) + 2 * radius + 1e-9
+    ring = (far / radius + 1e-9).astype(int)
+    out = []
+    for j in range(len(pivots)):
+        for k in np.unique(ring[inside[:, j], j]):
+            # the ring of those at k radii, with those of the next that may link into it
+            at = np.flatnonzero(inside[:, j] & ((ring[:, j] == k) | (ring[:, j] == k + 1)))
+            if len(at) < 2:
+                continue
+            again = REGION_SETS < len(at) < 0.9 * m and level + 1 < LEVELS
+            out += [at[x] for x in local_regions([sets[i] for i in at], radius, level + 1)] if again else [at]
+    return out
+
+
+def _shared(sets: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each set with p."""
+    flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
+    hit = p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat
+    both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size)[:-1])))
+    return both / (size + len(p) - both)
+
+
 def _local_components(linked: np.ndarray) -> np.ndarray:
     """Label of each row of a symmetric matrix."""
     label = np.full(len(linked), -1)
@@ -314,8 +350,10 @@ def _joined_group(rows: list[tuple], percent: int) -> tuple[list, list]:
     sets = [np.frombuffer(r[3], np.uint64) for r in kept]
     copies, home, low, chunk = (np.array([r[c] for r in kept]) for c in (2, 4, 5, 6))
     size = np.array([len(x) for x in sets])
-    both = overlaps(sets)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked = np.zeros((len(ids), len(ids)), bool)
+    for at in local_regions(sets, 1 - percent / 100):
+        both = overlaps([sets[i] for i in at])
+        linked[np.ix_(at, at)] |= 100 * both >= percent * (size[at][:, None] + size[at][None, :] - both)
     np.fill_diagonal(linked, False)
     label = _local_components(linked)
     stars = [(int(ids[label[i]]), int(ids[i])) for i in np.flatnonzero((label >= 0) & (label != np.arange(len(ids))))]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import give_back, same, small
+from tidemark.llm.common import aside, back, give_back, same, small
 from tidemark.session import cut
 
 #: Share of a group's rows that the estimate rests on.
@@ -92,7 +92,10 @@ def counted(text: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _c (the counts), base_failed and _x (the vector; the zero vector if there are no words)."""
+    """docs with _c (the counts), base_failed and _x (the vector; the zero vector if there are no words).
+
+    Columns of docs of these names are replaced.
+    """
     c = lambda name: F.col(f"_c.{name}").cast("double")
     n, chars = F.greatest(c("n_words"), F.lit(1.0)), F.greatest(c("word_chars"), F.lit(1.0))
     vector = [F.log(n), F.log(chars / n), F.log1p(20 * c("n_symbols") / n), F.log1p(c("n_dup_lines")), c("n_repeat_words") / n, F.sqrt(c("n_upper") / chars), F.sqrt(c("n_marks") / chars)]
@@ -234,11 +237,12 @@ def fit(counted_docs: DataFrame, lang: str = "lang", source: str = "source", wei
 
 
 def judged(counted_docs: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
-    """counted_docs with distance2 (null without an estimate) and kept."""
+    """counted_docs without _x, with distance2 (null without an estimate) and kept, which replace columns of these names."""
     limit = chi2_quantile(1 - tail, P)
-    out = counted_docs.join(estimates, same(F.col(lang), F.col("_lang")) & same(F.col(source), F.col("_source")), "left")
-    out = out.withColumn("distance2", distance2(F.col("_x"), F.col("_e.mean"), F.col("_e.inverse")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).drop("_lang", "_source", "_e", "_x")
+    out = aside(counted_docs).join(estimates, same(F.col(f"in_{lang}"), F.col("_lang")) & same(F.col(f"in_{source}"), F.col("_source")), "left")
+    out = out.withColumn("distance2", distance2(F.col("in__x"), F.col("_e.mean"), F.col("_e.inverse")))
+    kept = ~F.col("in_base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))
+    return back(out, [c for c in counted_docs.columns if c != "_x"], F.col("distance2"), kept.alias("kept"))
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
@@ -249,6 +253,5 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     """
     vectors = cut(with_counts(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text")), "_text").select("lang", "source", "base_failed", "_x"))
     estimates = fit(vectors, **how)
-    plain = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    out = judged(with_counts(plain, f"in_{text}"), estimates, f"in_{lang}", f"in_{source}").where("kept")
+    out = judged(with_counts(aside(docs), f"in_{text}"), estimates, f"in_{lang}", f"in_{source}").where("kept")
     return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

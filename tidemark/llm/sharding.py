@@ -47,6 +47,11 @@ class Run:
 _SCHEMA = "run_id string, folder string, arrivals string, tier int, shards int, rows long, bytes long, schema string"
 
 
+def _with_files(runs: list[Run]) -> list[Run]:
+    """Runs but for those that only hold columns of an empty table."""
+    return [r for r in runs if r.shards]
+
+
 def merged_schema(runs: list[Run]) -> StructType:
     """Columns of all runs, in the order in which they came; ValueError if a name has two types."""
     found: dict[str, StructField] = {}
@@ -133,7 +138,8 @@ class Store:
 
         by goes into the run's description and out of its rows. Each task writes the arrivals that it has, so shards are as
         small as they come. Other columns may differ from those before: rows without a column have null there, and a column
-        of another type than before is a ValueError before anything is written. An empty table adds no run, but a version.
+        of another type than before is a ValueError before anything is written. An empty table adds a version but no run; in a store without
+        any, the manifest gets one without files that holds the columns.
         """
         schema = StructType([f for f in arrivals.schema.fields if f.name.lower() != by.lower()])
         merged_schema([*self.manifest(), Run("", "", "", 0, 0, 0, 0, json.dumps(schema.jsonValue()))])
@@ -146,18 +152,20 @@ class Store:
             counts = {str(r[by]): r["count"] for r in self.spark.read.parquet(whole).groupBy(by).count().collect()}
         values = [x.partition("=")[2] for x in found]
         made = [self._described(f"{name}/{x}", v, counts.get(v, counts.get("None", 0)), schema) for x, v in zip(found, values)]
-        self._committed(lambda runs: runs + made)
+        only_columns = [Run(name, "", "", 0, 0, 0, 0, json.dumps(schema.jsonValue()))]
+        self._committed(lambda runs: runs + (made or ([] if runs else only_columns)))
         return made
 
     def _due(self, runs: list[Run]) -> list[Run]:
         """The first FANOUT runs of the lowest tier that has so many."""
         by_tier: dict[int, list[Run]] = {}
-        for r in runs:
+        for r in _with_files(runs):
             by_tier.setdefault(r.tier, []).append(r)
         return next((x[: self.fanout] for _, x in sorted(by_tier.items()) if len(x) >= self.fanout), [])
 
     def _table(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.schema(merged_schema(runs)).parquet(*[f"{self.root}/runs/{r.folder}" for r in runs])
+        schema, folders = merged_schema(runs), [f"{self.root}/runs/{r.folder}" for r in _with_files(runs)]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def compact(self, keep_old: bool = True) -> int:
         """Merge until no tier has FANOUT runs; a version for each merge. Returns the number of merges.
@@ -201,10 +209,10 @@ class Store:
 
     def pending(self) -> int:
         """Number of merges that are due at once: full groups of FANOUT runs of one tier."""
-        return sum(n // self.fanout for n in Counter(r.tier for r in self.manifest()).values())
+        return sum(n // self.fanout for n in Counter(r.tier for r in _with_files(self.manifest())).values())
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the columns of all its runs, null where a run lacks one; ValueError without runs."""
+        """All rows of a version, with the columns of all its runs, null where a run lacks one; ValueError before the first append."""
         if not (runs := self.manifest(version)):
             raise ValueError("no runs")
         return self._table(runs)
@@ -214,7 +222,9 @@ class Store:
         if not (runs := self.manifest(version)):
             raise ValueError("no runs")
         frame = self._table(runs)
+        kept = [F.col(f"`{c}`") for c in frame.columns if c.lower() not in ("run_id", "tier")]
+        if not (runs := _with_files(runs)):
+            return frame.select(*kept, F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("int").alias("tier"))
         place = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.+)/[^/]+$", 1)
         known = lambda of: F.element_at(F.create_map(*[F.lit(x) for r in runs for x in (r.folder, of(r))]), place)
-        kept = [F.col(f"`{c}`") for c in frame.columns if c.lower() not in ("run_id", "tier")]
         return frame.select(*kept, known(lambda r: r.run_id).alias("run_id"), known(lambda r: r.tier).alias("tier"))
