@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
+from tidemark.functions import speech as SP
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import health as H
@@ -18,6 +19,7 @@ from tidemark.operators import selection as E
 from tidemark.plans.core import query, r6
 from tidemark.session import ensure_checkpoint_dir, table
 from tidemark.sources import listing as L
+from tidemark.sources import probes as PR
 from tidemark.sources import scan as S
 
 
@@ -316,21 +318,21 @@ CLICK_PAGE = 50
 
 @query(f"""WITH c AS (SELECT click_id, kind, ts::DATE AS day, row_number() OVER (PARTITION BY ts::DATE ORDER BY click_id, kind NULLS FIRST, value NULLS FIRST) - 1 AS i FROM clicks WHERE ts IS NOT NULL),
 d AS (SELECT *, (i // {CLICK_PAGE} + 1)::INT AS page, (i % {CLICK_PAGE})::INT AS place, count(*) OVER (PARTITION BY day) > {CLICK_PAGE * S.MOST_PAGES} AS truncated FROM c)
-SELECT click_id, kind, day, page, place, truncated FROM d WHERE page <= {S.MOST_PAGES}""")
+SELECT click_id, kind, day::VARCHAR AS day, page, place, truncated FROM d WHERE page <= {S.MOST_PAGES}""")
 def paged_scan(spark, sf_dir):
     """All clicks landed as paged lists of their days, and what a scan of those days reads."""
     folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
     clicks = table(spark, sf_dir, "clicks").select("click_id", "kind", "value", F.col("ts").cast("date").alias("day"))
     S.land(clicks, folder, "day", ["click_id", "kind", "value"], CLICK_PAGE)
     items, days = S.walked(S.pages(spark, folder, "2024-01-01", "2024-12-31", CLICK_ITEM))
-    return items.join(days.select("day", "truncated"), "day").select("item.click_id", "item.kind", "day", "page", "place", "truncated")
+    return items.join(days.select("day", "truncated"), "day").select("item.click_id", "item.kind", F.col("day").cast("string").alias("day"), "page", "place", "truncated")
 
 
 @query("""WITH k AS (SELECT client_id AS source, click_id AS pid, ts::DATE AS event_date, kind,
     row_number() OVER (PARTITION BY client_id ORDER BY click_id, kind NULLS FIRST) AS turn FROM (SELECT DISTINCT client_id, click_id, ts, kind FROM clicks) WHERE ts IS NULL OR ts::DATE >= '2024-03-01'),
 p AS (SELECT *, CASE WHEN kind = 'purchase' THEN 0.0 ELSE 1.0 END AS cost FROM k WHERE turn <= 25),
 c AS (SELECT *, sum(cost) OVER (ORDER BY turn, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM p)
-SELECT source, pid, turn, CASE WHEN kind = 'purchase' THEN 'cached' WHEN used <= 2000 THEN 'resolved' ELSE 'left' END AS outcome FROM c""")
+SELECT source, pid, turn::INT AS turn, CASE WHEN kind = 'purchase' THEN 'cached' WHEN used <= 2000 THEN 'resolved' ELSE 'left' END AS outcome FROM c""")
 def budgeted_rows(spark, sf_dir):
     """Clients' lists of clicks since March: their first 25 in turns, purchases cached, 2,000 others within the budget."""
     clicks = table(spark, sf_dir, "clicks").select(F.col("client_id").alias("source"), F.col("click_id").alias("pid"), F.col("ts").cast("date").alias("event_date"), "kind", "ts").distinct()
@@ -339,3 +341,46 @@ def budgeted_rows(spark, sf_dir):
     days = clicks.where("event_date >= '2024-03-01'").select(F.col("event_date").alias("day")).distinct()
     rows = clicks.select("source", place.alias("place"), place.alias("pid"), "event_date")
     return E.within_budget(rows, cached, days, 2000).select("source", F.col("pid.pid").alias("pid"), "turn", "outcome")
+
+
+# scripts and probes
+
+
+def _plain(x: str) -> str:
+    out = f"regexp_replace({x}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+    for pattern, to in ((SP.MARKS, ""), (SP.UNSAID, ""), (SP.DOTS, ", "), (r"\s+", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"trim({out})"
+
+
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_LINE = f"CASE WHEN level = 2 THEN rest ELSE regexp_replace(regexp_replace(CASE WHEN level > 0 THEN rest ELSE line END, '{SP.QUOTE}', ''), '{SP.LIST}', '') END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '(?m)^E', '## E', 'g'), '{SP.BREAKS}') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+g AS (SELECT doc_id, i, line, length(regexp_extract(line, '{SP.HEADING}', 1)) AS level, regexp_extract(line, '{SP.HEADING}', 2) AS rest FROM l),
+p AS (SELECT doc_id, i, level = 2 AS head, {_plain(_LINE)} AS said FROM g),
+e AS (SELECT doc_id, i, head, said, CASE WHEN said = '' OR regexp_matches(said, '{SP.ENDS}') THEN said ELSE said || '.' END AS ended, (sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS part FROM p),
+b AS (SELECT doc_id, part, coalesce(max(ended) FILTER (WHERE head), '') AS title, coalesce(string_agg(ended, ' ' ORDER BY i) FILTER (WHERE NOT head AND regexp_matches(said, '[\\p{{L}}\\p{{N}}]')), '') AS body FROM e GROUP BY doc_id, part),
+n AS (SELECT doc_id, max(part) AS n FROM b GROUP BY doc_id),
+k AS (SELECT n.doc_id, 0 AS part, trim('1월 2일 커뮤니티 데일리 리포트입니다. 모두 ' || coalesce({_LISTED(SP.COUNTS)}[nullif(n, 0)], n::VARCHAR) || ' 가지 이야기를 전해 드립니다. ' || coalesce(b.body, '')) AS block FROM n LEFT JOIN b ON n.doc_id = b.doc_id AND b.part = 0
+  UNION ALL SELECT doc_id, part, trim(coalesce({_LISTED(SP.ORDINALS)}[part], part::VARCHAR) || ' 번째 이야기. ' || title || ' ' || body) FROM b WHERE part > 0)
+SELECT doc_id, (count(*) - 1)::BIGINT AS sections, sha256(string_agg(block, chr(10) || '{SP.PAUSE}' || chr(10) ORDER BY part)) AS script_sha256 FROM k GROUP BY doc_id""")
+def report_scripts(spark, sf_dir):
+    """Documents as reports, whose lines that begin with E are headings, read aloud: sections, and the script's digest."""
+    report = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^E", "## E")
+    made = table(spark, sf_dir, "documents").select("doc_id", SP.script(report, F.lit("2026-01-02").cast("date")).alias("s"))
+    return made.select("doc_id", F.size("s.titles").cast("long").alias("sections"), F.sha2("s.text", 256).alias("script_sha256"))
+
+
+
+@query(rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, coalesce(url, '') AS url, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status FROM pages),
+v AS (SELECT page_id, status, trim(regexp_replace(regexp_extract(t, '{PR.TITLE}', 1), '\s+', ' ', 'g')) AS title, t, url,
+  len(list_distinct(regexp_extract_all(t, '{PR.ARTICLE.replace("'", "''")}', 1))) AS article_links, len(regexp_extract_all(t, '{PR.FEED_ITEM}')) AS feed_items FROM p)
+SELECT page_id, nullif(substr(title, 1, {PR.TITLE_CHARS}), '') AS title, article_links::BIGINT AS article_links, feed_items::BIGINT AS feed_items,
+  CASE WHEN status >= 400 THEN 'http-404' WHEN (regexp_matches(substr(t, 1, {PR.CHECK_CHARS}), '{PR.CHECKS}') OR regexp_matches(title, '{PR.CHECKS}') OR regexp_matches(substr(t, 1, {PR.REDIRECT_CHARS}), '{PR.REDIRECT.replace("'", "''")}') OR contains(url, 'msg.html')) AND article_links < {PR.LEAST_LINKS} THEN 'blocked' ELSE 'ok' END AS verdict FROM v""")
+def probe_records(spark, sf_dir):
+    """Every page as a probe's answer, each fifth of them as not found."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("final_url"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.coalesce("html", F.lit("")).cast("binary").alias("body"))
+    return PR.probed(pages).select("page_id", "title", "article_links", PR.feed_items(F.col("body")).alias("feed_items"), "verdict")
