@@ -47,7 +47,7 @@ LEAF_DOCS, LEAF_SHINGLES = 64, 1_000_000
 #: A task of the grid, for blocks whose windows exclude too little, joins so many times as much.
 GRID = 8
 PIVOTS, LEVELS = 8, 3
-#: Sets of a region within a task that are compared by one product; larger ones are cut by more pivots.
+#: Sets of a region within a task that one pivot's rings do for; larger ones may have more pivots, and are cut again.
 REGION_SETS = 32
 #: A block is dealt to regions if their squared sizes come to less than this share of its own.
 WORTH = 0.9
@@ -292,25 +292,39 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def local_regions(sets: list[np.ndarray], radius: float, level: int = 0) -> list[np.ndarray]:
     """Places of sets by region: the Voronoi regions of pivots among them, each cut to rings; every pair within radius shares one.
 
-    A set is in each region whose pivot is at most 2 radius farther than its nearest, and there in the ring of width radius that
-    it lies in and in the one before. Regions above REGION_SETS are cut again, by other pivots, where that makes them smaller.
+    Pivots are drawn farthest first, over 2 radius from each other, so copies of one text have one pivot. A set is in each region whose
+    pivot is at most 2 radius farther than its nearest, and there in the ring of width radius that it lies in and in the one before. Where several
+    pivots' regions are more work than one's rings, the first pivot does. Regions above REGION_SETS are cut again where that makes them smaller.
     """
     m = len(sets)
     if m < 2:
         return []
-    pivots = np.random.default_rng(level).choice(m, min(m, max(1, m // REGION_SETS)), replace=False)
-    far = np.stack([1 - _shared(sets, sets[p]) for p in pivots], axis=1)
+    far = [1 - _shared(sets, sets[level % m])]
+    while len(far) < PIVOTS and m > REGION_SETS and (least := np.min(far, axis=0)).max() > 2 * radius:
+        far.append(1 - _shared(sets, sets[int(least.argmax())]))
+    one, all_of = _rings(np.stack(far[:1], axis=1), radius), _rings(np.stack(far, axis=1), radius)
+    out = []
+    for at in min(one, all_of, key=_work):
+        again = REGION_SETS < len(at) < 0.9 * m and level + 1 < LEVELS
+        out += [at[x] for x in local_regions([sets[i] for i in at], radius, level + 1)] if again else [at]
+    return out
+
+
+def _work(regions: list[np.ndarray]) -> int:
+    return sum(len(x) ** 2 for x in regions)
+
+
+def _rings(far: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Places by region and ring, from distances to pivots (a column each); those of fewer than two sets go."""
     inside = far <= far.min(axis=1, keepdims=True) + 2 * radius + 1e-9
     ring = (far / radius + 1e-9).astype(int)
     out = []
-    for j in range(len(pivots)):
+    for j in range(far.shape[1]):
         for k in np.unique(ring[inside[:, j], j]):
-            # the ring of those at k radii, with those of the next that may link into it
+            # those at k radii, with those of the next ring that may link to them
             at = np.flatnonzero(inside[:, j] & ((ring[:, j] == k) | (ring[:, j] == k + 1)))
-            if len(at) < 2:
-                continue
-            again = REGION_SETS < len(at) < 0.9 * m and level + 1 < LEVELS
-            out += [at[x] for x in local_regions([sets[i] for i in at], radius, level + 1)] if again else [at]
+            if len(at) > 1:
+                out.append(at)
     return out
 
 
