@@ -138,6 +138,33 @@ def test_slot_starts(spark):
     assert got == {("k", 0): 0, ("k", 39): 0, ("k", 40): 40, ("k", 79): 40, ("k", 80): 80, ("k", 200): 200, ("j", 0): 0}
 
 
+def test_slot_starts_of_any_stretches(spark):
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for key in ("a", "b", None):
+        at = 0
+        slots: list = []
+        for _ in range(250):
+            at += rnd.choice([0, 1, 60, 600, 1500, 2399, 2400, 2401, 9000])
+            rows.append((key, at))
+            if not slots or not 0 <= at - slots[-1] < 2400:
+                slots.append(at)
+            if key is not None:
+                want[key, at] = slots[-1]
+    frame = spark.createDataFrame([*rows, ("c", None)], "key string, ts long")
+    got = history.slot_starts(frame.repartition(6), "key", "ts").collect()
+    assert {(r.key, r.ts): r.slot_start for r in got} == want and len(got) == sum(k is not None for k, _ in rows)
+
+
+def test_status_reasons(spark):
+    # n, sources, before_n, before_sources, recent, total, since_h, last_h, timed
+    cases = [((5, 3, 2, 2, 0, 9, 9.0, 1.0, 4), "최근 3번 갱신 동안 글 2→5개, 커뮤니티 2→3곳"), ((5, 3, None, None, 3, 9, 9.0, 1.0, 4), "최근 3시간에 새 글 3개"), ((2, 2, 2, 2, 0, 9, 20.0, 9.9, 2), "마지막 글 9시간 전"), ((2, 2, 2, 2, 0, 9, 20.0, 9.9, 1), ""), ((2, 2, 2, 2, 0, 9, 2.0, 1.0, 2), "최근 3시간 안에 여러 곳에 올라오기 시작")]
+    names = ["n", "c", "bn", "bc", "recent", "total", "since", "last", "timed"]
+    frame = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, " + ", ".join(f"{n} {'double' if n in ('since', 'last') else 'long'}" for n in names))
+    got = frame.select("i", history.status_reason(*map(F.col, names)).alias("w"), history.status(*map(F.col, names)).alias("s")).orderBy("i").collect()
+    assert [r.w for r in got] == [w for _, w in cases] and all((r.w == "") == (r.s == "steady") for r in got)
+
+
 def test_velocity_and_rounds(spark):
     posts = spark.createDataFrame([("a", 5.0), ("b", 7.0)], "url_key string, rank_score double")
     past = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "url_key string, rank_score double")
@@ -228,4 +255,12 @@ def test_issues(spark):
     assert by[(5, 6)].kind == "repost" and by[(5, 6)].status == "quiet" and len(by[(1, 2, 3, 4)].reps) >= 2
     assert issues.board(found).count() == 2
     assert [r["rank"] for r in issues.hot_list(posts, found).collect()] == [8, 7]
+    assert by[(1, 2, 3, 4)].status_why.startswith("최근 3시간") and by[(5, 6)].status_why == "마지막 글 11시간 전"
+    assert by[(1, 2, 3, 4)].first == by[(1, 2, 3, 4)].since == datetime(2026, 1, 1, 10)
+    shown = issues.block(posts, found, 4, now).collect()
+    assert len(shown) == 1 and (shown[0].as_of, shown[0].posts, shown[0].communities, shown[0].in_issues, shown[0].low_data, shown[0].badges, shown[0].hot) == (now, 8, 4, 6, True, True, [8, 7])
+    assert [tuple(i.ranks) for i in shown[0]["items"]] == [tuple(r.ranks) for r in sorted(found.where("confident").collect(), key=lambda r: -r.heat)]
+    bare = issues.block(posts, None, 4, now)
+    assert bare.schema == issues.block(posts, found, 4, now).schema or [f.name for f in bare.schema] == [f.name for f in issues.block(posts, found, 4, now).schema]
+    assert bare.first()["items"] == [] and not bare.first().badges and issues.block(posts.limit(0), None, 0, now).first().posts == 0
     assert json.dumps(sorted(map(str, issues.issues(posts.repartition(3), past, now).drop("by_source").collect()))) == json.dumps(sorted(map(str, found.drop("by_source").collect())))

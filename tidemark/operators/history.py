@@ -27,21 +27,27 @@ def push_round(slots: list[tuple], at: float, values, slot_count: int = SLOTS, m
 def slot_starts(rounds: DataFrame, key: str, ts: str, merge_min: int = MERGE_MIN) -> DataFrame:
     """Rows of rounds (key, ts seconds) with slot_start: the start of the slot that each round falls in.
 
-    Slots are anchored at their first round, so this is a fold in time order; each key's rounds are folded in one
-    pass over its sorted timestamps.
+    Slots are anchored at their first round, so this is a fold in time order. A round that comes merge_min after the one before it opens a slot
+    whatever came earlier, so each stretch between such gaps is folded on its own: a key of any length is dealt out by its
+    stretches, and a task streams through sorted times with one start in hand.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        starts, start = [], None
-        for at in pdf[ts]:
-            if start is None or not 0 <= at - start < merge_min * 60:
-                start = at
-            starts.append(start)
-        return pdf.assign(slot_start=starts)
-
-    distinct = rounds.select(key, ts).distinct()
-    slots = distinct.groupBy(key).applyInPandas(fold, f"{key} {rounds.schema[key].dataType.simpleString()}, {ts} long, slot_start long")
+    distinct = rounds.select(key, ts).where(F.col(ts).isNotNull()).distinct()
+    in_time = Window.partitionBy(key).orderBy(ts)
+    gap = F.coalesce(F.col(ts) - F.lag(ts).over(in_time) >= merge_min * 60, F.lit(True))
+    marked = distinct.withColumn("_from", F.last(F.when(gap, F.col(ts)), ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, start = None, 0
+        for pdf in batches:
+            starts = []
+            for name, begin, at in zip(pdf[key], pdf["_from"], pdf[ts]):
+                if (name, begin) != stretch or not 0 <= at - start < merge_min * 60:
+                    stretch, start = (name, begin), at
+                starts.append(start)
+            yield pdf.assign(slot_start=starts)[[key, ts, "slot_start"]]
+
+    kind = rounds.schema[key].dataType.simpleString()
+    slots = marked.where(F.col(key).isNotNull()).repartition(key, "_from").sortWithinPartitions(key, "_from", ts).mapInPandas(fold, f"{key} {kind}, {ts} long, slot_start long")
     return rounds.join(slots, [key, ts])
 
 
@@ -71,6 +77,21 @@ def status(n: Column, sources: Column, before_n: Column, before_sources: Column,
     )
 
 
+def status_reason(n: Column, sources: Column, before_n: Column, before_sources: Column, recent: Column, total: Column, since_h: Column, last_h: Column, timed: Column) -> Column:
+    """Why a status is what it is, as a sentence; '' for steady. Arguments are those of status(), and so is the order of the rules."""
+    grown = n - before_n
+    rising = (grown >= 3) | ((grown >= 2) & (before_n > 0) & (n / before_n >= 1.5)) | (sources - before_sources >= 2)
+    text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
+    # fixed values: the sentences
+    return (
+        F.when(since_h <= RECENT_H, text(f"최근 {RECENT_H}시간 안에 여러 곳에 올라오기 시작"))
+        .when(F.coalesce(rising, F.lit(False)), text("최근 3번 갱신 동안 글 ", before_n, "→", n, "개, 커뮤니티 ", before_sources, "→", sources, "곳"))
+        .when((recent >= 2) & (recent / total >= 0.25), text(f"최근 {RECENT_H}시간에 새 글 ", recent, "개"))
+        .when((last_h > QUIET_H) & (timed >= 2), text("마지막 글 ", F.floor(last_h).cast("int"), "시간 전"))
+        .otherwise("")
+    )
+
+
 def collapse_rounds(rounds: DataFrame) -> DataFrame:
     """Rounds (round_no, url_key) without those whose set of keys is that of the round before."""
     sets = rounds.groupBy("round_no").agg(F.count_distinct("url_key").alias("_n"), F.bit_xor(F.xxhash64("url_key")).alias("_h"), F.sum(F.xxhash64("url_key", F.lit(7)).cast("decimal(38,0)")).alias("_s"))

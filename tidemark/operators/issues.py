@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.titles import Rules, features, split_title
 from tidemark.operators import naming
 from tidemark.operators.graph import components as every_component
-from tidemark.operators.history import status
+from tidemark.operators.history import status, status_reason
 from tidemark.operators.ranking import community_context
 from tidemark.operators.similarity import DUPLICATE, NUMBER_HOME, cooccurrence, jaccard_pairs, token_idf
-from tidemark.operators.stats import heat, spread_heat
+from tidemark.operators.stats import heat, second_earliest, spread_heat
 from tidemark.session import cut
 
 # Fixed values of the sites: titles that offer goods; titles that don't go on top, that count for less, and that jest; what no name
@@ -159,15 +159,16 @@ def issues(posts: DataFrame, history: DataFrame, as_of: datetime, rules: Rules =
     late = [rounds - 1, rounds - 4]
     base = joined.groupBy("issue").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.sum("comments").alias("comments"),
-        F.sort_array(F.collect_list("rank")).alias("ranks"), F.slice(F.array_sort(F.collect_list("event_ts")), 1, 2).alias("_two"), F.max("event_ts").alias("last"),
+        F.sort_array(F.collect_list("rank")).alias("ranks"), F.max("event_ts").alias("last"),
         F.count("event_ts").alias("timed"), F.count_if(hours(F.col("event_ts")) <= 3).alias("recent"),
         F.count_if(~in_round(rounds - 2)).alias("_grew"), F.avg((F.coalesce("first_round", F.lit(rounds)) >= rounds - 2).cast("double")).alias("_fresh"),
         *[F.count_if(in_round(r)).alias(f"_n{i}") for i, r in enumerate(late)], *[F.count_distinct(F.when(in_round(r), F.col("source"))).alias(f"_c{i}") for i, r in enumerate(late)],
         F.min(F.struct(F.coalesce("first_round", F.lit(99)), "url_key")).alias("_anchor"),
     )
     long_run = F.lit(rounds >= 4)
-    state = status(F.col("_n0"), F.col("_c0"), F.when(long_run, F.col("_n1")), F.when(long_run, F.col("_c1")), F.col("recent"), F.col("n"), hours(F.col("since")), hours(F.col("last")), F.col("timed"))
-    base = base.withColumn("first", F.try_element_at("_two", F.lit(1))).withColumn("since", F.try_element_at("_two", F.lit(2))).withColumn("status", state)
+    measured = F.col("_n0"), F.col("_c0"), F.when(long_run, F.col("_n1")), F.when(long_run, F.col("_c1")), F.col("recent"), F.col("n"), hours(F.col("since")), hours(F.col("last")), F.col("timed")
+    base = base.join(second_earliest(joined, "issue", "event_ts").select("issue", "first", "since"), "issue", "left")
+    base = base.withColumn("status", status(*measured)).withColumn("status_why", status_reason(*measured))
 
     words = joined.select("issue", F.explode("kws").alias("token")).groupBy("issue", "token").agg(F.count(F.lit(1)).alias("k")).join(idf.select("token", "idf"), "token")
     generic = F.col("token").isin(*rules.generic)
@@ -197,7 +198,7 @@ def issues(posts: DataFrame, history: DataFrame, as_of: datetime, rules: Rules =
     sure = (F.col("n") >= SURE_POSTS) | (F.col("kind") == "repost") | F.coalesce("_shared", F.lit(False))
     full = full.withColumn("confident", sure & ((F.col("kind") == "repost") | specific) & (F.col("sources") >= 2))
     full = full.withColumn("grew", F.when(F.lit(rounds >= 3), F.col("_grew"))).withColumn("key", F.substring(F.sha1("_anchor.url_key"), 1, 6))
-    full = cut(full.drop("_two", "_n0", "_n1", "_c0", "_c1", "_grew", "_fresh", "_anchor", "_linked", "_parts", "_shared", "most"))
+    full = cut(full.drop("_n0", "_n1", "_c0", "_c1", "_grew", "_fresh", "_anchor", "_linked", "_parts", "_shared", "most"))
 
     full = cut(full.join(naming.named(full, joined, rules), "issue").drop("pairs"))
     context = joined.join(full.select("issue", "core", "name", F.col("n").alias("_n")), "issue").select("issue", "id", "source", "title", "bi", "rank", F.coalesce(F.col("title").rlike(UNSAFE), F.lit(False)).alias("unsafe"), explained(F.col("core"), F.col("_n"), F.col("name")).alias("why"))
@@ -223,3 +224,33 @@ def hot_list(posts: DataFrame, found: DataFrame, most: int = HOT) -> DataFrame:
     score: Column = F.col("comment_share") + (F.col("place") == 1).cast("int") + F.col("comments") / 1000
     best = free.withColumn("score", score).withColumn("_i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "arrival"))).where("_i = 1")
     return best.orderBy(F.desc("score"), "arrival").limit(most).drop("_i")
+
+
+#: Fixed value: posts under which a board says that there are few.
+LOW_DATA_POSTS = 350
+#: What a site shows of an issue.
+ITEM = {
+    "issue": "bigint", "key": "string", "name": "string", "kind": "string", "status": "string", "status_why": "string", "n": "bigint", "sources": "bigint", "comments": "bigint", "grew": "bigint",
+    "first": "timestamp_ntz", "since": "timestamp_ntz", "last": "timestamp_ntz", "heat": "double", "reps": "array<bigint>", "ranks": "array<bigint>",
+    "by_source": "array<struct<source:string,n:bigint,best:bigint,comments:bigint>>", "keywords": "array<string>",
+}
+_ITEM = f"struct<{','.join(f'{k}:{v}' for k, v in ITEM.items())}>"
+
+
+def block(posts: DataFrame, found: DataFrame | None, rounds: int, as_of: datetime) -> DataFrame:
+    """One row, what a site shows: as_of, posts, communities, in_issues, low_data, badges, items (the board, hottest first), hot (ranks).
+
+    posts are all posts of the round, deals and those of the day before among them; found is what issues() gives, or None where it failed: the
+    block then has no items and no badges. badges say whether rounds suffice to tell what's new. items and hot have fixed lengths.
+    """
+    counts = posts.agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("source").alias("communities"))
+    made = counts.select(F.lit(as_of).cast("timestamp_ntz").alias("as_of"), "posts", "communities", (F.col("posts") < LOW_DATA_POSTS).alias("low_data"))
+    if found is None:
+        none = [F.lit(0).cast("long").alias("in_issues"), F.lit(False).alias("badges"), F.array().cast(f"array<{_ITEM}>").alias("items"), F.array().cast("array<bigint>").alias("hot")]
+        return made.select("as_of", "posts", "communities", "low_data", *none)
+    shown = cut(board(found))
+    items = shown.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("heat")).alias("h"), F.col("issue").alias("i"), F.struct(*ITEM).alias("x")))), lambda v: v["x"].cast(_ITEM)).alias("x"))
+    ranks = shown.select(F.explode("ranks").alias("rank")).agg(F.count_distinct("rank").alias("x"))
+    listed = hot_list(posts, found).withColumn("_o", F.row_number().over(Window.orderBy(F.desc("score"), "arrival")))
+    hot = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col("rank").cast("long").alias("rank")))), lambda v: v["rank"]).alias("x"))
+    return made.select("as_of", "posts", "communities", "low_data", ranks.scalar().alias("in_issues"), F.lit(rounds >= 3).alias("badges"), items.scalar().alias("items"), hot.scalar().alias("hot"))
