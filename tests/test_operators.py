@@ -74,6 +74,7 @@ def test_signature(spark):
     one = dedup.relation_signature(a, F.concat_ws("|", "i", "t")).first()
     assert one == dedup.relation_signature(a.repartition(9).orderBy(F.desc("i")), F.concat_ws("|", "i", "t")).first()
     assert one != dedup.relation_signature(a.where("i > 0"), F.concat_ws("|", "i", "t")).first()
+    assert one != dedup.relation_signature(a.unionByName(a), F.concat_ws("|", "i", "t")).first() and len(dedup.relation_signature(a.limit(0), F.col("t")).first().signature) == 40
 
 
 def tried_in_order(posts):
@@ -138,6 +139,28 @@ def test_slot_starts(spark):
     assert got == {("k", 0): 0, ("k", 39): 0, ("k", 40): 40, ("k", 79): 40, ("k", 80): 80, ("k", 200): 200, ("j", 0): 0}
 
 
+@pytest.mark.parametrize("keys", [["k"], [], ["k", "j"]])
+def test_upper_medians(spark, keys):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(2), rnd.choice([None, 0.0, -1.5, rnd.random() * 1e6, 7.0, 7.25, -rnd.random() * 100])) for _ in range(400)] + [("one", 0, 5.0), ("none", 0, None)]
+    rows += [("hot", 1, 3.0)] * 300
+    frame = spark.createDataFrame(rows, "k string, j int, v double").repartition(7)
+    want = {}
+    for k, j, v in rows:
+        if v is not None:
+            want.setdefault({"": (), "k": (k,), "kj": (k, j)}["".join(keys)], []).append(v)
+    got = {tuple(r[:-1]): r.m for r in ranking.upper_median_by_rank(frame, keys, "v", "m").collect()}
+    assert got == {k: sorted(x)[len(x) // 2] for k, x in want.items()}
+    assert ranking.upper_median_by_rank(frame.limit(0), keys, "v").count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(i, (i * 7919) % 1000) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "rank long, v long").repartition(6)
+    got = {r.v: (r.rank, r.no) for r in ranking.numbered(frame, [F.desc("v")], "no").collect()}
+    assert {v: n for v, (_, n) in got.items()} == {v: 1000 - v for v in range(1000)} and ranking.numbered(frame.limit(0), [F.asc("v")]).count() == 0
+
+
 def test_slot_starts_of_any_stretches(spark):
     rnd = random.Random(12)
     rows, want = [], {}

@@ -43,7 +43,8 @@ def test_legacy_and_logs(spark):
     assert [(r.date, r.generated_at, r.posts[0].views) for r in got] == [("2026-01-02", "2026-01-02T12:00:00+09:00", 3)]
     log = spark.createDataFrame([(i, "x" * 10 if i % 3 else "y" * 10) for i in range(100)], "i int, t string")
     assert sorted(r.i for r in sinks.retained(log, "i", "t", 5, 35).collect()) == [97, 98, 99]
-    assert sinks.changed(log, "i", "t").count() == 67
+    two = log.withColumn("k", F.lit("a")).unionByName(log.withColumn("k", F.lit("b")))
+    assert sorted(sinks.changed(two, "k", "i", "t").groupBy("k").count().collect()) == [("a", 67), ("b", 67)]
     posts = spark.createDataFrame([("s", "t", "http://x", 1), ("s", "t", "js:x", 1)], "source string, title string, url string, secret int")
     assert sinks.public_rows(posts).columns == ["source", "title", "url"] and sinks.public_rows(posts).count() == 1
 

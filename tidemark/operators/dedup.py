@@ -85,12 +85,17 @@ def capacity_fill(ranked: DataFrame, previous: DataFrame, cap: int = 25) -> Data
     return fits.withColumn("rank", base.scalar() + F.row_number().over(Window.orderBy("arrival"))).drop("_p", "_n")
 
 
+#: Words of a line's digest that are added up, and hexadecimal digits of each.
+SIGN_WORDS, SIGN_DIGITS = 5, 8
+
+
 def relation_signature(df: DataFrame, line: Column) -> DataFrame:
-    """One row, signature: a digest of all lines that doesn't depend on their order; of no rows that of no lines.
+    """One row, signature: a digest of all lines that doesn't depend on their order, but on how often each is there; of no rows that of none.
 
-    Lines are sorted and digested by the first two hex digits of their own digest, then the digests of all those. No
-    task or the driver sees all lines.
+    The words of the lines' digests are added up, word by word, and their sums and the number of lines digested: sums are partial in each
+    task, so nothing holds lines, and a relation's sums are those of its parts added. Null lines are as no lines.
     """
-    lines = df.select(F.sha1(line).alias("_h"))
-    parts = lines.groupBy(F.substring("_h", 1, 2).alias("_p")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("_h")), "\n")).alias("_d"))
-    return parts.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), "\n")).alias("signature"))
+    words = lambda h: [F.conv(F.substring(h, 1 + SIGN_DIGITS * i, SIGN_DIGITS), 16, 10).cast("decimal(38,0)") for i in range(SIGN_WORDS)]
+    lines = df.select(F.sha1(line).alias("_h")).where("_h IS NOT NULL")
+    sums = lines.agg(F.count(F.lit(1)).cast("string").alias("_n"), *[F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"_w{i}") for i, w in enumerate(words(F.col("_h")))])
+    return sums.select(F.sha1(F.concat_ws("|", "_n", *[f"_w{i}" for i in range(SIGN_WORDS)])).alias("signature"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import tenths
+from tidemark.session import cut
 
 #: Fixed values of the scoring rules.
 STEP, CAP, PENALTY, HALF_LIFE_H, DECAY_DAYS, MAX_AGE_DAYS = 1.5, 25, 0.6, 24.0, 90.0, 90.0
@@ -24,17 +25,44 @@ def position_score(source: str = "source", arrival: str = "arrival") -> Column:
     return F.greatest(F.lit(0.0), F.lit(100.0) - STEP * place)
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: element n // 2 of the sorted values."""
-    kept = F.array_sort(F.collect_list(values))
-    return F.try_element_at(kept, (F.floor(F.size(kept) / 2) + 1).cast("int"))
+#: Buckets of values: so many for each factor of e.
+BUCKETS = 64
 
 
 def upper_median_by_rank(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """Upper medians by a window's row numbers, so that groups of any size spill instead of filling an array."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias(name))
+    """Upper medians (element n // 2 of the sorted values) of each key: counts by value, then by bucket, then the one bucket that has it.
+
+    Equal values are counted before the shuffle; of a key a task sorts its buckets, some thousands whatever the rows, and the different
+    values of one bucket. Null values don't count, null keys are keys. No keys: one row over all, none without values.
+    """
+    v, own = F.col("_v"), [f"_k{i}" for i in range(len(keys))] or ["_k"]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own)] or [F.lit(1).alias("_k")]
+    counts = df.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("_v")).groupBy(*own, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS))
+    buckets = counts.groupBy(*own, "_b").agg(F.sum("_c").alias("_c"))
+    by = Window.partitionBy(*own)
+    upto = F.sum("_c").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    found = buckets.select(*own, "_b", (upto - F.col("_c")).alias("_before"), upto.alias("_upto"), F.floor(F.sum("_c").over(by) / 2).alias("_at")).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_upto")))
+    hit = found.select(*[F.col(o).alias(f"{o}_") for o in own], F.col("_b").alias("_b_"), (F.col("_at") - F.col("_before")).alias("_rest"))
+    same = F.col("_b") == F.col("_b_")
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
+    inside = counts.join(hit, same).select(*own, "_v", "_rest", F.sum("_c").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+    median = inside.where(F.col("_upto") > F.col("_rest")).groupBy(*own).agg(F.min("_v").alias(name))
+    return median.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its rows' numbers from 1 in an order of all rows, which should have no ties.
+
+    Rows are range-partitioned by the order and numbered within each range after those of the ranges before, so no task sorts more than a
+    range; the rows go to a checkpoint, as their ranges must not change between counting and numbering.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_range", "_i", "_before")
 
 
 def _log_share(value: Column, most: Column) -> Column:
@@ -61,11 +89,7 @@ def estimated_views(posts: DataFrame) -> DataFrame:
     raw = F.when(F.col("views") > 0, F.col("views").cast("double")).when(F.col("comments") > 0, VIEWS_A_COMMENT * F.col("comments")).when(F.col("likes") > 0, VIEWS_A_LIKE * F.col("likes"))
     known = posts.withColumn("_raw", raw)
     own = upper_median_by_rank(known, ["source"], "_raw", "_own").withColumnRenamed("source", "_source")
-    # the overall median over counts by value, so that no task sorts all rows
-    values = known.where("_raw IS NOT NULL").groupBy("_raw").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.orderBy("_raw")
-    every = values.select("_raw", F.sum("_c").over(run).alias("_to"), F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    overall = every.where(F.col("_to") > F.floor(F.col("_all") / 2)).agg(F.min("_raw").alias("_overall"))
+    overall = upper_median_by_rank(known, [], "_raw", "_overall")
     base = F.coalesce(F.col("_own"), overall.scalar(), F.lit(UNKNOWN_VIEWS))
     out = known.join(own, F.col("source").eqNullSafe(F.col("_source")), "left")
     return out.withColumn("estimate", F.coalesce("_raw", base * F.greatest(F.lit(0.2), F.col("position") / 100) * 1.5)).drop("_raw", "_own", "_source")

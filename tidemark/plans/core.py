@@ -130,12 +130,9 @@ n AS (SELECT *, row_number() OVER (ORDER BY step, CASE WHEN step = 1 THEN rank E
 
 @query(f"WITH {_TOPK} SELECT arrival, source, rank, pick FROM n WHERE pick <= 20")
 def diversified_topk(spark, sf_dir):
-    from pyspark.sql import Window
-
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    # only what can be picked needs a rank, but the query ranks all orders as the operator's input
-    ranked = joined.select(
-        F.col("o_orderkey").alias("arrival"), F.col("c_mktsegment").alias("source"), F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rank"),
+    ranked = R.numbered(joined, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select(
+        F.col("o_orderkey").alias("arrival"), F.col("c_mktsegment").alias("source"), "rank",
         (F.col("o_totalprice") / (1 + F.col("o_orderkey") % 97)).alias("rank_score"),
         ((F.col("o_orderdate") >= F.lit("2001-07-25").cast("timestamp_ntz")) | (F.col("o_orderdate") < F.lit("1995-01-05").cast("timestamp_ntz"))).alias("is_candidate"),
     )
@@ -210,8 +207,9 @@ def capacity_fill(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT sha1(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || l_returnflag || l_linestatus) AS h FROM lineitem),
-p AS (SELECT substr(h, 1, 2) AS p, sha1(string_agg(h, chr(10) ORDER BY h)) AS d FROM l GROUP BY 1)
-SELECT sha1(string_agg(d, chr(10) ORDER BY p)) AS signature FROM p""")
+w AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(h, 1, 8))::BIGINT), 0) AS a, coalesce(sum(('0x' || substr(h, 9, 8))::BIGINT), 0) AS b, coalesce(sum(('0x' || substr(h, 17, 8))::BIGINT), 0) AS c,
+  coalesce(sum(('0x' || substr(h, 25, 8))::BIGINT), 0) AS d, coalesce(sum(('0x' || substr(h, 33, 8))::BIGINT), 0) AS e FROM l WHERE h IS NOT NULL)
+SELECT sha1(n || '|' || a || '|' || b || '|' || c || '|' || d || '|' || e) AS signature FROM w""")
 def relation_signature(spark, sf_dir):
     line = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus"))
     return D.relation_signature(table(spark, sf_dir, "lineitem"), line)
@@ -399,14 +397,12 @@ def issue_board(spark, sf_dir):
     """Issues among parts as posts: brands are sources, names and types the titles."""
     from datetime import datetime
 
-    from pyspark.sql import Window
-
     from tidemark.operators import issues as I
 
     i = F.col("p_partkey")
     title = F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("no"), F.col("p_size").cast("string")))
-    rows = table(spark, sf_dir, "part").select(
-        i.alias("id"), F.col("p_brand").alias("source"), title.alias("title"), i.cast("string").alias("url_key"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("rank"),
+    rows = R.numbered(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.asc("p_partkey")]).select(
+        i.alias("id"), F.col("p_brand").alias("source"), title.alias("title"), i.cast("string").alias("url_key"), "rank",
         (F.col("p_retailprice") / 20).alias("rank_score"), F.col("p_size").cast("long").alias("comments"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), i.cast("int") % 24)).alias("event_ts"),
     )
     history = rows.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("round_no"), "url_key", "id").where(F.col("id") % 5 <= F.col("round_no")).select("round_no", "url_key")

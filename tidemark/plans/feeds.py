@@ -122,9 +122,9 @@ def mean_place(spark, sf_dir):
     return I.mean_place(rows, "p_brand").withColumn("place", r6(F.col("place")))
 
 
-@query("SELECT count(DISTINCT l_partkey) AS in_issues FROM lineitem WHERE l_orderkey % 3 = 0")
+@query("SELECT count(DISTINCT l_partkey) AS in_issues FROM lineitem")
 def posts_in_issues(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ranks"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ranks"))
     return I.posts_in_issues(found)
 
 
@@ -143,11 +143,11 @@ def audio_queue(spark, sf_dir):
     return I.audio_queue(days, today, F.lit("1998-01-19").cast("date")).select(F.col("day").cast("string").alias("day"), F.col("turn").cast("long").alias("turn"))
 
 
-@query("""WITH h AS (SELECT user_id AS source, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 20 THEN 'missing' ELSE 'ok' END AS status FROM events WHERE user_id < 100 GROUP BY 1)
+@query("""WITH h AS (SELECT user_id AS source, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 20 THEN 'missing' ELSE 'ok' END AS status FROM events GROUP BY 1)
 SELECT source, status, row_number() OVER (ORDER BY status = 'ok', source) AS place FROM h""")
 def problem_list(spark, sf_dir):
     bad = F.count_if(F.col("event_type") == "error") > 20
-    health = table(spark, sf_dir, "events").where("user_id < 100").groupBy(F.col("user_id").alias("source")).agg(F.when(bad, "missing").otherwise("ok").alias("status"))
+    health = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.when(bad, "missing").otherwise("ok").alias("status"))
     return I.problem_list(health).select("source", "status", F.col("place").cast("long").alias("place"))
 
 

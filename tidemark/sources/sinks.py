@@ -29,9 +29,9 @@ def retained(log: DataFrame, order: str, text: str, rows: int = LOG_ROWS, size:
     return newest.withColumn("_bytes", run).where(F.col("_bytes") <= size).drop("_bytes")
 
 
-def changed(log: DataFrame, order: str, text: str) -> DataFrame:
-    """Entries that differ from the one before."""
-    before = F.lag(text).over(Window.orderBy(order))
+def changed(log: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Entries that differ from the one before of their key (a site, a feed)."""
+    before = F.lag(text).over(Window.partitionBy(key).orderBy(order))
     return log.withColumn("_before", before).where(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
 
 
