@@ -21,6 +21,7 @@ from tidemark.session import ensure_checkpoint_dir, table
 from tidemark.sources import listing as L
 from tidemark.sources import probes as PR
 from tidemark.sources import scan as S
+from tidemark.streaming import processors as G
 
 
 def ntz(text: str):
@@ -384,3 +385,17 @@ def probe_records(spark, sf_dir):
     """Every page as a probe's answer, each fifth of them as not found."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("final_url"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.coalesce("html", F.lit("")).cast("binary").alias("body"))
     return PR.probed(pages).select("page_id", "title", "article_links", PR.feed_items(F.col("body")).alias("feed_items"), "verdict")
+
+
+# gates
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id AS feed, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT feed, sec, i, true AS allowed, sec AS prev FROM s WHERE i = 1
+  UNION ALL SELECT s.feed, s.sec, s.i, s.sec - r.prev >= 420, CASE WHEN s.sec - r.prev >= 420 THEN s.sec ELSE r.prev END FROM r JOIN s ON s.feed = r.feed AND s.i = r.i + 1)
+SELECT feed, count(*) AS wishes, count(*) FILTER (WHERE allowed) AS runs FROM r GROUP BY feed""")
+def run_guard(spark, sf_dir):
+    """Events as wishes to run of their users: how many the guard of the interval lets through."""
+    wishes = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("feed"), F.lit("run").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.lit("ok").alias("outcome"))
+    decisions = G.gate_replay(wishes.withColumn("feed", F.col("feed").cast("string")))
+    return decisions.groupBy(F.col("feed").cast("long").alias("feed")).agg(F.count(F.lit(1)).alias("wishes"), F.count_if("allowed").alias("runs"))
