@@ -360,7 +360,21 @@ def clean_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.clean_url(F.col("url")).alias("url"))
 
 
-@query()
+#: What the generator escapes in texts and attributes.
+_ESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&"))
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+def _unescaped(x: str) -> str:
+    for one, other in _ESCAPES:
+        x = f"replace({x}, '{one}', '{other}')"
+    return x
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS href, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS title, generate_subscripts(regexp_extract_all(html, '{_LINK}', 2), 1) AS i FROM pages),
+t AS (SELECT page_id, i, {_unescaped('href')} AS href, trim(regexp_replace({_unescaped('title')}, '\\s+', ' ', 'g')) AS title FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM t WHERE length(title) >= 1)
+SELECT page_id, pos, href, title, greatest(0.0, 100 - 1.5 * pos)::DOUBLE AS position FROM n""")
 def html_rows(spark, sf_dir):
     from tidemark.sources.pages import html_rows as rows
 
