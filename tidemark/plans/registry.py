@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import feeds  # noqa: F401  registers its queries
+from tidemark.plans import feeds, texts  # noqa: F401  register their queries
 from tidemark.plans.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
