@@ -71,11 +71,7 @@ def test_titles(spark):
     assert each(spark, ["[a][b c] d", "none"], text.bracket_tags) == [["a", "b c"], []]
     assert each(spark, ["x" * 131, "x" * 130, " y "], text.ellipsis) == ["x" * 130 + "…", "x" * 130, "y"]
     assert each(spark, ["Ab1", "a", "", None, "aaa"], text.bigrams) == [["ab", "b1"], [], [], [], ["aa"]]
-    assert each(spark, ["학교에서는", "학교는", "나는", "abc"], text.strip_particle) == ["학교", "학교", "나는", "abc"]
-    found = each(spark, ["[유머] 축구가 GOAL 30대 a"], text.tokens)[0]
-    assert [(t.norm, t.kind) for t in found] == [("축구", "N"), ("GOAL", "L"), ("30대", "D"), ("A", "S")]
     assert each(spark, ["## One\ntext\n## Two\n### no\n## Three\n## Four"], text.headings) == [["One", "Two", "Three"]]
-    assert each(spark, ["# Hi **you** [a](http://b) 😀"], text.speech) == ["Hi you a"]
 
 
 def test_jaccard(spark):

@@ -1,4 +1,4 @@
-"""Titles, tokens and bigrams."""
+"""Titles, words and bigrams."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def bracket_tags(title: Column) -> Column:
     return F.regexp_extract_all(title, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
 
 
-def title_body(title: Column) -> Column:
-    """Squeezed title without bracket tags and single jamo."""
-    return squeeze(F.regexp_replace(F.regexp_replace(title, r"\[[^\[\]]+\]", " "), r"[ㄱ-ㅎㅏ-ㅣ]+", " "))
-
-
 def bigrams(text: Column) -> Column:
     """Sorted distinct pairs of neighbouring Hangul, Latin letters and digits, in lower case; empty for shorter texts."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z가-힣]", "")
@@ -61,38 +56,6 @@ def words(text: Column, least: int = 2) -> Column:
     return F.array_distinct(F.filter(parts, lambda w: F.char_length(w) >= least))
 
 
-#: Particles that end Korean nouns, longest first: fixed values.
-PARTICLES = ("에서는", "으로", "에서", "에게", "까지", "부터", "이라", "하는", "은", "는", "이", "가", "을", "를", "에", "의", "와", "과", "도", "로", "만")
-
-
-def strip_particle(word: Column) -> Column:
-    """A Hangul word of three or more syllables without one particle at its end, if two syllables are left."""
-    pattern = f"^([가-힣]{{2,}})(?:{'|'.join(PARTICLES)})$"
-    return F.when((F.char_length(word) >= 3) & word.rlike(pattern), F.regexp_extract(word, f"^([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})$", 1)).otherwise(word)
-
-
-def tokens(title: Column) -> Column:
-    """array<struct<surface, norm, kind>>: Latin words in upper case are L, numbers with what follows D, Hangul words without
-    their particle N; words with one character, once stripped, are S."""
-    pieces = F.regexp_extract_all(title_body(title), F.lit(r"([0-9][0-9,.]*[가-힣A-Za-z%]*|[A-Za-z][A-Za-z0-9]*|[가-힣]+)"), F.lit(1))
-
-    def made(p: Column) -> Column:
-        latin, number = p.rlike("^[A-Za-z]"), p.rlike("^[0-9]")
-        norm = F.when(latin, F.upper(p)).when(number, F.replace(p, F.lit(","), F.lit(""))).otherwise(strip_particle(p))
-        kind = F.when(F.char_length(norm) < 2, "S").when(latin, "L").when(number, "D").otherwise("N")
-        return F.struct(p.alias("surface"), norm.alias("norm"), kind.alias("kind"))
-
-    return F.transform(pieces, made)
-
-
 def headings(markdown: Column, most: int = 3) -> Column:
     """First '## ' headings of a Markdown text."""
     return F.slice(F.regexp_extract_all(markdown, F.lit(r"(?m)^##[ \t]+([^\n]+)$"), F.lit(1)), 1, most)
-
-
-def speech(markdown: Column) -> Column:
-    """Markdown without marks, links and symbols, for reading aloud."""
-    out = F.regexp_replace(markdown, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(?m)^#+[ \t]*", "")
-    out = F.regexp_replace(out, r"[*_`>~]+", "")
-    return squeeze(F.regexp_replace(out, r"[\p{So}\p{Cs}\p{Co}]", ""))

@@ -7,25 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import fixed_words as words
 from tidemark.functions.text import bigrams
 
-# Fixed values of the language's rules.
-#: Endings cut from a word, the longest first; cities that end like one; one-syllable particles, and those that go even if their
-#: stem isn't a word of its own; nouns that end like a predicate.
-ENDINGS = (
-    "하더라구요 더라구요 더라고요 가보셨어요 셨어요 았어요 었어요 겠어요 겠습니다 합니다 습니다 됩니다 입니다 이에요 아요 어요 네요 군요 더라고 더라구 는데요 인데요 은데요 했어요 봤어요 왔어요 "
-    "아버린 어버린 라버린 아버려 어버려 버린 버려 으려고 려고 라고 이라고 는지 은지 을지 ㄹ지 면서 으면서 이다 하다 됐다 했다 같다 싶다 지만 지는 으로 에서 에게 한테 처럼 만큼 보다 까지 부터 "
-    "이며 이고 이랑 이죠 이요 는걸 은걸 ㄴ걸 는게 은게 ㄴ게 았던 었던 던 았 었"
-).split()
-KEEP = ("런던",)
-PARTICLES, ALWAYS = "이가은는을를에의와과로도만들랑", "에을를는와들"
-NOUNS_IN_GO = ("냉장고", "광고", "창고", "재고", "경고", "신고", "최고", "사고", "보고서")
-#: Syllables within, and endings, of predicates; last syllables of longer ones that no ending was cut from.
-PREDICATE_IN = "했됐였었았겠싶같있없않"
-PREDICATE_END = (
-    "다 요 죠 네 냐 니 까 래 대요 래요 세요 군 구나 더라 더니 는데 은데 던데 니까 려고 려는 면서 지만 고요 거든 하는 하던 하게 하고 해서 하며 하면 하려 한테 해야 해줘 해봐 하자 하니 된 되는 되고 될 됨 함 싶은 싶어"
-).split()
-PREDICATE_LAST = "고던린른며게서지"
+# Fixed values of the language's rules: words from fixed_words, patterns here.
+ENDINGS, KEEP, NOUNS_IN_GO, PREDICATE_END = words.ENDINGS, words.KEEP, words.NOUNS_IN_GO, words.PREDICATE_END
+PARTICLES, ALWAYS, PREDICATE_IN, PREDICATE_LAST = ("".join(x) for x in (words.PARTICLES, words.ALWAYS, words.PREDICATE_IN, words.PREDICATE_LAST))
 #: Tags of boards, marks of files, counts that tie titles, and Chinese characters that stand for names.
 BOARD = r"^(?:[가-힣]{1,3}갤|싱글벙글)$"
 FILE_MARK = r"(?i)\.+\s*(?:jpg|jpeg|jpf|gif|png|mp4|twt|txt|manhwa|webp|avi|mov)\b"
@@ -34,15 +21,7 @@ JAMO = "[ㄱ-ㅎㅏ-ㅣ]+"
 COUNTED = r"([0-9]+(?:개월|살|대|kg|km))"
 HANJA = ((r"李\s*대통령", "이재명 대통령"), (r"尹\s*(?:전\s*)?대통령", "윤석열 대통령"), (r"文\s*(?:전\s*)?대통령", "문재인 대통령"), ("與", "여당 "), ("野", "야당 "))
 ALIAS = {"PUBG": "배그", "펍지": "배그", "배틀그라운드": "배그", "TANVUU": "탄부", "방플러": "방플", "마운자": "마운자로"}
-ADVERBS = (
-    "제대로 점점 보고 좀 다시 많이 진짜로 같이 겨우 엄청 아직도 이제 걍 딱 또 막 왜 뭐 잘 못 안 다 단 근데 나도 저도 제가 내가 너네 님들 저희 이거 저거 그짝 무조건 솔직한 정말로 아주 결국 "
-    "수준 근황 최신 실시간 공식 실제 이유 장면 상황 반응 후기 결론 정체 요즘 오늘자 전국민이 유일한 있었다 좋다 싶은 누가 누구 이상한"
-).split()
-TAG_STOP = tuple(
-    "약혐,혐,스포,스포x,스포?,ㅇㅎ,후방,펌,블라,속보,단독,안내,공지,속보/교도,정보,유머,재업,포텐대비 재업,그림,네이버,스토브,네이버페이,한국닌텐도,애플tv스토어,추측,수정,인터뷰③,헬시타임,정치,펌글".split(",")
-)
-LATIN_STOP = ("JPG", "GIF", "MP4", "TXT", "SNS", "TOP", "TMI", "OK", "VS", "FEAT")
-LINK_STOP = tuple("사태 난리 대형 대형사고 충격 역대 최악 긴급 속보 단독 현재 오늘 어제 방금 논란 사건 사고 의혹 근황 상황 결말 정리 요약".split())
+ADVERBS, TAG_STOP, LATIN_STOP, LINK_STOP = words.ADVERBS, words.TAG_STOP, words.LATIN_STOP, words.LINK_STOP
 #: Words too general to tie titles alone, and words that are never kept. Long lists belong to a site; these are this library's own.
 GENERIC = ("news", "today", "video", "people", "photo", "오늘", "사람", "근황", "후기", "영상", "사진", "한국", "미국", "일본", "중국", "대통령", "정부", "게임", "영화", "논란")
 STOP = ("종합", "기자", "뉴스", "공유", "추천", "출처", "대박", "인정", "공감", "레전드", "완료", "진행", "시작", "확인")
@@ -54,7 +33,7 @@ class Rules:
 
     generic: tuple[str, ...] = GENERIC
     stop: tuple[str, ...] = STOP
-    adverbs: tuple[str, ...] = tuple(ADVERBS)
+    adverbs: tuple[str, ...] = ADVERBS
     tag_stop: tuple[str, ...] = TAG_STOP
     latin_stop: tuple[str, ...] = LATIN_STOP
     link_stop: tuple[str, ...] = LINK_STOP

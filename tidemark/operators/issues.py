@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.fixed_words import WHY_EVENTS
 from tidemark.functions.titles import Rules, features, split_title
 from tidemark.operators import naming
 from tidemark.operators.graph import components as every_component
@@ -23,13 +24,12 @@ from tidemark.operators.stats import heat, second_earliest, spread_heat
 from tidemark.session import cut
 
 # Fixed values of the sites: titles that offer goods; titles that don't go on top, that count for less, and that jest; what no name
-# has; events that a title may explain.
+# has.
 DEAL = r"네이버페이|네페|적립|[0-9]+원\s*\+|할인|세일|특가|쿠폰|\(무료\)|/무료\)|핫딜|\$[0-9]+"
 UNSAFE = r"ㅈ됐|ㅈ된|ㅈ같|약혐|혐\)|ㅇㅎ|ㅎㅂ|후방|19금|오르가즘|야짤|노출|섹스|야스|씹|존나|좆|씨발|시발|ㅅㅂ|새끼|병신|ㅂㅅ|지랄|북돼지|니미"
 LEWD = r"약혐|혐\)|ㅇㅎ|후방|19금|오르가즘|야짤|노출|ㅗ"
 MEME = r"ㅋㅋ|ㄷㄷ|ㅎㅎ|존나|시발|씨발|ㅅㅂ|새끼"
 PROFANITY = r"존나|좆|씨발|시발|ㅅㅂ|새끼|병신|ㅂㅅ|개새|지랄|닥쳐|북돼지"
-WHY_EVENTS = "사건 사고 논란 의혹 폭발 사과문 사과 지지율 부상 은퇴 열애 결혼 사망 구속 기소 체포 탈퇴 해체 출시 먹튀 난동 폭행 출현 반전".split()
 NUMBER = r"^[0-9]"
 #: Fixed values of the clustering rules.
 MERGE_CO, MERGE_SHARE, BIG_POSTS, BIG_SOURCES, COHESION, SURE_POSTS = 2, 0.3, 15, 8, 0.5, 4
