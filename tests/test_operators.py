@@ -1,5 +1,6 @@
 """Operators on small tables against plain Python."""
 
+import hashlib
 import json
 import math
 import random
@@ -77,6 +78,20 @@ def test_signature(spark):
     assert one != dedup.relation_signature(a.unionByName(a), F.concat_ws("|", "i", "t")).first() and len(dedup.relation_signature(a.limit(0), F.col("t")).first().signature) == 40
 
 
+def test_signature_digests_sorted_lines(spark):
+    lines = [None if i % 50 == 0 else f"{i % 700}|x" for i in range(3000)]
+    groups = {}
+    for h in sorted(hashlib.sha1(x.encode()).hexdigest() for x in lines if x):
+        groups.setdefault(h[:2], []).append(h)
+    want = hashlib.sha1("\n".join(hashlib.sha1("\n".join(groups[p]).encode()).hexdigest() for p in sorted(groups)).encode()).hexdigest()
+    frame = spark.createDataFrame([(x,) for x in lines], "t string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go over batches
+    try:
+        assert dedup.relation_signature(frame, F.col("t")).first().signature == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def tried_in_order(posts):
     """Posts kept by trying them one by one."""
     urls, paths, kept = set(), {}, []

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,17 +90,34 @@ def capacity_fill(ranked: DataFrame, previous: DataFrame, cap: int = 25) -> Data
     return fits.withColumn("rank", base.scalar() + F.row_number().over(Window.orderBy("arrival"))).drop("_p", "_n")
 
 
-#: Words of a line's digest that are added up, and hexadecimal digits of each.
-SIGN_WORDS, SIGN_DIGITS = 5, 8
+def _run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (prefix, digest), whole prefixes -> (prefix, digest of its digests, one a line). Holds a batch at most."""
+    at, made = None, None
+    done: list[tuple[str, str]] = []
+    for batch in batches:
+        prefixes, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        begin = 0
+        while begin < len(prefixes):
+            end = bisect_right(prefixes, prefixes[begin], begin)
+            if prefixes[begin] != at:
+                if made is not None:
+                    done.append((at, made.hexdigest()))
+                at, made = prefixes[begin], hashlib.sha1()
+            else:
+                made.update(b"\n")
+            made.update("\n".join(digests[begin:end]).encode())
+            begin = end
+    if made is not None:
+        done.append((at, made.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([d for _, d in done], pa.string())], ["_p", "_d"])
 
 
 def relation_signature(df: DataFrame, line: Column) -> DataFrame:
     """One row, signature: a digest of all lines that doesn't depend on their order, but on how often each is there; of no rows that of none.
 
-    The words of the lines' digests are added up, word by word, and their sums and the number of lines digested: sums are partial in each
-    task, so nothing holds lines, and a relation's sums are those of its parts added. Null lines are as no lines.
+    Digests of lines are sorted and digested by their first two hexadecimal digits, then the digests of those 256 groups in order. A
+    group's digests are sorted by Spark and digested as they stream by, so no task, array or the driver holds them. Null lines are as no lines.
     """
-    words = lambda h: [F.conv(F.substring(h, 1 + SIGN_DIGITS * i, SIGN_DIGITS), 16, 10).cast("decimal(38,0)") for i in range(SIGN_WORDS)]
-    lines = df.select(F.sha1(line).alias("_h")).where("_h IS NOT NULL")
-    sums = lines.agg(F.count(F.lit(1)).cast("string").alias("_n"), *[F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"_w{i}") for i, w in enumerate(words(F.col("_h")))])
-    return sums.select(F.sha1(F.concat_ws("|", "_n", *[f"_w{i}" for i in range(SIGN_WORDS)])).alias("signature"))
+    lines = df.select(F.sha1(line).alias("_h")).where("_h IS NOT NULL").select(F.substring("_h", 1, 2).alias("_p"), "_h")
+    parts = lines.repartition("_p").sortWithinPartitions("_p", "_h").mapInArrow(_run_digests, "_p string, _d string")
+    return parts.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), "\n")).alias("signature"))
