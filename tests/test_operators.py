@@ -246,6 +246,26 @@ def test_jaccard_pairs(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
+def test_jaccard_pairs_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)  # elements' lists go over many blocks
+    rnd = random.Random(5)
+    rows = [(f"k{i}", sorted({"hot", *(f"w{rnd.randrange(25)}" for _ in range(rnd.randrange(9)))})) for i in range(90)] + [("only", ["alone", "apart"])]
+    got = similarity.jaccard_pairs(spark.createDataFrame(rows, "id string, s array<string>"), "id", "s", 0.6).collect()
+    want = {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in rows for j, y in rows if i < j and len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y))}
+    assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
+
+
+def test_candidates_choose_as_all_posts(spark):
+    rnd = random.Random(7)
+    sets = [[], ["ab", "bc"], ["ab", "bc", "cd"], ["xy", "yz"], ["pq"], ["mn", "no"], ["st", "tu"]]
+    rows = [(i % 3, i, f"s{rnd.randrange(12)}", f"t{i}", rnd.choice(sets), i, rnd.random() < 0.4, float(rnd.randrange(6))) for i in range(1500)]
+    posts = spark.createDataFrame(rows, "issue long, id long, source string, title string, bi array<string>, rank long, unsafe boolean, why double")
+    few = issues.candidates(posts)
+    assert few.groupBy("issue").count().agg(F.max("count")).first()[0] <= len(sets) * 2 * issues.REPS
+    picked = lambda df: {r["issue"]: (r["head"], list(r["reps"])) for _, g in df.toPandas().groupby("issue") for r in issues._chosen(g).to_dict("records")}
+    assert picked(few) == picked(posts)
+
+
 def test_stats(spark):
     rows = spark.createDataFrame([(1, t) for t in ("price of fame", "stock up", "Game on", None)], "i int, text string")
     flags = stats.category_flags(F.col("text"))

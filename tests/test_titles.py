@@ -37,3 +37,9 @@ def test_features(spark):
     assert kws == {1: {"배그", "삼성냉장고", "삼성", "냉장고"}, 2: {"배그", "삼성", "소식"}, 3: {"삼성", "냉장고", "40대"}, 4: {"냉장고", "여자", "배그"}, 5: set(), 6: set()}
     assert got[1].w == "x" and got[5].bi == [] and [t.norm for t in got[3].toks] == ["삼성", "냉장고", "40대"]
     assert titles.features(posts.limit(0)).count() == 0
+
+
+def test_features_of_equal_titles(spark):
+    rows = [(1, "삼성냉장고 샀다"), (2, "삼성 소식"), (3, "삼성 소식"), (4, "냉장고 소식"), (5, "냉장고 소식"), (6, None), (7, None)]
+    got = {r.id: set(r.kws) for r in titles.features(spark.createDataFrame(rows, "id long, title string"), RULES).collect()}
+    assert len(got) == 7 and got[1] == {"삼성냉장고", "삼성", "냉장고"} and got[2] == got[3] and got[6] == got[7] == set()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_words as words
 from tidemark.functions.text import bigrams
+from tidemark.session import cut
 
 # Fixed values of the language's rules: words from fixed_words, patterns here.
 ENDINGS, KEEP, NOUNS_IN_GO, PREDICATE_END = words.ENDINGS, words.KEEP, words.NOUNS_IN_GO, words.PREDICATE_END
@@ -101,14 +102,17 @@ def tokens(parts: Column, rules: Rules) -> Column:
     return F.concat(F.transform(parts["tags"], of_tag), F.transform(pieces, of_piece))
 
 
-def features(posts: DataFrame, rules: Rules = Rules(), key: str = "id", title: str = "title") -> DataFrame:
+def features(posts: DataFrame, rules: Rules = Rules(), title: str = "title") -> DataFrame:
     """posts with body, bi, toks (array<struct<surface, norm, kind>>, boards left out) and kws, the words that tie them.
 
     A word that ends in a particle is its stem where that is a noun of some title; a long word also counts as its two parts where
-    both are words of two titles or more. key is unique. Vocabularies are tables joined by word, never held by one task.
+    both are words of two posts' titles or more. Posts of one title have the same, so what's made of a title is made once. Vocabularies are
+    tables joined by word, never held by one task.
     """
-    parts = posts.select(key, split_title(spelled_out(F.col(title))).alias("_p"), F.regexp_extract_all(spelled_out(F.coalesce(title, F.lit(""))), F.lit(COUNTED), F.lit(1)).alias("_counted"))
-    made = parts.select(key, "_counted", F.col("_p.body").alias("body"), tokens(F.col("_p"), rules).alias("_t"))
+    key = "_title"
+    different = posts.groupBy(F.col(title).alias(key)).agg(F.count(F.lit(1)).alias("_posts"))
+    parts = different.select(key, "_posts", split_title(spelled_out(F.col(key))).alias("_p"), F.regexp_extract_all(spelled_out(F.coalesce(key, F.lit(""))), F.lit(COUNTED), F.lit(1)).alias("_counted"))
+    made = cut(parts.select(key, "_posts", "_counted", F.col("_p.body").alias("body"), tokens(F.col("_p"), rules).alias("_t")))
     each = made.select(key, F.posexplode("_t").alias("_at", "_t")).select(key, "_at", "_t.*")
 
     nouns = each.where("kind = 'N'").select("norm").distinct()
@@ -130,11 +134,11 @@ def features(posts: DataFrame, rules: Rules = Rules(), key: str = "id", title: s
 
     tying = lambda t: t["kind"].isin("N", "L") & (F.char_length(t["norm"]) >= 2) & ~t["norm"].rlike(BOARD) & ~t["norm"].isin(*rules.stop)
     none = F.array().cast("array<struct<surface:string,norm:string,kind:string>>")
-    known = made.select(key, "body", "_counted").join(listed, key, "left").withColumn("toks", F.coalesce("toks", none))
+    known = made.select(key, "_posts", "body", "_counted").join(listed, key, "left").withColumn("toks", F.coalesce("toks", none))
     known = known.withColumn("_kws", F.array_distinct(F.concat(F.transform(F.filter("toks", tying), lambda t: t["norm"]), "_counted")))
 
-    words = known.select(key, F.explode("_kws").alias("w"))
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    words = known.select(key, "_posts", F.explode("_kws").alias("w"))
+    df = words.groupBy("w").agg(F.sum("_posts").alias("df"))
     half = df.where((F.col("df") >= 2) & ~F.col("w").isin(*rules.generic)).select("w")
     long = df.where((F.char_length("w") >= 4) & F.col("w").rlike("^[가-힣]+$")).select("w", F.explode(F.sequence(F.lit(2), F.char_length("w") - 2)).alias("_cut"))
     cuts = long.select("w", "_cut", F.left("w", F.col("_cut")).alias("_a"), F.substring("w", F.col("_cut") + 1, F.char_length("w")).alias("_b"))
@@ -142,4 +146,5 @@ def features(posts: DataFrame, rules: Rules = Rules(), key: str = "id", title: s
     first = both.groupBy("w").agg(F.min_by(F.array("_a", "_b"), "_cut").alias("_ab"))
     added = words.join(first, "w").groupBy(key).agg(F.flatten(F.collect_list("_ab")).alias("_add"))
     out = known.join(added, key, "left").select(key, "body", "toks", F.array_sort(F.array_distinct(F.concat("_kws", F.coalesce("_add", F.array().cast("array<string>"))))).alias("kws"))
-    return posts.drop("body", "toks", "kws", "bi").join(out, key).withColumn("bi", bigrams(F.col("body")))
+    out = out.withColumn("bi", bigrams(F.col("body")))
+    return posts.drop("body", "toks", "kws", "bi").join(out, F.col(title).eqNullSafe(F.col(key))).drop(key)

@@ -113,6 +113,20 @@ def cluster(posts: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFr
     return cut(out), reposts, idf
 
 
+def candidates(posts: DataFrame) -> DataFrame:
+    """Posts (issue, id, source, bi, unsafe, why) of which _chosen() chooses as of all: the first of REPS sources of each set of bigrams, safe or not.
+
+    Of posts of one set, a source's later ones go with its first, and where REPS sources' first ones are gone over, REPS are chosen. So what a
+    task sorts of an issue grows with its different titles, not with its posts.
+    """
+    order = [F.desc("_order"), F.asc("id")]
+    kept = posts.withColumn("_order", F.col("why") - 3 * F.col("unsafe").cast("int")).withColumn("_set", F.md5(F.concat_ws("\x01", F.array_sort(F.array_distinct("bi")))))
+    by = ["issue", "_set", "unsafe"]
+    for keys, most in (([*by, "source"], 1), (by, REPS)):
+        kept = kept.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= most).drop("_i")
+    return kept.drop("_order", "_set")
+
+
 def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
     """Representatives of one issue: by why, one a source, no near copies, unsafe ones only in front; and the first one's title."""
     pdf = pdf.assign(_order=pdf["why"] - 3 * pdf["unsafe"]).sort_values(["_order", "id"], ascending=[False, True], kind="stable")
@@ -202,7 +216,7 @@ def issues(posts: DataFrame, history: DataFrame, as_of: datetime, rules: Rules =
 
     full = cut(full.join(naming.named(full, joined, rules), "issue").drop("pairs"))
     context = joined.join(full.select("issue", "core", "name", F.col("n").alias("_n")), "issue").select("issue", "id", "source", "title", "bi", "rank", F.coalesce(F.col("title").rlike(UNSAFE), F.lit(False)).alias("unsafe"), explained(F.col("core"), F.col("_n"), F.col("name")).alias("why"))
-    chosen = context.groupBy("issue").applyInPandas(_chosen, "issue long, head string, reps array<bigint>")
+    chosen = candidates(context).groupBy("issue").applyInPandas(_chosen, "issue long, head string, reps array<bigint>")
     per = joined.groupBy("issue", "source").agg(F.count(F.lit(1)).alias("n"), F.min("place").cast("long").alias("best"), F.sum("comments").alias("comments"), F.min("id").alias("_first"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "_first", "source", "n", "best", "comments")))
     by_source = per.groupBy("issue").agg(F.transform(listed, lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), x["best"].alias("best"), x["comments"].alias("comments"))).alias("by_source"))
