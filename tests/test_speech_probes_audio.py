@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import unicodedata
 from datetime import date
 
@@ -61,6 +62,16 @@ def test_scripts(spark):
         assert (got[i].text, list(got[i].blocks), list(got[i].titles)) == (want[0], want[1], want[2]), t
 
 
+def test_scripts_of_many_lines(spark):
+    # a fold that copies what it has at each line takes minutes for this
+    text = "intro\n" + "\n".join("## head" if i % 40_000 == 7 else f"line {i}" for i in range(120_000))
+    began = time.monotonic()
+    made = spark.createDataFrame([(text, date(2026, 3, 9))], "md string, d date").select(speech.script(F.col("md"), F.col("d")).alias("s")).first().s
+    assert time.monotonic() - began < 60
+    want = plain_script(text, date(2026, 3, 9))
+    assert (made.text, list(made.blocks), list(made.titles)) == (want[0], want[1], want[2])
+
+
 # probes
 
 

@@ -1,4 +1,4 @@
-"""Scripts for reading a Markdown report aloud: a fold of its lines into an introduction and its sections, in SQL functions."""
+"""Scripts for reading a Markdown report aloud: its lines as an introduction and its sections, in SQL functions."""
 
 from __future__ import annotations
 
@@ -35,12 +35,30 @@ def _word(values: tuple[str, ...], number: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, values)), number - 1), number.cast("string"))
 
 
-def _line(line: Column) -> Column:
-    """struct<title, text>: title of a heading of the second level, else null with what is read of the line ('' if nothing is)."""
-    level = F.char_length(F.regexp_extract(line, HEADING, 1))
-    body = F.regexp_replace(F.regexp_replace(F.when(level > 0, F.regexp_extract(line, HEADING, 2)).otherwise(line), QUOTE, ""), LIST, "")
-    said = plain(body)
-    return F.struct(F.when(level == 2, plain(F.regexp_extract(line, HEADING, 2))).alias("title"), F.when((level != 2) & said.rlike(r"[\p{L}\p{N}]"), ended(said)).otherwise("").alias("text"))
+def _let(value: Column, body) -> Column:
+    """body of a value that is made once, as a lambda's variable: an expression within a lambda is made wherever it's named."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _lines(lines: Column) -> Column:
+    """Structs <head, said> of lines: whether it's a heading of the second level, and its title or what is read of the line ('' if nothing is)."""
+    level = lambda x: F.char_length(x["mark"])
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, HEADING, 1).alias("mark")))
+    told = lambda x: F.when(level(x) > 0, F.regexp_extract(x["line"], HEADING, 2)).otherwise(x["line"])
+    bare = lambda x: F.when(level(x) == 2, told(x)).otherwise(F.regexp_replace(F.regexp_replace(told(x), QUOTE, ""), LIST, ""))
+    made = F.transform(marked, lambda x: F.struct((level(x) == 2).alias("head"), plain(bare(x)).alias("said")))
+    return F.transform(made, lambda x: F.struct(x["head"].alias("head"), F.when(x["head"], x["said"]).when(x["said"].rlike(r"[\p{L}\p{N}]"), ended(x["said"])).otherwise("").alias("said")))
+
+
+def _blocks(lines: Column) -> Column:
+    """Structs <title, body>: the lines before the first heading, then each heading with those up to the next, as stretches between headings' places."""
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(x["head"], i + 1)), lambda i: i.isNotNull())
+
+    def block(start: Column, end: Column) -> Column:
+        body = F.filter(F.slice(lines, start + 1, end - start - 1), lambda x: x["said"] != "")
+        return F.struct(F.get(lines, start - 1)["said"].alias("title"), F.transform(body, lambda x: x["said"]).alias("body"))
+
+    return _let(heads, lambda at: F.transform(F.concat(F.array(F.lit(0)), at), lambda start, k: block(start, F.coalesce(F.get(at, k), F.size(lines) + 1))))
 
 
 def script(markdown: Column, date: Column) -> Column:
@@ -50,23 +68,8 @@ def script(markdown: Column, date: Column) -> Column:
     date is a date. Lines without a letter or digit aren't read; those before the first heading of the second level follow the introduction, and
     headings of other levels are lines. Null Markdown is empty, a null date has a null script.
     """
-    block = "struct<title:string,body:array<string>>"
-    none = F.array().cast("array<string>")
-    start = F.array(F.struct(F.lit(None).cast("string").alias("title"), none.alias("body")).cast(block))
-
-    def folded(blocks: Column, line: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        longer = F.struct(last["title"].alias("title"), F.concat(last["body"], F.array(line["text"])).alias("body"))
-        opened = F.struct(line["title"].alias("title"), none.alias("body"))
-        return (
-            F.when(line["title"].isNotNull(), F.concat(blocks, F.array(opened.cast(block))))
-            .when(line["text"] != "", F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(longer.cast(block)))).otherwise(blocks)
-        )
-
-    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), BREAKS), _line)
-    made = F.aggregate(lines, start, folded)
-    # a lambda's variable, so that the fold is made once
-    return F.transform(F.array(made), lambda b: _script(b, date))[0]
+    lines = _lines(F.split(F.coalesce(markdown, F.lit("")), BREAKS))
+    return _let(_let(lines, _blocks), lambda b: _script(b, date))
 
 
 def _script(blocks: Column, date: Column) -> Column:
@@ -76,5 +79,5 @@ def _script(blocks: Column, date: Column) -> Column:
     intro = F.concat(F.month(date).cast("string"), F.lit(month), F.dayofmonth(date).cast("string"), F.lit(before), _word(COUNTS, F.size(sections)), F.lit(after))
     intro = F.concat_ws(" ", intro, F.array_join(F.element_at(blocks, 1)["body"], " "))
     read = F.transform(sections, lambda s, i: F.trim(F.concat(_word(ORDINALS, i + 1), F.lit(SECTION.removeprefix("{ordinal}")), ended(s["title"]), F.lit(" "), F.array_join(s["body"], " "))))
-    all_blocks = F.concat(F.array(F.trim(intro)), read)
-    return F.when(date.isNotNull(), F.struct(F.array_join(all_blocks, f"\n{PAUSE}\n").alias("text"), all_blocks.alias("blocks"), F.transform(sections, lambda s: s["title"]).alias("titles")))
+    made = _let(F.concat(F.array(F.trim(intro)), read), lambda x: F.struct(F.array_join(x, f"\n{PAUSE}\n").alias("text"), x.alias("blocks"), F.transform(sections, lambda s: s["title"]).alias("titles")))
+    return F.when(date.isNotNull(), made)
