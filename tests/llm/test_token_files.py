@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
@@ -87,6 +88,61 @@ def test_other_tokenizers(name):
         assert np.frombuffer(ours(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_few_strings_for_many_pieces(monkeypatch):
+    """The library gets distinct pieces of all kinds many to a string, and their ids are those of whole texts."""
+    import tokenizers
+
+    given = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(1500)]
+    texts = [" ".join(f"{x}, {x}.{i} #{i} end{x}.\nNext{x}" for i, x in enumerate(names[a : a + 300])) for a in range(0, 1500, 300)]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    token_files._tokenizer.cache_clear()
+    try:
+        found = [token_files._tokenizer(FILE)(x) for x in texts]
+    finally:
+        token_files._tokenizer.cache_clear()
+    theirs = Tokenizer.from_file(FILE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [theirs.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(given) < 400  # of 7,500 pieces at least
+
+
+def test_odd_texts():
+    """Texts of marks, line ends and white space of all kinds, put together at random."""
+    theirs, ours, rnd = Tokenizer.from_file(FILE), token_files._tokenizer(FILE), np.random.default_rng(5)
+    bits = ["a", "Ab", "é", "ß", "你", "١", "7", "1234", ".", ",", "!!", "#", "'s", "'", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "e\u0301", "😀", "<|endoftext|>", "<|", "Ġ", "Ċ", "\x00"]
+    texts = ["".join(rnd.choice(bits, rnd.integers(1, 12))) for _ in range(3000)] + ["\n", " ", "a\n", "\na", "a \nb", "a\n b", "a.\nb.", "a.\nb.\nc"]
+    slices = list(ours.slices(pa.array(texts)))
+    found = [some.tolist() for at, ids, ends in slices for some in np.split(ids, ends[:-1])]
+    assert found == [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_carries():
+    """Words that lanes left behind take carries, over runs of full words too; a block of many lanes comes back whole."""
+    rnd = np.random.default_rng(11)
+    for n, high in ((300_000, 50_257), (70_000, 3), (2_000_000, 40)):
+        ids = (rnd.zipf(1.3, n) % high).astype("<u4")
+        assert (decode_segment(encode_segment(ids)) == ids).all()
+
+
 def test_empty_table(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/e", FILE)
     assert token_files.documents(token_files.read(spark, f"{tmp_path}/e")).count() == 0

@@ -27,9 +27,10 @@ _SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 _INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
 #: Marks that are a match of their own after letters and before a space: never more than one id each.
 _MARKS = ".,;:!?"
-_MARK_PLACES = np.argsort(list(_MARKS))
-_MARK_CODES = np.array(sorted(_MARKS))
-_LETTERS, _MARKED = r"\A\pL+\z", rf"\A\pL+[{_MARKS}]\z"
+_MARK_AT = np.full(256, -1)
+_MARK_AT[list(_MARKS.encode())] = np.arange(len(_MARKS))
+_WORD = rf"\pL+[{_MARKS}]?"
+_ONE, _TWO = rf"\A{_WORD}\z", rf"\A{_WORD}\n{_WORD}\z"
 
 
 class Kept:
@@ -61,11 +62,19 @@ class Kept:
 
 def _gathered(flat: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of flat (one after the other, of these lengths) in the order of code, and the end of each among them."""
-    each = lengths[code]
-    ends = np.cumsum(each)
-    index = np.repeat((np.cumsum(lengths) - lengths)[code] - (ends - each), each)
-    index += np.arange(len(index))
-    return flat[index], ends
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(flat.itemsize * lengths, out=offsets[1:])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    taken = runs.take(pa.array(code))
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(code) + 1)[1:] // flat.itemsize
+    return np.frombuffer(taken.buffers()[2] or b"", flat.dtype, int(ends[-1]) if len(ends) else 0), ends
+
+
+def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words, without the mark at their end, as a dictionary's indices, and the mark's place among _MARKS or -1."""
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(words.buffers()[1] or b"", np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    return pc.utf8_rtrim(words, _MARKS).dictionary_encode(), _MARK_AT[data[ends - 1]]
 
 
 def pieces_of(part: str) -> list[str] | None:
@@ -104,6 +113,15 @@ class PartEncoder:
             self.kept.put(pieces[i], ids)
         return found
 
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        coded = self._ids(pieces)
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct strings of letters, each with a space before it."""
+        return self._pieces([" " + x for x in words.to_pylist()])
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _INNER) if self.cuts else pa.array(np.ones(len(texts), bool))
@@ -120,40 +138,37 @@ class PartEncoder:
         inner = values.dictionary_encode()
         first = values.take(pa.array(starts)).dictionary_encode()
         parts, code = inner.dictionary, inner.indices.to_numpy()
-        # distinct parts: words of letters, such words with a mark, others; then first parts, which have no space before them, and
-        # whole texts. Their pieces: words and marks, all pieces of others and of first parts, whole texts
-        letters = pc.match_substring_regex(parts, _LETTERS)
-        marked = pc.match_substring_regex(parts, _MARKED)
-        rest = pc.invert(pc.or_(letters, marked))
-        stems = parts.filter(marked)
-        words = pa.concat_arrays([parts.filter(letters), pc.utf8_slice_codeunits(stems, 0, -1)]).dictionary_encode()
+        # distinct parts: words, perhaps with a mark; two such with a newline between; others; then first parts, which have no
+        # space before them, and whole texts. Their pieces: words with a space, all others, whole texts
+        one, two = pc.match_substring_regex(parts, _ONE), pc.match_substring_regex(parts, _TWO)
+        rest = pc.invert(pc.or_(one, two))
+        n_one, sides = len(parts.filter(one)), pc.split_pattern(parts.filter(two), "\n").flatten()
+        left = np.arange(0, len(sides), 2)
+        words, mark = _stems(pa.concat_arrays([parts.filter(one), sides.take(pa.array(left))]))
+        lines, mark_of_line = _stems(sides.take(pa.array(left + 1)))
         split = [pieces_of(" " + x) or [" " + x] for x in parts.filter(rest).to_pylist()]
         split += [(pieces_of(x) or [x]) if x else [] for x in first.dictionary.to_pylist()]
-        coded = self._ids([" " + x for x in words.dictionary.to_pylist()])
-        marks_at = len(coded)
-        coded += self._ids(list(_MARKS))
-        more = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(split)), len(coded))}
-        coded += self._ids(list(more))
-        n_letters, n_marked, word = len(words) - len(stems), len(stems), words.indices.to_numpy()
-        mark = np.searchsorted(_MARK_CODES, pc.binary_slice(stems.cast(pa.binary()), -1).cast(pa.string()).to_numpy(zero_copy_only=False).astype("U1")) if n_marked else []
-        pieces = np.concatenate([
-            word[:n_letters],
-            np.stack([word[n_letters:], marks_at + _MARK_PLACES[mark]], axis=1).ravel() if n_marked else np.empty(0, np.int64),
-            np.fromiter(map(more.__getitem__, chain.from_iterable(split)), np.int64),
-            np.arange(len(whole)) + len(coded),
-        ]).astype(np.int64)
-        per_part = np.concatenate([np.ones(n_letters, np.int64), np.full(n_marked, 2), np.fromiter(map(len, split), np.int64, len(split)), np.ones(len(whole), np.int64)])
-        coded += whole
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
-        flat, ends = _gathered(np.frombuffer(b"".join(coded), "<u4"), lengths, pieces)
-        del coded, more, split, words
+        marks_at = len(words.dictionary)
+        of_lines = lines.dictionary.to_pylist()
+        more = {x: i for i, x in enumerate(dict.fromkeys(chain(_MARKS, "\n", of_lines, chain.from_iterable(split))), marks_at)}  # the marks come first
+        coded = [self._words(words.dictionary), self._pieces(list(more))]
+        found = np.full((len(words), 5), -1)
+        found[:, 0], found[:, 1] = words.indices.to_numpy(), np.where(mark < 0, -1, marks_at + mark)
+        found[n_one:, 2], found[n_one:, 4] = more["\n"], np.where(mark_of_line < 0, -1, marks_at + mark_of_line)
+        found[n_one:, 3] = np.fromiter(map(more.__getitem__, of_lines), np.int64, len(of_lines))[lines.indices.to_numpy()]
+        there = found >= 0
+        pieces = np.concatenate([found[there], np.fromiter(map(more.__getitem__, chain.from_iterable(split)), np.int64), np.arange(len(whole)) + marks_at + len(more)])
+        per_part = np.concatenate([there.sum(axis=1), np.fromiter(map(len, split), np.int64, len(split)), np.ones(len(whole), np.int64)])
+        coded.append((np.frombuffer(b"".join(whole), "<u4"), np.fromiter(map(len, whole), np.int64, len(whole)) >> 2))
+        flat, ends = _gathered(*map(np.concatenate, zip(*coded)), pieces)
+        del coded, more, split, words, found, there
         ends = np.concatenate(([0], ends))
         last = np.cumsum(per_part)
         of_part = ends[last] - ends[last - per_part]
         # from places in the dictionary to places in this order
         place = np.empty(len(parts), np.int64)
         at = 0
-        for some in (letters, marked, rest):
+        for some in (one, two, rest):
             here = np.flatnonzero(some.to_numpy(zero_copy_only=False))
             place[here] = np.arange(at, at + len(here))
             at += len(here)

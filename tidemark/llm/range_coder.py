@@ -4,15 +4,17 @@ Three orders predict an id. Order 2 and order 1 are tables, by the two ids befor
 last followed and a confidence; order 0 are adaptive counts of all ids that neither of them gave. An id's
 probability is the mix of the three, with a weight for each order that adapts to how often the orders were right at
 these two confidences, and by whether they agree. The range coder takes an id in one step: an interval of order 2's
-or order 1's weight, or inside that of order 0 the id's own.
+or order 1's weight, or inside that of order 0 the id's own. It leaves words of 16 bits behind; a carry into words that are
+behind already is added when the block is done.
 
 A block is dealt to lanes, stretches of the block that are coded side by side, a step for an id of each lane; all
-lanes teach one model, which a step finds as the steps before left it. All arithmetic is of integers, so any machine
-decodes alike. Every block starts anew and has the checksums of its bytes and of its ids.
+lanes teach one model, which a step finds as the steps before left it. All arithmetic is of integers but for two
+divisions, whose operands are under 2^53 and whose quotients lie further from the next integer than IEEE's rounding goes, so any
+machine decodes alike. Coder and decoder know at which step a lane needs a word, so lanes' words stand in that order. Every block starts anew and has the checksums of its bytes and of its ids.
 
 A segment: MAGIC, then little-endian u32: ids, ids a block, blocks, checksum of the header so far; per block u32
-lanes, alphabet, bytes, checksum of them, checksum of its ids; then the blocks' bytes: u32 words of each lane, then the lanes'
-words of 16 bits.
+lanes, alphabet, bytes, checksum of them, checksum of its ids; then the blocks' bytes, words of 16 bits: the first three of
+each lane, then the others as they are needed.
 """
 
 from __future__ import annotations
@@ -22,20 +24,20 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDR2"
+MAGIC = b"IDR3"
 #: Ids of a block and blocks of a segment at most.
 BLOCK, BLOCKS = 1 << 20, 8
 #: Lanes of a block at most, and ids of a lane that a small block has at least.
 LANES, STRETCH = 4096, 256
 H2 = 1 << 18
 #: Order 0's resolution, and that of the weights.
-FINE, COARSE = 20, 12
+FINE, COARSE = 20, 9
 #: After so many steps, and doubled from there on, order 0 takes up what it has seen.
 REFRESH = 1
 #: Steps from one mix of the weights to the next.
-REMIX = 4
-_BOTTOM, _TOP = np.uint64(1 << 40), np.uint64(1 << 48)
-_S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+REMIX = 8
+#: A lane's range is 2^48 at most, and 2^32 at least.
+_BOTTOM, _TOP, _FIRST = 1 << 32, 1 << 48, 3
 _M1, _M2 = 0x9E3779B1 & (H2 - 1) | 1, 0x85EBCA77 & (H2 - 1) | 1
 
 
@@ -53,12 +55,10 @@ class _Model:
         self.seen = np.tile(np.array([24, 4, 2, 2], np.int64), 32)
         self.count, self.fresh = np.zeros(alphabet, np.int64), []
         self.step, self.due = 0, REFRESH
-        # what an outcome does to an entry: right 1 up, wrong 1 down; at 0 the new id takes its place
+        # what an outcome does to an entry that isn't replaced: right 1 up, wrong 1 down
         confidence2, confidence1 = np.repeat(np.arange(32) >> 3, 4), np.repeat(np.arange(32) >> 1 & 3, 4)
-        right2, right1 = np.tile([0, 1, 0, 1], 32), np.tile([0, 0, 1, 1], 32)
         change = lambda right, sure: np.where(right, (sure < 3) * 1, -1)
-        self.change2, self.change1 = change(right2, confidence2), change(right1, confidence1)
-        self.replace2, self.replace1 = (right2 == 0) & (confidence2 == 0), (right1 == 0) & (confidence1 == 0)
+        self.change2, self.change1 = change(np.tile([0, 1, 0, 1], 32), confidence2), change(np.tile([0, 0, 1, 1], 32), confidence1)
         self._refresh()
 
     def _refresh(self) -> None:
@@ -69,10 +69,10 @@ class _Model:
         free = (1 << FINE) - self.alphabet
         width = 1 + self.count * free // max(int(self.count.sum()), 1)
         width[0] += (1 << FINE) - int(width.sum())  # what rounding leaves
-        self.width = np.append(width, 1).astype(np.uint64)
-        self.begin = np.append(np.cumsum(width) - width, 0).astype(np.uint64)
+        self.width = np.append(width, 1)
+        self.begin = np.append(np.cumsum(width) - width, 0)
         if self.decoding:
-            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), width)
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.uint16), width)
 
     def _mix(self) -> None:
         """Weights, and an outcome's interval: base + unit * (begin of the id in order 0, or 0), unit * (its width there, or 1)."""
@@ -83,34 +83,43 @@ class _Model:
         w0 = (1 << COARSE) - w2 - w1
         mix = np.stack([w0, w2 << FINE, w1 << FINE, w2 << FINE], axis=1)
         base = np.stack([0 * w0, w0, w0 + w2, w0], axis=1) << FINE
-        self.unit, self.base = mix.astype(np.uint64).ravel(), base.astype(np.uint64).ravel()
-        self.w0, self.w02 = np.repeat(w0, 4), np.repeat(w0 + w2, 4)
+        self.unit, self.base = mix.ravel(), base.ravel()
+        if self.decoding:
+            self.w0 = np.repeat(w0, 4).astype(float)
+            self.end0, self.end2 = self.w0 * (1 << FINE), np.repeat(w0 + w2 << FINE, 4).astype(float)
 
-    def predict(self, last: np.ndarray, slot2: np.ndarray) -> np.ndarray:
-        """Each lane's case, as its outcome 0."""
+    def predict(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Each lane's case, as its outcome 0, after these ids and those before them."""
         if self.step == self.due:
             self._refresh()
             self.due *= 2
         if self.step % REMIX == 0:
             self._mix()
-        self.last, self.slot2 = last, slot2
-        self.e2, self.e1 = self.order2.take(slot2), self.order1.take(last)
-        self.id2, self.id1 = self.e2 >> 2, self.e1 >> 2
-        return (self.e2 & 3) << 5 | (self.e1 & 3) << 3 | (self.id2 == self.id1) << 2
-
-    def intervals(self, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each id's interval in 2^32."""
-        place = np.where(outcome & 3, self.alphabet, ids)
-        unit = self.unit.take(outcome)
-        return self.base.take(outcome) + unit * self.begin.take(place), unit * self.width.take(place)
-
-    def update(self, outcome: np.ndarray, ids: np.ndarray) -> None:
+        self.last, self.slot2 = last, (last * _M1 ^ before * _M2) & H2 - 1
+        self.e2, self.e1 = self.order2.take(self.slot2, mode="clip"), self.order1.take(last, mode="clip")  # clip is the fastest mode; no index is out of bounds
+        self.id2, self.id1, self.sure2, self.sure1 = self.e2 >> 2, self.e1 >> 2, self.e2 & 3, self.e1 & 3
+        return self.sure2 << 5 | self.sure1 << 3 | (self.id2 == self.id1) << 2
+
+    def intervals(self, outcome: np.ndarray, ids: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's interval in 2^(FINE + COARSE). right: lanes of which order 2 or 1 is right; they come into outcome."""
+        here = ids.take(right)
+        outcome[right] |= (here == self.id2.take(right)) | (here == self.id1.take(right)) << 1
+        place = ids.copy()
+        place[right] = self.alphabet
+        unit = self.unit.take(outcome, mode="clip")
+        return self.base.take(outcome, mode="clip") + unit * self.begin.take(place, mode="clip"), unit * self.width.take(place, mode="clip")
+
+    def update(self, outcome: np.ndarray, ids: np.ndarray, by0: np.ndarray) -> None:
+        """by0: the ids that order 0 gave."""
         new = ids << 2
-        self.order2[self.slot2] = np.where(self.replace2.take(outcome), new, self.e2 + self.change2.take(outcome))
-        self.order1[self.last] = np.where(self.replace1.take(outcome), new, self.e1 + self.change1.take(outcome))
+        for table, at, entry, sure, id_there, change in ((self.order2, self.slot2, self.e2, self.sure2, self.id2, self.change2), (self.order1, self.last, self.e1, self.sure1, self.id1, self.change1)):
+            there = np.flatnonzero(sure | (ids == id_there))  # others are wrong without confidence: the new id takes their place
+            made = new.copy()
+            made[there] = entry.take(there) + change.take(outcome.take(there))
+            table[at] = made
         self.seen += np.bincount(outcome, minlength=128) << 4
         self.seen -= self.seen >> 5
-        self.fresh.append(ids[outcome & 3 == 0])
+        self.fresh.append(by0)
         self.step += 1
 
 
@@ -120,91 +129,82 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _settle(low: np.ndarray, size: np.ndarray, move) -> None:
-    """Shift words out of lanes whose upper 16 bits are settled or whose range is too small; move(lanes, low) takes or gives a word."""
-    some = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOTTOM))
-    while len(some):
-        x, s = low.take(some), size.take(some)
-        s = np.where((x ^ (x + s)) < _TOP, s, -x & (_BOTTOM - np.uint64(1)))
-        move(some, x)
-        x, s = x << _S16, s << _S16
-        low[some], size[some] = x, s
-        some = some[((x ^ (x + s)) < _TOP) | (s < _BOTTOM)]
-
-
 def _encode_block(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
     """Lanes, and the block's bytes."""
     lanes, steps = _shape(len(ids))
-    padded = np.zeros(lanes * steps, np.int64)  # the last lane is filled with 0
+    padded = np.zeros(lanes * steps, np.uint16)  # the last lane is filled with 0
     padded[: len(ids)] = ids
-    now = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    last = np.vstack([np.zeros((1, lanes), np.int64), now[:-1]])
-    slot2 = (last * _M1 ^ np.vstack([np.zeros((1, lanes), np.int64), last[:-1]]) * _M2) & H2 - 1
-    model, wide = _Model(alphabet, False), 2 * steps + 8
-    out, at = np.zeros(lanes * wide, "<u2"), np.arange(lanes) * wide
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-
-    def move(some: np.ndarray, x: np.ndarray) -> None:
-        place = at.take(some)
-        out[place] = x >> _S48
-        at[some] = place + 1
-
+    now = np.ascontiguousarray(padded.reshape(lanes, steps).T).astype(np.int64)
+    last = before = np.zeros(lanes, np.int64)
+    model = _Model(alphabet, False)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
+    wide = 2 * steps + 8
+    at, words, places = np.arange(lanes) * wide, [], []  # a lane's next place; what the steps leave behind, a word with its carry, and where
     for step in range(steps):
         here = now[step]
-        outcome = model.predict(last[step], slot2[step]) | (here == model.id2) | (here == model.id1) << 1
-        start, width = model.intervals(outcome, here)
-        unit = size >> _S32
+        outcome = model.predict(last, before)
+        by_other = (here == model.id2) | (here == model.id1)
+        start, width = model.intervals(outcome, here, np.flatnonzero(by_other))
+        unit = size >> FINE + COARSE
         low += unit * start
         size = unit * width
-        _settle(low, size, move)
-        model.update(outcome, here)
-    every = np.arange(lanes)
-    for _ in range(4):
-        move(every, low)
-        low <<= _S16
-    used = at - every * wide
-    mine = np.arange(wide) < used[:, None]
-    return lanes, used.astype("<u4").tobytes() + out.reshape(lanes, wide)[mine].tobytes()
+        some = np.flatnonzero(size < _BOTTOM)
+        while len(some):
+            x, s = low.take(some), size.take(some) << 16
+            place = at.take(some)
+            words.append(x >> 32)
+            places.append(place)
+            at[some] = place + 1
+            low[some], size[some] = (x & _BOTTOM - 1) << 16, s
+            some = some[s < _BOTTOM]
+        model.update(outcome, here, here[~by_other])
+        before, last = last, here
+    words += [low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]
+    places += [at, at + 1, at + 2]
+    words, places = np.concatenate(words), np.concatenate(places)
+    out = np.empty(lanes * wide, np.int32)
+    out[places] = words
+    carry = places[words >> 16 != 0]
+    while len(carry):
+        out[carry] &= 0xFFFF
+        out[carry - 1] += 1
+        carry = carry[out[carry - 1] >> 16 != 0] - 1
+    first = np.arange(lanes)[:, None] * wide + np.arange(_FIRST)
+    # a lane needs a word when it leaves the word three places before it behind
+    return lanes, out[np.append(first.ravel(), places[: len(places) - _FIRST * lanes] + _FIRST)].astype("<u2").tobytes()
 
 
 def _decode_block(data: bytes, n: int, lanes: int, alphabet: int) -> np.ndarray:
-    if lanes != _shape(n)[0] or len(data) < 4 * lanes:
+    if lanes != _shape(n)[0] or len(data) < 2 * _FIRST * lanes or len(data) % 2:
         raise ValueError("lanes of a block")
     steps, model = _shape(n)[1], _Model(alphabet, True)
-    used = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    if 4 * lanes + 2 * int(used.sum()) != len(data):
-        raise ValueError("length of a block")
-    words = np.frombuffer(data[4 * lanes :] + bytes(64), "<u2").astype(np.uint64)
-    at, last_word = np.cumsum(used) - used, len(words) - 1
-    code, low, size = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-
-    def move(some: np.ndarray, _: np.ndarray) -> None:
-        place = at.take(some)
-        code[some] = code.take(some) << _S16 | words.take(np.minimum(place, last_word))
-        at[some] = place + 1
-
-    for _ in range(4):
-        move(np.arange(lanes), low)
-    out, most = np.empty((steps, lanes), np.int64), np.uint64((1 << 32) - 1)
+    words = np.frombuffer(data, "<u2").astype(np.int64)
+    at, first = _FIRST * lanes, words[: _FIRST * lanes].reshape(lanes, _FIRST)
+    code, size = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2], np.full(lanes, _TOP)  # code counts from the lane's low end
+    out = np.empty((steps, lanes), np.uint16)
     last = before = np.zeros(lanes, np.int64)
     for step in range(steps):
-        case = model.predict(last, (last * _M1 ^ before * _M2) & H2 - 1)
-        unit = size >> _S32
-        value = np.minimum((code - low) // unit, most)
-        top = (value >> np.uint64(FINE)).view(np.int64)
-        by0 = top < model.w0.take(case)
-        here = np.where(top < model.w02.take(case), model.id2, model.id1)
-        some = np.flatnonzero(by0)
-        inner = np.minimum(value.take(some) // model.unit.take(case.take(some)), np.uint64((1 << FINE) - 1))
-        here[some] = model.id_at.take(inner.view(np.int64))
-        outcome = case | np.where(by0, 0, (here == model.id2) | (here == model.id1) << 1)
-        start, width = model.intervals(outcome, here)
-        low += unit * start
+        outcome = model.predict(last, before)
+        unit = size >> FINE + COARSE
+        value = code / unit
+        here = model.id_at.take((value / model.w0.take(outcome, mode="clip")).astype(np.int64), mode="clip").astype(np.int64)
+        by0 = value < model.end0.take(outcome, mode="clip")
+        some = np.flatnonzero(~by0)
+        here[some] = np.where(value.take(some) < model.end2.take(outcome.take(some)), model.id2.take(some), model.id1.take(some))
+        start, width = model.intervals(outcome, here, some)
+        code -= unit * start
         size = unit * width
-        _settle(low, size, move)
+        some = np.flatnonzero(size < _BOTTOM)
+        while len(some):
+            s = size.take(some) << 16
+            code[some], size[some] = code.take(some) << 16 | words[at : at + len(some)], s
+            at += len(some)
+            some = some[s < _BOTTOM]
         out[step] = here
-        model.update(outcome, here)
+        model.update(outcome, here, here[by0])
         before, last = last, here
+    if at != len(words):
+        raise ValueError("length of a block")
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 

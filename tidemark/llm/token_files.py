@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ from tidemark.session import cut
 END_ID = 0
 _SEGMENT = "part int, segment int, doc_ids array<bigint>, lengths array<int>, first_of array<boolean>, last_of array<boolean>, ids binary"
 _KINDS = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary()]
-#: Bytes that a worker may keep of pieces and their ids, and of text that it cuts at once.
-KEEP_BYTES, SLICE_BYTES = 160 << 20, 8 << 20
-#: Strings of letters that one call of the library takes together.
+#: Bytes of text that a worker cuts at once.
+SLICE_BYTES = 16 << 20
+#: Pieces that the library takes as one string.
 _TOGETHER = 50
 
 
@@ -44,38 +45,63 @@ def _cuts(tokenizer) -> bool:
     return bool(byte_level and kind["model"]["type"] == "BPE" and not (kind["normalizer"] or kind["truncation"] or kind["padding"]))
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str) -> PartEncoder:
-    """What encodes as the library's encode(text, add_special_tokens=False) does, special tokens' strings included."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    ids_of = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    packed = lambda ids: np.array(ids, "<u4").tobytes()
-    # a byte-level token that begins with a space begins a match of " letters", and no other of its tokens has a space
-    begins = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
-        begins[i] = token.startswith("Ġ")
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, x in enumerate(texts) if cuts and x[:1] == " " and x[1:].isalpha()]
-        groups = [plain[a : a + _TOGETHER] for a in range(0, len(plain), _TOGETHER)]
-        for group, ids in zip(groups, ids_of(["".join([texts[i] for i in g]) for g in groups])):
-            some = np.array(ids, "<u4")
-            at = np.flatnonzero(begins[some])
-            if len(at) == len(group):
-                data, ends = some.tobytes(), (4 * at).tolist()
-                for i, a, b in zip(group, ends, [*ends[1:], len(data)]):
-                    out[i] = data[a:b]
+class _Library(PartEncoder):
+    """Encodes as the library's encode(text, add_special_tokens=False) does, special tokens' strings included.
+
+    The library takes some microseconds for a string, so it gets many pieces in one, which the ids of what stands between them
+    part again: each such character must be a token, or begin one, as often as there are pieces. Then no merge went
+    over it, and the ids are those of the pieces alone; else each is encoded by itself.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        super().__init__(self._alone, _cuts(self.library), tuple(x.content for x in self.library.get_added_tokens_decoder().values()), slice_bytes=SLICE_BYTES)
+        if self.cuts:  # words are matches already, so the merges are all that they need
+            self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.library.get_vocab()
+        self.newline = vocabulary.get("\u010a", -1)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [i for i, x in enumerate(pieces) if (y := x[1:] if x[:1] == " " else x).split() == [y]]  # no white space but a space before
+        joined = ["".join([f"{pieces[i]}\n" for i in lines[a : a + _TOGETHER]]) for a in range(0, len(lines), _TOGETHER)]
+        found = _flat(self.library, joined)
+        ends = np.flatnonzero(found == self.newline)
+        if len(ends) != len(lines):
+            return super()._pieces(pieces)
+        out: list[bytes | None] = [None] * len(pieces)
+        data, begin = found.tobytes(), 0
+        for i, end in zip(lines, (4 * ends).tolist()):
+            out[i], begin = data[begin:end], end + 4
         left = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(left, ids_of([texts[i] for i in left])):
-            out[i] = packed(ids)
-        return out
+        for i, ids in zip(left, self._alone([pieces[i] for i in left])):
+            out[i] = ids
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) >> 2
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        stops = pa.array([*range(0, len(words), _TOGETHER), len(words)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(stops, words), " ").to_pylist()
+        found = _flat(self.merges, [f" {x}" for x in joined])
+        starts = np.flatnonzero(self.begins[found])
+        return (found, np.diff(starts, append=len(found))) if len(starts) == len(words) else super()._words(words)
 
-    cuts = _cuts(tokenizer)
-    return PartEncoder(encode, cuts, tuple(x.content for x in tokenizer.get_added_tokens_decoder().values()), KEEP_BYTES, SLICE_BYTES)
+
+def _flat(tokenizer, texts: list[str]) -> np.ndarray:
+    """Ids of texts, one after the other."""
+    found = [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.empty(0, "<u4"), *found])
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> _Library:
+    return _Library(path)
 
 
 def _written(path: str, most: int):
@@ -106,7 +132,6 @@ def _written(path: str, most: int):
         if pieces:
             yield made()
         pieces.clear()
-        encoder.kept.clear()
         give_back()
 
     return run
