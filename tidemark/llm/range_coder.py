@@ -26,10 +26,10 @@ import numpy as np
 
 MAGIC = b"IDR3"
 #: Ids of a block and blocks of a segment at most.
-BLOCK, BLOCKS = 1 << 20, 8
+BLOCK, BLOCKS = 1 << 21, 8
 #: Lanes of a block at most, and ids of a lane that a small block has at least.
-LANES, STRETCH = 4096, 256
-H2 = 1 << 18
+LANES, STRETCH = 8192, 256
+H2 = 1 << 16
 #: Order 0's resolution, and that of the weights.
 FINE, COARSE = 20, 9
 #: After so many steps, and doubled from there on, order 0 takes up what it has seen.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back, small
 from tidemark.llm.pretoken import PartEncoder
-from tidemark.llm.range_coder import BLOCK, BLOCKS, decode_segment, encode_segment
+from tidemark.llm.range_coder import BLOCK, decode_segment, encode_segment
 from tidemark.session import cut
 
 END_ID = 0
@@ -137,7 +137,7 @@ def _written(path: str, most: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", most: int = BLOCK * BLOCKS) -> None:
+def write(docs: DataFrame, folder: str, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", most: int = 4 * BLOCK) -> None:
     """Write all rows of docs: null texts as empty, rows without an id first, each with END_ID after its ids.
 
     Rows of one id are in the order of their texts; an empty table gives no segment. The library's call is the plain
