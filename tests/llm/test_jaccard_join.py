@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard_join as join
@@ -126,6 +127,78 @@ def test_links_come_from_regions(spark, monkeypatch):
     assert got > 0 and members > 0 and in_grid < members / 2
 
 
+def chain(rnd, size):
+    """Texts of two passages each, of which the text before has one and the text after the other; no two link."""
+    passages = [" ".join(f"q{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(size + 1)]
+    return [f"{a} {b}" for a, b in zip(passages, passages[1:])]
+
+
+@pytest.mark.parametrize("k, percent", [(5, 80), (4, 85)])
+def test_passages_chain_no_blocks(spark, monkeypatch, k, percent):
+    """Sets that share rare shingles without being alike are in no block; near copies among them are."""
+    rnd = random.Random(percent)
+    texts = chain(rnd, 300) + list(group(rnd, 5, 200, 0.01))
+    docs = list(enumerate(texts))
+    rnd.shuffle(docs)
+    members, leaves = [], join._leaves
+    monkeypatch.setattr(join, "_leaves", lambda rows, percent: members.append(rows.count()) or leaves(rows, percent))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, join.linked_components(frame, k=k, percent=percent).collect()), key=repr)
+    assert got == by_brute_force(docs, k, percent)
+    assert sum(members) == len(set(texts[300:])) > 1
+
+
+def test_sketches():
+    """No pair that links is told apart; unrelated sets and those that share half are."""
+    rnd = np.random.default_rng(5)
+    drawn = lambda n: np.unique(rnd.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    for n in (1, 2, 7, 31, 33, 127, 128, 500, 3000, 20_000):
+        for percent in (80, 85):
+            for share in (1.0, 0.99, 0.95, 0.9, 0.85, 0.82, 0.5, 0.0):
+                x = drawn(n)
+                kept = rnd.permutation(x)[: round(share * n)]
+                for y in (np.sort(kept), np.union1d(kept, drawn(n - len(kept))), np.union1d(x, drawn(n - len(kept)))):
+                    if not len(y):
+                        continue
+                    both = len(np.intersect1d(x, y))
+                    links = 100 * both >= percent * (len(x) + len(y) - both)
+                    may = [join.may_link(len(a), len(b), join.sketch(a), join.sketch(b), percent) for a, b in ((x, y), (y, x))]
+                    assert may[0] == may[1] and (may[0] or not links), (n, share)
+                    assert not may[0] or n < 100 or both > 0.6 * n, (n, share)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 16, 17, 1000])
+def test_runs(batch):
+    """Sets that share a token are paired, or hang together in long runs, however batches cut them; copies count once."""
+    rnd = random.Random(batch)
+    rows, sets = [], {}
+    for token in range(60):
+        for _ in range(rnd.choice((1, 2, 3, 15, 16, 17, 40))):
+            i = rnd.randrange(400)
+            n = sets.setdefault(i, rnd.choice((10, 11, 12, 13, 20, 22, 50)))
+            rows += [(token, 0, n, n, i, -i)] * rnd.choice((1, 1, 3))
+    rows.sort()
+    names = ["token", "salt", "low", "high", "s1", "s2"]
+    cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + batch])], names) for i in range(0, len(rows), batch)]
+    found = [tuple(r[c] for c in ("a1", "b1", "pair")) for x in join._stars(85, True)(iter(cut)) for r in x.to_pylist()]
+    pairs = {frozenset(x[:2]) for x in found if x[2]}
+    starred = {frozenset(x[:2]) for x in found if not x[2]}
+    sharing, long = set(), set()
+    for token in range(60):
+        run = []
+        for n, i in [*sorted({(r[2], r[4]) for r in rows if r[0] == token}), (10**9, -1)]:
+            if run and 100 * run[-1][0] < 85 * n:
+                alike = {frozenset((i, j)) for m, i in run for o, j in run if i != j and 100 * min(m, o) >= 85 * max(m, o)}
+                if len(run) > join.RUN_SETS:
+                    assert all(frozenset((run[0][1], j)) in starred for _, j in run[1:])
+                    long |= {frozenset((run[0][1], j)) for _, j in run[1:]}
+                else:
+                    sharing |= alike
+                run = []
+            run.append((n, i))
+    assert pairs == sharing and starred == long and pairs and starred
+
+
 def test_very_long_texts(spark):
     words = [f"w{i % 9973}" for i in range(150_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, "a b " * 250_000)]

@@ -8,8 +8,11 @@ into blocks that no link crosses, and the metric recursion works within blocks.
 1. Equal sets become one class (its least id stands for it); only classes go on.
 2. Cover. Under one order of all shingles, two sets within r share one of the first n - ceil((1 - r) n) + 1 of
    each: the prefix. Rare shingles come first, by counts of all shingles in a table of fixed size; any counts
-   give right results. Classes that share a prefix shingle and may match in size hang together, and the
-   components of that are the blocks. Each list of classes adds a star, not pairs, so copies don't square.
+   give right results. Classes that share a prefix shingle and may match in size may link, and the components of
+   those that may are the blocks. The more data, the less the table tells a shingle of few documents from one of
+   its own, and passages of few would chain most sets into one block; so the pairs of a short list hang together only if
+   their sketches allow a link. A long list, which copies and very common passages make, adds a star, not pairs, so
+   copies don't square.
 3. Recursion. A block too large for a task is dealt to Voronoi regions of pivots drawn from it by hash; a
    document also goes to each region whose pivot is at most 2 r farther than its nearest (the hyperplane
    window), and within a region to the ring of width r around the pivot that it lies in and the one before
@@ -53,6 +56,10 @@ REGION_SETS = 32
 WORTH = 0.9
 #: Shingles of this place in the order and after, which many sets may have, spread their sets over so many tasks.
 HOT_RANK, SALTS = 200, 64
+#: Sets that share a token are paired, and pairs checked, up to so many; more hang together unchecked.
+RUN_SETS = 16
+#: A sketch has a bucket for so many shingles of its set, and so many buckets at least (both powers of two).
+SKETCH_LOAD, SKETCH_BUCKETS = 4, 32
 #: Incidence columns of a tile.
 TILE = 4096
 #: Rows of block membership (two numbers each) up to which it's broadcast instead of moving text.
@@ -66,17 +73,34 @@ def _long(x) -> pa.Array:
 # 1 and 2: sets, counts, prefixes
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Numbers of a set's hashes by their first bits, modulo 16, two to a byte."""
+    bits = max(len(hashes) // SKETCH_LOAD, SKETCH_BUCKETS).bit_length() - 1
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
+    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether sets of n and m hashes with these sketches may link: their buckets differ by no more than the sets do."""
+    a, b = (np.stack([c & 15, c >> 4], axis=1).ravel() for c in (np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)))
+    while len(a) != len(b):
+        a, b = (c.reshape(-1, 2).sum(axis=1, dtype=np.uint8) if len(c) > min(len(a), len(b)) else c for c in (a, b))
+    apart = (a - b) & 15
+    differ = int(np.minimum(apart, 16 - apart).sum())
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+
+
 def _described(k: int):
-    """Rows (doc_id, n, s1, s2), then rows (chunk, counts) of the task's shingle counters."""
+    """Rows (doc_id, n, s1, s2, sketch), then rows (chunk, counts) of the task's shingle counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, some = np.zeros(1 << COUNTER_BITS, np.uint32), False
-        names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
+        names = ["doc_id", "n", "s1", "s2", "sketch", "chunk", "counts"]
         for batch in batches:
             made = [shingles(x, k) for x in batch.column(1).to_pylist()]
             signs = np.array([signature(x) for x in made], np.int64).reshape(-1, 2)
-            size = len(made)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _long([len(x) for x in made]), _long(signs[:, 0]), _long(signs[:, 1]), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+            size, sketches = len(made), pa.array([sketch(x) for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _long([len(x) for x in made]), _long(signs[:, 0]), _long(signs[:, 1]), sketches, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
             for at in range(0, size, 1000):
                 if len(flat := np.concatenate(made[at : at + 1000])):
                     np.add.at(counters, (flat & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), 1)
@@ -85,7 +109,7 @@ def _described(k: int):
         if some:
             rows = np.minimum(counters, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in rows], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(rows), pa.binary()), pa.array(range(len(rows)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in rows], pa.binary())], names)
 
     return run
 
@@ -154,64 +178,96 @@ def _prefixes(k: int, percent: int, rarity, hot_rank: int):
     return run
 
 
-_STARS = "a1 long, a2 long, b1 long, b2 long, token long, low long, high long"
+_STARS = "a1 long, a2 long, b1 long, b2 long, pair boolean, token long, low long, high long"
 
 
-def _stars(percent: int):
-    """Rows (a1, a2, b1, b2): sets that share a token, to the first of their run; and of each run of a hot token, which
-    has runs in other tasks, a row (a1, a2, token, low, high) with its first set and its sizes.
+def _stars(percent: int, paired: bool):
+    """Rows (a1, a2, b1, b2, pair) of sets that share a token: all pairs of a short run that match in size, or of a long one all sets
+    to its first; and of each run of a hot token, which has runs in other tasks, a row (a1, a2, token, low, high) with its
+    first set and its sizes. Runs of hot tokens, and all where not paired, count as long.
 
     Input sorted by token, salt, low, high, s1, s2: sets have one size, runs of a task before two. A run ends where the
     next set is too large to match the largest before, so no match spans two runs.
     """
     names = [x.split()[0] for x in _STARS.split(", ")]
 
+    def edges(found: np.ndarray, pair: bool) -> pa.RecordBatch:
+        found = np.unique(found, axis=1)
+        none = pa.nulls(found.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([*map(_long, found), pa.array(np.full(found.shape[1], pair)), none, none, none], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.empty((6, 0), np.int64)  # the run that goes on: its first set, and the largest size so far
+        # the run that goes on: of a long one its first set and the largest size so far, else all its sets
+        carry, carried_long = np.empty((6, 0), np.int64), False
         for batch in chain(batches, [None]):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                rows = np.hstack([carry, np.array([c.to_numpy() for c in batch.columns])])
-                token, salt, low, high, s1, s2 = rows
-                reach = high.copy()
-                same_key = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-                # the largest size so far within a token and salt: sizes are in order of low, so only high needs it
-                begin = np.concatenate(([True], ~same_key))
-                group = np.cumsum(begin)
-                step = np.int64(reach.max()) + 1
-                reach = np.maximum.accumulate(reach + group * step) - group * step
-                fresh = np.ones(len(token), bool)
-                fresh[1:] = ~same_key | (100 * reach[:-1] < percent * low[1:])
-                head = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
-                at = np.flatnonzero(~fresh & ((s1 != s1[head]) | (s2 != s2[head])))
-                if len(at):
-                    found = np.unique(np.stack([s1[head[at]], s2[head[at]], s1[at], s2[at]]), axis=1)
-                    none = pa.nulls(found.shape[1], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*map(_long, found), none, none, none], names)
-                first = head[-1]
-                carry = np.array([[token[-1]], [salt[-1]], [low[first]], [reach[-1]], [s1[first]], [s2[first]]])
-                last = np.flatnonzero(np.append(fresh[1:], False))  # the ends of runs that are over
-                over = np.array([token, salt, low[head], reach, s1[head], s2[head]])[:, last]
-            else:
-                over = carry
-            over = over[:, over[1] > 0]
+            if batch is not None and not batch.num_rows:
+                continue
+            rows = carry if batch is None else np.hstack([carry, np.array([c.to_numpy() for c in batch.columns])])
+            if not rows.shape[1]:
+                continue
+            rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]  # equal sets of several tasks
+            token, salt, low, high, s1, s2 = rows
+            same_key = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            # the largest size so far within a token and salt: sizes are in order of low, so only high needs it
+            group = np.cumsum(np.concatenate(([True], ~same_key)))
+            step = np.int64(high.max()) + 1
+            reach = np.maximum.accumulate(high + group * step) - group * step
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = ~same_key | (100 * reach[:-1] < percent * low[1:])
+            start = np.flatnonzero(fresh)
+            number, size = np.cumsum(fresh) - 1, np.diff(np.append(start, len(token)))
+            long = (size > RUN_SETS) | (salt[start] > 0) | (not paired)
+            long[0] |= carried_long
+            head = start[number]
+            goes_on = batch is not None  # the last run
+            short = ~long[number]
+            if goes_on:
+                short[start[-1] :] = False
+            pairs = []
+            for apart in range(1, RUN_SETS):
+                i = np.flatnonzero(short[apart:] & (number[apart:] == number[:-apart]))
+                if not len(i):
+                    break
+                i = i[100 * low[i] >= percent * low[i + apart]]
+                pairs.append(np.stack([s1[i], s2[i], s1[i + apart], s2[i + apart]]))
+            if pairs and (found := np.hstack(pairs)).shape[1]:
+                yield edges(found, True)
+            at = np.flatnonzero(long[number] & ~fresh & ((s1 != s1[head]) | (s2 != s2[head])))
+            if len(at):
+                yield edges(np.stack([s1[head[at]], s2[head[at]], s1[at], s2[at]]), False)
+            last = np.append(start[1:] - 1, len(token) - 1)[: len(start) - goes_on]  # the ends of runs that are over
+            over = np.array([token, salt, low[head], reach, s1[head], s2[head]])[:, last[salt[last] > 0]]
             if over.shape[1]:
-                none = pa.nulls(over.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([_long(over[4]), _long(over[5]), none, none, _long(over[0]), _long(over[2]), _long(over[3])], names)
+                none, no = pa.nulls(over.shape[1], pa.int64()), pa.array(np.full(over.shape[1], False))
+                yield pa.RecordBatch.from_arrays([_long(over[4]), _long(over[5]), none, none, no, _long(over[0]), _long(over[2]), _long(over[3])], names)
+            if goes_on:
+                first, carried_long = start[-1], bool(long[-1])
+                carry = rows[:, first:] if not carried_long else np.array([[token[-1]], [salt[-1]], [low[first]], [reach[-1]], [s1[first]], [s2[first]]])
 
     return run
 
 
 def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
-    """(a1, a2, b1, b2) of stars of sets; hot tokens in two rounds, the second over runs instead of sets."""
+    """(a1, a2, b1, b2, pair) of sets that share a token; hot tokens in two rounds, the second over runs instead of sets."""
     key = ["token", "salt", "low", "high", "s1", "s2"]
     first = tokens.select("token", "salt", F.col("n").alias("low"), F.col("n").alias("high"), "s1", "s2")
-    joined = lambda rows: rows.select(*key).repartition("token", "salt").sortWithinPartitions(*key).mapInArrow(_stars(percent), _STARS)
-    stars = cut(joined(first).distinct())
+    joined = lambda rows, paired: rows.select(*key).repartition("token", "salt").sortWithinPartitions(*key).mapInArrow(_stars(percent, paired), _STARS)
+    stars = cut(joined(first, True).distinct())
     runs = stars.where("token IS NOT NULL").select("token", F.lit(0).cast("long").alias("salt"), "low", "high", F.col("a1").alias("s1"), F.col("a2").alias("s2"))
-    ends = ["a1", "a2", "b1", "b2"]
-    return stars.where("token IS NULL").select(*ends).unionByName(joined(runs).select(*ends)).distinct()
+    ends = ["a1", "a2", "b1", "b2", "pair"]
+    return stars.where("token IS NULL").select(*ends).unionByName(joined(runs, False).select(*ends)).distinct()
+
+
+def _checked(percent: int):
+    """Rows (a, b, pair, a_n, b_n, a_sketch, b_sketch) -> (a, b) without the pairs that can't link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *what = batch.columns
+            may = [not pair or may_link(n, m, x, y, percent) for pair, n, m, x, y in zip(*(c.to_pylist() for c in what))]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    return run
 
 
 # 3 and 4: regions
@@ -477,14 +533,16 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    described = cut(base.mapInArrow(_described(k), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"))
+    described = cut(base.mapInArrow(_described(k), "doc_id long, n long, s1 long, s2 long, sketch binary, chunk int, counts binary"))
     rarity = spark.sparkContext.broadcast(_rarity(described))
     rows = described.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
-    classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    sets = described.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2")
+    classes = cut(sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     tokens = base.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(k, percent, rarity, hot_rank), "token long, salt long, n long, s1 long, s2 long")
     stars = _candidates(tokens, percent)
-    of = lambda x: classes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("rep").alias(x))
-    candidates = stars.join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"]).select("a", "b").distinct()
+    of = lambda x: classes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    both = stars.join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"]).select("a", "b", "pair", "a_n", "b_n", "a_sketch", "b_sketch")
+    candidates = both.mapInArrow(_checked(percent), "a long, b long").distinct()
     blocks = components(candidates, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").cast("string").alias("block"))
     sized = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.sum("copies").alias("copies"))
     blocks = cut(blocks.join(sized, "doc_id"))
